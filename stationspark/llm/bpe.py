@@ -22,7 +22,10 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Distinct pieces that a worker keeps at most; beyond it the table starts anew, which costs time and changes no result.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 600_000
+
+#: Characters of text that are cut into pieces at a time.
+CHUNK = 1 << 20
 
 #: Words merged together.
 WORD_BATCH = 1 << 16
@@ -172,6 +175,17 @@ class Pieces(dict):
 
     def encode(self, texts: list[str]) -> Iterator[list | None]:
         """For each text the stored values of its pieces in order (the first one still with its line end), or None: by pattern."""
+        part: list[str] = []
+        size = 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield from self._encode(part)
+                part, size = [], 0
+        yield from self._encode(part)
+
+    def _encode(self, texts: list[str]) -> Iterator[list | None]:
         get, cut = self.get, [self.lines(t) for t in texts]
         found = [list(map(get, c)) if c else None for c in cut]
         missing = {p for c, values in zip(cut, found, strict=True) if c and None in values for p, v in zip(c, values, strict=True) if v is None}
