@@ -76,15 +76,18 @@ class Codec:
         flat = self.first[np.frombuffer(b"".join(words), np.uint8)]
         out: list[tuple[np.ndarray, np.ndarray]] = []
         none = len(self.keys)
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            """Ranks of the pairs that begin at these places, none of them the last; ``none`` where there is no merge."""
+            key = flat[at] << 32 | flat[at + 1]
+            found = np.minimum(np.searchsorted(self.keys, key), none - 1)
+            return np.where((self.keys[found] == key) & (owner[at] == owner[at + 1]), self.rank[found], none)
+
+        rank = np.append(ranks(np.arange(len(flat) - 1)), none) if len(flat) else flat
         while len(flat):
-            key = flat[:-1] << 32 | flat[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
-            rank = np.where((self.keys[at] == key) & (owner[:-1] == owner[1:]), self.rank[at], none)
-            rank = np.append(rank, none)
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            best = np.minimum.reduceat(rank, starts)
             counts = np.diff(np.append(starts, len(owner)))
-            least = np.repeat(best, counts)
+            least = np.repeat(np.minimum.reduceat(rank, starts), counts)
             done = least == none
             if done.any():  # words with nothing left to merge leave the array
                 out.append((owner[done], flat[done]))
@@ -95,15 +98,18 @@ class Codec:
             hit = rank == least
             if (hit[1:] & hit[:-1]).any():  # runs such as "aaa": every second one from the left
                 idx = np.flatnonzero(hit)
-                run_start = np.append(True, (np.diff(idx) != 1))
-                first = idx[np.flatnonzero(run_start)]
-                offset = idx - np.repeat(first, np.diff(np.append(np.flatnonzero(run_start), len(idx))))
+                begins = np.flatnonzero(np.append(True, np.diff(idx) != 1))
+                offset = idx - np.repeat(idx[begins], np.diff(np.append(begins, len(idx))))
                 hit[idx[offset % 2 == 1]] = False
             where = np.flatnonzero(hit)
             flat[where] = self.by_rank[least[where]]
             keep = np.ones(len(flat), bool)
             keep[where + 1] = False
-            flat, owner = flat[keep], owner[keep]
+            flat, owner, rank = flat[keep], owner[keep], rank[keep]
+            merged = where - np.arange(len(where))  # where the new symbols stand now
+            rank[-1] = none
+            for at in (merged[merged < len(flat) - 1], merged[merged > 0] - 1):  # only the pairs with a new symbol have changed
+                rank[at] = ranks(at)
         if not out:
             return []
         owner, flat = np.concatenate([o for o, _ in out]), np.concatenate([f for _, f in out])
@@ -144,7 +150,7 @@ class Pieces(dict):
     def __init__(self, codec: Codec, of):
         super().__init__()
         self.codec, self.of = codec, of
-        self.other = regex.compile(r"\s|[\x1c-\x1f]" + "".join("|" + regex.escape(s) for s in codec.special))
+        self.other = regex.compile(r"[^\S \n]|[\x1c-\x1f]" + "".join("|" + regex.escape(s) for s in codec.special))
         self.odd: set[str] = set()
 
     @staticmethod
@@ -156,7 +162,7 @@ class Pieces(dict):
 
     def add(self, new: list[str]) -> None:
         """Encode pieces that are not in the table; one with any other white space or a special token is odd."""
-        odd = {p for p in new if self.other.search(p, 1)}
+        odd = {p for p in new if self.other.search(p)} if self.other.search("".join(new)) else set()
         self.odd |= odd
         starts = [p for p in new if p[0] == "\n" and p not in odd]
         inner = [p for p in new if p[0] != "\n" and p not in odd]
@@ -186,18 +192,18 @@ class Pieces(dict):
         yield from self._encode(part)
 
     def _encode(self, texts: list[str]) -> Iterator[list | None]:
-        get, cut = self.get, [self.lines(t) for t in texts]
-        found = [list(map(get, c)) if c else None for c in cut]
-        missing = {p for c, values in zip(cut, found, strict=True) if c and None in values for p, v in zip(c, values, strict=True) if v is None}
+        cut = [self.lines(t) for t in texts]
+        all_of = set().union(*filter(None, cut))
+        missing = all_of.difference(self)
         if missing:
             if len(self) + len(missing) > MOST_PIECES:
                 self.clear()
                 self.odd.clear()
+                missing = all_of
             self.add(list(missing))
-        for c, values in zip(cut, found, strict=True):
-            if c and None in values:
-                values = [v if v is not None else self[p] for p, v in zip(c, values, strict=True)]
-            yield values if c and (not self.odd or self.odd.isdisjoint(c)) else None
+        get = self.__getitem__
+        for c in cut:
+            yield list(map(get, c)) if c and (not self.odd or self.odd.isdisjoint(c)) else None
 
 
 @functools.cache

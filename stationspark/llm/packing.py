@@ -11,7 +11,6 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,19 +32,17 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     the first takes what is over. Null and empty texts are the end id alone; a null doc_id stays null.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
-            rows = []
-            for doc_id, ids in zip(pdf["doc_id"].tolist(), bpe.encode_to_bytes(pdf["__text"].tolist(), path), strict=True):
-                ids += end
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                rows += [(doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("__text")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    @F.pandas_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
+    def cut(text: pd.Series) -> pd.Series:
+        end, out = np.array([end_id], "<u4").tobytes(), []
+        for ids in bpe.encode_to_bytes(text.tolist(), path):
+            ids += end
+            n = len(ids) // 4
+            cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+            out.append([{"piece": k, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[4 * a : 4 * b])} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+        return pd.Series(out, dtype=object)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(cut(text_or_empty())))
 
 
 def fullest(room: int, counts: dict[int, int], lengths: list[int]) -> list[int]:

@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import chat, jaccard, linededup, packing, tokens, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        linededup.op2_line_dedup,
+        vectors.op3_exact_top_k,
         tokens.op5_bpe_round_trip,
+        toxicity.op6_toxicity,
+        chat.op7_chat_format,
+        jaccard.op8_ngram_jaccard_join,
+        vectors.op9_embedding_near_duplicates,
         packing.op10_best_fit_packing,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": linededup.OP2_SQL}

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bpe
 from .common import table, text_or_empty
@@ -41,14 +39,12 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
 
     Rows are independent: no shuffle, repeated rows give repeated results, and a very long text is one row as any other.
     """
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["ids"] = [np.frombuffer(b, "<i4") for b in bpe.encode_to_bytes(pdf.pop("__text").tolist(), path)]
-            yield pdf
+    @F.pandas_udf("array<int>")
+    def encoded(column: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(b, "<i4") for b in bpe.encode_to_bytes(column.tolist(), path)], dtype=object)
 
-    return docs.select(*keep, text_or_empty(text).alias("__text")).mapInPandas(run, schema)
+    return docs.select(*keep, encoded(text_or_empty(text)).alias("ids"))
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -69,24 +65,21 @@ def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     same table of pieces: what a piece's ids and their bytes are is found once in a worker.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = bpe.pieces(path, _described(path))
-        for pdf in batches:
-            rows = []
-            texts = pdf["__text"].tolist()
-            for one, values in zip(texts, known.encode(texts), strict=True):
-                if values:
-                    n = sum(v[0] for v in values) - 1  # the first piece has a line end that the text has not
-                    ids = ",".join([v[1] for v in values]).partition(",")[2]
-                    raw = b"".join([v[2] for v in values])[1:]
-                else:
-                    n, ids, raw = known.of(known.codec.encode_segments([one])[0])
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("__text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(column: pd.Series) -> pd.DataFrame:
+        known, rows, texts = bpe.pieces(path, _described(path)), [], column.tolist()
+        for one, values in zip(texts, known.encode(texts), strict=True):
+            if values:
+                n = sum(v[0] for v in values) - 1  # the first piece has a line end that the text has not
+                ids = ",".join([v[1] for v in values]).partition(",")[2]
+                raw = b"".join([v[2] for v in values])[1:]
+            else:
+                n, ids, raw = known.of(known.codec.encode_segments([one])[0])
+            rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(text_or_empty(text)).alias("d"))
+    return rows.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
