@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, linededup, packing, tokens, toxicity, vectors
+from . import chat, jaccard, linededup, packing, pii, secrets, tokens, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        pii.op1_personal_data,
         linededup.op2_line_dedup,
         vectors.op3_exact_top_k,
+        secrets.op4_secret_scan,
         tokens.op5_bpe_round_trip,
         toxicity.op6_toxicity,
         chat.op7_chat_format,

@@ -31,6 +31,8 @@ SIGNIFICANT = 3.0
 #: The prior's weight as a share of the counts of both classes together, which are its background.
 PRIOR = 0.1
 THRESHOLD = 0.3
+#: Lengths of word beginnings that count as tokens beside whole words, for languages that build words from parts.
+STEMS = range(4, 9)
 #: Pieces that a worker keeps the scores of.
 MOST_PIECES = 1_000_000
 
@@ -41,6 +43,11 @@ def normal(piece: str) -> str:
     return _EDGES.sub("", piece).lower()
 
 
+def features(token: str) -> list[str]:
+    """What a word is looked up as, the most specific first: itself, then its beginnings (marked by a star)."""
+    return [token, *(token[:k] + "*" for k in reversed(STEMS) if k < len(token))] if token else []
+
+
 @dataclass(frozen=True)
 class Model:
     scores: dict[str, float]  # of the lexicon
@@ -62,10 +69,20 @@ class _Scores(dict):
     def __missing__(self, piece: str) -> float:
         if len(self) > MOST_PIECES:
             self.clear()
-        token = normal(piece)
-        self[piece] = value = self.scores.get(token, self.other) if token else 0.0
+        looked_up = features(normal(piece))
+        found = next((f for f in looked_up if f in self.scores), None)
+        self[piece] = value = self.scores[found] if found else self.other if looked_up else 0.0
         return value
 
+    def of(self, text: str) -> np.ndarray:
+        """The scores of a text's words; one that repeats the word before it adds nothing."""
+        words = text.split()
+        out = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+        for k in np.flatnonzero(out[1:] > 0).tolist():
+            if words[k] == words[k + 1]:
+                out[k + 1] = 0.0
+        return out
+
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments as (start, end exclusive, score), by a scan that looks at each positive token once."""
@@ -87,7 +104,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def evidence(text: str, scores: _Scores, scale: float, offset: float) -> tuple[float, list[tuple[int, int, float]]]:
     """What a text's significant segments exceed chance by, and those segments in tokens."""
-    found = np.fromiter(map(scores.__getitem__, text.split()), np.float64)
+    found = scores.of(text)
     if not (found > 0).any():
         return 0.0, []
     by_chance = offset + math.log(len(found))
@@ -125,13 +142,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
         return Model({}, -0.02, 1.0, 0.0, (math.log((base + 1e-6) / (1 - base + 1e-6)), 0.0))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, str] = {}
+        known: dict[str, list[str]] = {}
         for pdf in batches:
             seen = {True: Counter(), False: Counter()}
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
                 pieces = set(text.split())
-                known.update((p, normal(p)) for p in pieces if p not in known)
-                seen[bool(toxic)].update({known[p] for p in pieces} - {""})
+                known.update((p, features(normal(p))) for p in pieces if p not in known)
+                seen[bool(toxic)].update({f for p in pieces for f in known[p]})
             tokens = list(seen[True].keys() | seen[False].keys())
             yield pd.DataFrame({"token": tokens, "bad": [seen[True][t] for t in tokens], "good": [seen[False][t] for t in tokens]}).astype({"bad": "int64", "good": "int64"})
 
@@ -157,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
         for pdf in batches:
             out = []
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                found = np.fromiter(map(known.__getitem__, text.split()), np.float64)
+                found = known.of(text)
                 spans = [scale * s for *_, s in segments(found)]
                 out.append((bool(toxic), len(found), spans))
             yield pd.DataFrame(out, columns=["toxic", "n", "spans"])
