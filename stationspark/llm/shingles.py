@@ -82,13 +82,16 @@ def count_pass(docs: DataFrame) -> DataFrame:
             if held:
                 counts += np.bincount(np.concatenate(places), minlength=COUNTERS).astype(np.uint32)
             out = pd.DataFrame(rows, columns=["n", "h1", "h2"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out["doc_id"], out["no_id"] = pdf["doc_id"].to_numpy(), pdf["no_id"].to_numpy()
             out["block"], out["counts"] = -1, None
             yield out
         some = [k for k in range(COUNTERS // BLOCK) if counts[k * BLOCK : (k + 1) * BLOCK].any()]
-        yield pd.DataFrame({"doc_id": None, "n": -1, "h1": 0, "h2": 0, "block": some, "counts": [counts[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in some]})
+        yield pd.DataFrame({"doc_id": 0, "no_id": True, "n": -1, "h1": 0, "h2": 0, "block": some, "counts": [counts[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in some]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, h1 long, h2 long, block int, counts binary")
+    # A null id crosses as a number and a flag: a column of whole numbers with nulls would cross as floats.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    found = rows.mapInPandas(run, "doc_id long, no_id boolean, n long, h1 long, h2 long, block int, counts binary")
+    return found.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def total_counts(passed: DataFrame) -> np.ndarray:

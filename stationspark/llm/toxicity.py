@@ -223,7 +223,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
                 spans.append([{"start": words[a][0], "end": words[b - 1][1], "excess": s} for a, b, s in found])
             yield pd.DataFrame({"score": values, "passages": spans})
 
-    return docs.select(*keep, rate(text_or_empty()).alias("__rated")).select(*keep, "__rated.score", "__rated.passages")
+    rated = docs.select(*[F.col(f"`{c}`") for c in keep], rate(text_or_empty()).alias("__rated"))
+    return rated.select(*[F.col(f"`{c}`") for c in keep], "__rated.score", "__rated.passages")
 
 
 def is_toxic(column: str = "score") -> Column:
