@@ -18,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -30,6 +30,9 @@ THRESHOLD = Fraction(3, 4)
 MOST_CLASSES = 50_000
 #: Postings that a bucket is to hold, and that a task holds before it passes them on.
 PER_BUCKET, HELD = 1 << 16, 1 << 20
+#: Comparisons from which a list's components are first joined by single members, rounds of that at most, and tries of a
+#: component in a round. They set how much work there is, not what is found.
+HEAVY, MOST_TURNS, TRIES = 128, 2, 8
 #: Parts of the hash range in the suffix filter.
 PARTS = 16
 
@@ -161,21 +164,71 @@ def _star_pairs(found: DataFrame, t: Fraction) -> DataFrame:
     return most.union(firsts.join(one, "token").where("doc <> v").select("doc", "v").distinct())
 
 
-def _rest(found: DataFrame, parts: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and pass the filters at it."""
+def _labelled(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """Postings with their documents' components."""
     mine = found.select("token", "doc", "n", "pos").join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left")
-    mine = mine.withColumn("component", F.coalesce("component", "doc"))
-    mine = materialize(mine, "labelled-postings")
+    return materialize(mine.withColumn("component", F.coalesce("component", "doc")), "labelled-postings")
+
+
+def _several(mine: DataFrame) -> DataFrame:
+    """Lists of several components: token, largest (its largest component) and work (comparisons outside of that)."""
     sizes = mine.groupBy("token", "component").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("token").agg(F.count("*").alias("several"), F.max(F.struct("size", "component")).alias("largest"))
-    mixed = materialize(mixed.where("several > 1").select("token", F.col("largest.component").alias("largest")), "mixed")
-    if mixed.isEmpty():
-        return None
+    lists = sizes.groupBy("token").agg(F.count("*").alias("several"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("top")).where("several > 1")
+    return lists.select("token", F.col("top.component").alias("largest"), ((F.col("all") - F.col("top.size")) * F.col("all")).alias("work"))
+
+
+def _contracted(docs: DataFrame, found: DataFrame, parts: DataFrame, links: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(parts, links) after joining components in lists that would take many comparisons, until no more join.
+
+    In such a list a member of every component is compared with one of the largest; which ones changes with the round. It
+    only makes the exact step after it cheap: what does not join here is compared there.
+    """
+    mine = _labelled(found, parts)
+    heavy = materialize(_several(mine).where(F.col("work") > HEAVY).select("token"), "heavy-lists")
+    if heavy.isEmpty():
+        return parts, links
+    lists = materialize(mine.join(heavy, "token").select("token", "doc", "n", "pos"), "heavy-postings")
+    for turn in range(MOST_TURNS):
+        mine = _labelled(lists, parts)
+        mixed = materialize(_several(mine).where(F.col("work") > HEAVY), "mixed")
+        if mixed.isEmpty():
+            break
+        member = F.struct(F.xxhash64("doc", "token", F.lit(turn)), "doc", "n", "pos")
+        one = mine.join(mixed.select("token", "largest"), "token").groupBy("token", "largest", "component").agg(F.min(member).alias("m"))
+        one = materialize(one, "members")
+        top = one.where("component = largest").select("token", F.col("m").alias("top"))
+        pairs = one.where("component <> largest").join(top, "token")
+        pairs = pairs.where(_may_link(F.col("m.n"), F.col("m.pos"), F.col("top.n"), F.col("top.pos"), t))
+        pairs = pairs.groupBy("component", F.col("m.doc").alias("a"), F.col("top.doc").alias("b")).agg(F.count("*").alias("times"))
+        best = Window.partitionBy("component").orderBy(F.desc("times"), F.xxhash64("a", "b", F.lit(turn)))
+        pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TRIES)
+        new = materialize(verified(docs, pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), t), "links")
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        parts = materialize(connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new)), "components")
+    return parts, links
+
+
+def _rest(found: DataFrame, parts: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of different components that may link, by their shared prefix shingles.
+
+    All of these are counted: two documents of different components meet in every list that both are in. What they share
+    besides comes after the end of one of the prefixes, so there is a bound on it.
+    """
+    mine = _labelled(found, parts)
+    mixed = materialize(_several(mine).select("token", "largest"), "mixed")
     mine = materialize(mine.join(mixed, "token"), "mixed-postings")
     few = mine.where("component <> largest").select("token", *[F.col(c).alias(f"{c}_") for c in ("doc", "n", "pos", "component")])
     both = few.join(mine, "token").where("component <> component_ and (component = largest or doc > doc_)")
-    both = both.where(_may_link(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), t))
-    return both.select(F.greatest("doc", "doc_").alias("u"), F.least("doc", "doc_").alias("v")).distinct()
+    n, m = F.col("n"), F.col("n_")
+    both = both.where(F.least(n, m) * t.denominator >= F.greatest(n, m) * t.numerator)
+    met = both.groupBy(F.greatest("doc", "doc_").alias("u"), F.least("doc", "doc_").alias("v")).agg(
+        F.count("*").alias("shared"), F.max(_may_link(n, F.col("pos"), m, F.col("pos_"), t)).alias("may"), F.max(F.greatest(n, m)).alias("n"), F.max(F.least(n, m)).alias("m")
+    )
+    factor, least = _overlap_needed(F.col("n"), F.col("m"), t)
+    beyond = F.ceil(F.greatest("n", "m") * t.numerator / t.denominator) - 1  # of the larger set, after its prefix
+    return met.where(F.col("may") & (factor * (F.col("shared") + beyond) >= least)).select("u", "v")
 
 
 def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -195,10 +248,9 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD) -> Data
     copies = sets.join(classes, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     links = materialize(copies.union(verified(docs, _star_pairs(found, threshold), threshold)), "links")
     parts = materialize(connected_components(links), "components")
-    rest = _rest(found, parts, threshold)
-    if rest is not None:
-        links = links.union(verified(docs, rest, threshold))
-        parts = connected_components(links)
+    parts, links = _contracted(docs, found, parts, links, threshold)
+    links = links.union(verified(docs, _rest(found, parts, threshold), threshold))
+    parts = connected_components(links)
     parts = materialize(parts, "components")
     out = ids.join(parts, ids["doc_id"] == parts["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -75,7 +75,9 @@ def test_copies_and_empty(spark):
     assert vectors.near_duplicates(none).count() == 0 and vectors.top_k(none, F.lit(True)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [1 << 16, 10])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(graph, "CHUNK", chunk)
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 160)] + [(200, 200), (300, 299), (299, 300)]
     got = dict(map(tuple, graph.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {**{k: 0 for k in range(31)}, **{k: 100 for k in range(100, 160)}, 299: 299, 300: 299}
