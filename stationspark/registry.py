@@ -298,8 +298,8 @@ def oracle_sql() -> dict[str, str]:
         {"hottest": _top("air_temp_c", "epoch"), "coldest": _low("air_temp_c", "epoch"), "peak_gust": _top("wind_gust", "epoch"), "lowest_pressure": _low("pressure_mb", "epoch"), "peak_solar": _top("solar_wm2", "epoch"), "peak_uv": _top("uv", "epoch")},
         {"hottest": _f, "coldest": _f, "peak_gust": _mph, "lowest_pressure": _hg}, names,
     )
-    quarter = _SHIP + """, q AS (SELECT device_id, cast(to_timestamp(epoch - epoch % 900) AT TIME ZONE 'UTC' AS date) AS day, avg(air_temp_c) AS t, avg(air_temp_c) FILTER (humidity IS NOT NULL) AS th, avg(humidity) FILTER (air_temp_c IS NOT NULL) AS h,
-avg(air_temp_c) FILTER (wind_avg IS NOT NULL) AS tw, avg(wind_avg) FILTER (air_temp_c IS NOT NULL) AS w FROM obs GROUP BY device_id, epoch // 900, day HAVING count(air_temp_c) > 0)"""
+    quarter = _SHIP + """, q AS (SELECT device_id, cast(to_timestamp(epoch - epoch % 900) AT TIME ZONE 'UTC' AS date) AS day, avg(air_temp_c) AS t, avg(air_temp_c) FILTER (humidity IS NOT NULL) AS th, avg(humidity) FILTER (air_temp_c IS NOT NULL) AS hh,
+avg(air_temp_c) FILTER (wind_avg IS NOT NULL) AS tw, avg(wind_avg) FILTER (air_temp_c IS NOT NULL) AS ww FROM obs GROUP BY device_id, epoch // 900, day HAVING count(air_temp_c) > 0)"""
 
     def with_names(expression: str, **columns: str) -> str:
         """A formula over t, h, w or c with other expressions in their place, by a correlated derived table."""
@@ -336,8 +336,8 @@ FROM dev CROSS JOIN (SELECT cast(unnest(range(16)) AS int) AS sector) k LEFT JOI
         "lightning_stats": _DAY + f", {_spell('storm_free', 'sn > 0 AND ssum = 0')}, s AS (SELECT device_id, CASE WHEN sum(sn) > 0 THEN {_r('sum(ssum)')} END AS total_strikes, count(*) FILTER (ssum > 0) AS storm_days, min(day) FILTER (ssum > 0) AS first_storm_day, max(day) FILTER (ssum > 0) AS last_storm_day, count(*) AS days_observed, {_r('max(ssum) FILTER (ssum > 0)')} AS busiest_strikes, first(day ORDER BY ssum DESC, day) FILTER (ssum > 0) AS busiest_day, round(min(close) / {U.KM_PER_MILE}, 6) AS closest_miles, {_low('close')[1]} AS closest_day FROM day GROUP BY 1) SELECT s.*, {free_cols} FROM s {free_joins}",
         "pressure_swings": _DAY + f", {_swings()} SELECT * FROM swings",
         "pressure_stats": _DAY + f", {_swings()}, s AS (SELECT device_id, count(*) AS days_observed, {_r(_hg('sum(psum) / nullif(sum(pn), 0)'))} AS mean_inhg, " + _pairs({"l": _low("pmin"), "h": _top("pmax")}, {"l": _hg, "h": _hg}, {"l": ("lowest_inhg", "lowest_day"), "h": ("highest_inhg", "highest_day")}) + " FROM day GROUP BY 1) SELECT * FROM s LEFT JOIN swings USING (device_id)",
-        "comfort_stats": quarter + f""", p AS (SELECT device_id, day, CASE WHEN {_f('th')} >= 80 THEN {with_names(_HEAT, t=_f('th'), h='h')} END AS hot, CASE WHEN {_f('tw')} <= 50 THEN {with_names(_CHILL, t=_f('tw'), w=_mph('w'))} END AS cold,
-CASE WHEN {_f('t')} > 50 AND {_f('t')} < 80 THEN {_f('t')} END AS mild, {_f(with_names(_DEW, c='th', h='h'))} AS dew FROM q), r AS (SELECT device_id, day, greatest(hot, cold, mild) AS most, least(hot, cold, mild) AS least, dew FROM p)
+        "comfort_stats": quarter + f""", p AS (SELECT device_id, day, CASE WHEN {_f('th')} >= 80 THEN {with_names(_HEAT, t=_f('th'), h='hh')} END AS hot, CASE WHEN {_f('tw')} <= 50 THEN {with_names(_CHILL, t=_f('tw'), w=_mph('ww'))} END AS cold,
+CASE WHEN {_f('t')} > 50 AND {_f('t')} < 80 THEN {_f('t')} END AS mild, {_f(with_names(_DEW, c='th', h='hh'))} AS dew FROM q), r AS (SELECT device_id, day, greatest(hot, cold, mild) AS most, least(hot, cold, mild) AS least, dew FROM p)
 SELECT device_id, count(DISTINCT day) AS days_observed, """ + _pairs({"h": _top("most"), "c": _low("least"), "m": _top("dew")}, {}, {"h": ("hottest_feels_like_f", "hottest_feels_like_day"), "c": ("coldest_feels_like_f", "coldest_feels_like_day"), "m": ("muggiest_dew_point_f", "muggiest_day")}) + " FROM r GROUP BY 1",
         "sensor_health": _SHIP + ", a AS (SELECT device_id, count(*) AS obs, max(epoch) AS newest, min(battery_v) AS lo, max(battery_v) AS hi FROM obs GROUP BY 1) " + " UNION ALL ".join(f"SELECT a.device_id, '{s}' AS sensor, count({s}) AS readings, {_r(f'100.0e0 * count({s}) / any_value(a.obs)')} AS coverage_pct, max(epoch) FILTER ({s} IS NOT NULL) AS last_epoch, coalesce(max(epoch) FILTER ({s} IS NOT NULL) < any_value(newest) - 3600, false) AS stale, {_r('any_value(lo)')} AS battery_min_v, {_r('any_value(hi)')} AS battery_max_v FROM obs JOIN a USING (device_id) GROUP BY a.device_id" for s in health),
         "degree_days": _DAILY + f" SELECT device_id, coalesce(period, 'total') AS period, {_r('sum(greatest(65 - mean, 0))')} AS hdd, {_r('sum(greatest(mean - 65, 0))')} AS cdd, {_r('sum(greatest((least(hi, 86) + greatest(lo, 50)) / 2 - 50, 0))')} AS gdd, count(*) AS days_used FROM (SELECT *, (hi + lo) / 2 AS mean, strftime(day, '%Y-%m') AS period FROM daily WHERE lo IS NOT NULL) GROUP BY GROUPING SETS ((device_id), (device_id, period))",
