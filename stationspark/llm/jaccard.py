@@ -18,9 +18,11 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bloom import bloom_filter, may_contain
 from .common import materialize, table
 from .graph import connected_components
 from .shingles import COUNTERS, _mixed, count_pass, rare_first, set_key, shingle_set, total_counts
@@ -29,7 +31,7 @@ THRESHOLD = Fraction(3, 4)
 #: Sets with the most copies whose later copies emit no postings: a bounded table. Copies of other sets go as any near copy.
 MOST_CLASSES = 50_000
 #: Postings that a bucket is to hold, and that a task holds before it passes them on.
-PER_BUCKET, HELD = 1 << 16, 1 << 20
+PER_BUCKET, HELD = 1 << 16, 1 << 18
 #: Comparisons from which a list's components are first joined by single members, rounds of that at most, and tries of a
 #: component in a round. They set how much work there is, not what is found.
 HEAVY, MOST_TURNS, TRIES = 128, 2, 8
@@ -89,7 +91,7 @@ def postings(docs: DataFrame, counts: np.ndarray, copies: dict[tuple[int, int],
                     continue
                 token, seen = rare_first(s, counts_)
                 prefix = n - -(-n * t.numerator // t.denominator) + 1
-                held.append((token[:prefix], seen[:prefix], doc, n))
+                held.append((token[:prefix].copy(), seen[:prefix].copy(), doc, n))
                 size += prefix
                 if size >= HELD:
                     yield packed(held)
@@ -123,24 +125,24 @@ def postings(docs: DataFrame, counts: np.ndarray, copies: dict[tuple[int, int],
 
 def verified(docs: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
     """Those of ``pairs`` (u, v) whose whole sets link. Sets are made again, of the documents concerned only."""
-    pairs = materialize(pairs, "pairs")
-    concerned = pairs.select(F.col("u").alias("doc")).union(pairs.select("v")).distinct()
+    spark, pairs = docs.sparkSession, materialize(pairs, "pairs")
+    concerned = materialize(pairs.select(F.col("u").alias("doc")).union(pairs.select("v")).distinct(), "concerned")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc": pdf["doc"].to_numpy(), "shingles": [shingle_set(x).tobytes() for x in pdf["text"]]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(concerned, "doc", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull())
+    # The filter keeps most other texts out of the join's shuffle; the join is exact.
+    rows = rows.where(may_contain(spark, bloom_filter(concerned, "doc"), F.col("doc"))).join(concerned, "doc", "left_semi")
     made = materialize(rows.mapInPandas(sets, "doc long, shingles binary"), "sets")
     bounds = np.array([k << 60 for k in range(1, PARTS)], np.uint64)
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             good = []
-            for a, b in zip(pdf["x"], pdf["y"], strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                a, b = sorted((np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y)), key=len)
                 factor, least = _overlap_needed(len(a), len(b), t)
                 parts = [np.diff(np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]])) for s in (a, b)]
                 if factor * np.minimum(*parts).sum() < least:
@@ -148,10 +150,10 @@ def verified(docs: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
                     continue
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 good.append(factor * int((b[at] == a).sum()) >= least)
-            yield pdf.loc[good, ["u", "v"]]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     x, y = (made.select(F.col("doc").alias(k), F.col("shingles").alias(c)) for k, c in (("u", "x"), ("v", "y")))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInPandas(check, "u long, v long")
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
 
 
 def _star_pairs(found: DataFrame, t: Fraction) -> DataFrame:
