@@ -19,11 +19,24 @@ WIRE = [
 ]
 
 
-def observation_rows(responses: DataFrame) -> DataFrame:
+def _out_of_range(row: Column) -> Column:
+    """Whether a wire row breaks a range, by one pass over the array.
+
+    The check looks at the array only: as conditions on the columns made of it, their copies would multiply when the
+    optimizer derives what holds for those columns.
+    """
+    by_name = {name: (float(low), float(high), whole) for name, low, high, whole in BOUNDS}
+    limits = F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high"), F.lit(w).alias("whole")) for a, b, w in [(1.0, float(LAST_EPOCH), True), *(by_name[s] for s in WIRE)]])
+    wrong = lambda v, b: F.isnan(v) | (v < b["low"]) | (v > b["high"]) | (b["whole"] & (F.floor(v) != v))
+    return F.exists(F.zip_with(F.slice(row, 1, len(WIRE) + 1), limits, lambda v, b: F.coalesce(wrong(v, b), F.lit(False))), lambda x: x)
+
+
+def observation_rows(responses: DataFrame, ranges: bool = False) -> DataFrame:
     """Wire responses to one row per inner array: device_id, epoch (double as sent), sensors, source, bad.
 
     Short rows are padded with null. ``bad`` says why a row or its whole response is not to be taken, else it is null: another
-    type, a status other than 0, no obs key, another device than was asked for, an empty or overlong row, no epoch.
+    type, a status other than 0, no obs key, another device than was asked for, an empty or overlong row, no epoch; with
+    ``ranges`` also a reading out of range.
     """
     device = F.coalesce("requested_device_id", "device_id") if "requested_device_id" in responses.columns else F.col("device_id")
     envelope = (
@@ -36,6 +49,8 @@ def observation_rows(responses: DataFrame) -> DataFrame:
     rows = rows.where(F.col("row").isNotNull() | F.col("none") | F.col("envelope").isNotNull())
     size = F.size("row")
     bad = F.coalesce(F.col("envelope"), F.when(size == 0, "empty row").when(size > MOST_FIELDS, "overlong row").when(F.get("row", F.lit(0)).isNull(), "no epoch"))
+    if ranges:
+        bad = F.coalesce(bad, F.when(F.coalesce(F.col("device_id") <= 0, F.lit(True)), "device_id").when(_out_of_range(F.col("row")), "range"))
     sensors = [F.get("row", F.lit(k + 1)).alias(s) for k, s in enumerate(WIRE)]
     return rows.select("device_id", F.get("row", F.lit(0)).alias("epoch"), *sensors, F.lit("rest").alias("source"), bad.alias("bad"))
 

@@ -14,15 +14,15 @@ from stationspark.operators.rollup import days_of
 from stationspark.operators.sensors import CONTINUOUS, STALE_S
 from stationspark.operators.series import bucket_aggregates
 from stationspark.schema import align_schema, month_of
-from stationspark.sources.ingest import RESPONSE, append_observations, observation_rows, reasons
+from stationspark.sources.ingest import RESPONSE, append_observations, observation_rows
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_observations(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Valid rows of landed response files as they come; the checkpoint is the cursor, so a restart goes on where it stopped."""
-    raw = observation_rows(spark.readStream.schema(RESPONSE).option("maxFilesPerTrigger", files_per_trigger).json(path))
-    return timed(align_schema(raw.where(F.size(reasons(raw)) == 0)))
+    raw = observation_rows(spark.readStream.schema(RESPONSE).option("maxFilesPerTrigger", files_per_trigger).json(path), ranges=True)
+    return timed(align_schema(raw.where("bad is null")))
 
 
 def timed(obs: DataFrame) -> DataFrame:

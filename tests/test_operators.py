@@ -149,7 +149,7 @@ def test_wind_rose(spark):
     e = day_epoch("2024-01-01")
     rows = [{"epoch": e + k, "wind": 2, "dir": d, "gust": 4} for k, d in enumerate([0, 2, 358, 90])] + [{"epoch": e + 9, "wind": 0.1, "dir": 180}]
     got = {r.direction: r for r in sensors.wind_rose(obs(spark, rows)).collect()}
-    assert len(got) == 16 and (got["N"].count, got["N"].pct, got["E"].count, got["S"].count) == (3, 75, 1, 0) and got["N"].calm_pct == pytest.approx(20)
+    assert len(got) == 16 and (got["N"]["count"], got["N"].pct, got["E"]["count"], got["S"]["count"]) == (3, 75, 1, 0) and got["N"].calm_pct == pytest.approx(20)
     odd = [{"epoch": e, "wind": 1, "dir": None}, {"epoch": e + 1, "wind": None, "dir": 90}, {"epoch": e + 2, "wind": 0.2, "dir": 1}, {"epoch": e + 3, "wind": 3, "dir": -270.0}]
     got = {r.direction: r for r in sensors.wind_rose(obs(spark, odd)).collect()}
     assert (got["E"].pct, got["E"].obs) == (100, 3) and got["E"].calm_pct == pytest.approx(100 / 3)

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ def wire(epoch, temp=20.0, rain=0.0):
 
 def land(path, name, *responses):
     path.mkdir(exist_ok=True)
-    (path / f"{name}.json").write_text("".join(json.dumps(r) + "\n" for r in responses))
+    file = path / f"{name}.json"
+    file.write_text("".join(json.dumps(r) + "\n" for r in responses))
+    os.utime(file, (E + 10 * len(list(path.iterdir())),) * 2)  # files come in the order of their times
 
 
 def test_wire_rows(spark, tmp_path):
