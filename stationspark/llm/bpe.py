@@ -22,7 +22,7 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Distinct pieces that a worker keeps at most; beyond it the table starts anew, which costs time and changes no result.
-MOST_PIECES = 600_000
+MOST_PIECES = 250_000
 
 #: Characters of text that are cut into pieces at a time.
 CHUNK = 1 << 20

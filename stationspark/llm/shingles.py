@@ -15,7 +15,7 @@ from .common import shuffle_partitions
 
 WORDS = 5
 #: Words that a worker keeps the hashes of; beyond it the table starts anew.
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 #: Counters of the frequency sketch (a power of two) and of one block of it: a fixed size whatever the corpus holds.
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 

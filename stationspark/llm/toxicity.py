@@ -34,7 +34,9 @@ THRESHOLD = 0.3
 #: Lengths of word beginnings that count as tokens beside whole words, for languages that build words from parts.
 STEMS = range(4, 9)
 #: Pieces that a worker keeps the scores of.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 300_000
+#: Tokens that a task counts before it passes them on.
+MOST_COUNTED = 150_000
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -142,15 +144,21 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
         return Model({}, -0.02, 1.0, 0.0, (math.log((base + 1e-6) / (1 - base + 1e-6)), 0.0))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[str]] = {}
+        seen = {True: Counter(), False: Counter()}
+
+        def counted() -> pd.DataFrame:
+            tokens = list(seen[True].keys() | seen[False].keys())
+            out = pd.DataFrame({"token": tokens, "bad": [seen[True][t] for t in tokens], "good": [seen[False][t] for t in tokens]})
+            seen[True].clear()
+            seen[False].clear()
+            return out.astype({"token": object, "bad": "int64", "good": "int64"})
+
         for pdf in batches:
-            seen = {True: Counter(), False: Counter()}
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                pieces = set(text.split())
-                known.update((p, features(normal(p))) for p in pieces if p not in known)
-                seen[bool(toxic)].update({f for p in pieces for f in known[p]})
-            tokens = list(seen[True].keys() | seen[False].keys())
-            yield pd.DataFrame({"token": tokens, "bad": [seen[True][t] for t in tokens], "good": [seen[False][t] for t in tokens]}).astype({"bad": "int64", "good": "int64"})
+                seen[bool(toxic)].update({f for p in set(text.split()) for f in features(normal(p))})
+                if len(seen[True]) + len(seen[False]) > MOST_COUNTED:
+                    yield counted()
+        yield counted()
 
     counts = rows.mapInPandas(count, "token string, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = materialize(counts, "token-counts")
