@@ -212,11 +212,23 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+_tables: set = set()
+
+
 @functools.cache
 def pieces(path: str, of) -> Pieces:
+    _tables.add(of)
     return Pieces(codec(path), of)
 
 
+def release(path: str) -> None:
+    """Forget the worker's pieces and words at the end of a task: workers last over many stages, memory is bounded by a task's."""
+    own = codec(path)
+    own.words.clear()
+    for of in list(_tables):
+        pieces(path, of).clear()
+
+
 def encode_to_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
     table = pieces(path, bytes)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .bloom import bloom_filter, may_contain
 from .common import materialize, table
 from .graph import connected_components
-from .shingles import COUNTERS, _mixed, count_pass, rare_first, set_key, shingle_set, total_counts
+from .shingles import COUNTERS, _mixed, count_pass, rare_first, release, set_key, shingle_set, total_counts
 
 THRESHOLD = Fraction(3, 4)
 #: Sets with the most copies whose later copies emit no postings: a bounded table. Copies of other sets go as any near copy.
@@ -98,6 +98,7 @@ def postings(docs: DataFrame, counts: np.ndarray, copies: dict[tuple[int, int],
                     held, size = [], 0
             if held:
                 yield packed(held)
+        release()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         token = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["tokens"]])
@@ -131,6 +132,7 @@ def verified(docs: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc": pdf["doc"].to_numpy(), "shingles": [shingle_set(x).tobytes() for x in pdf["text"]]})
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull())
     # The filter keeps most other texts out of the join's shuffle; the join is exact.

@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,14 +34,17 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     """
 
     @F.pandas_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
-    def cut(text: pd.Series) -> pd.Series:
-        end, out = np.array([end_id], "<u4").tobytes(), []
-        for ids in bpe.encode_to_bytes(text.tolist(), path):
-            ids += end
-            n = len(ids) // 4
-            cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-            out.append([{"piece": k, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[4 * a : 4 * b])} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-        return pd.Series(out, dtype=object)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        end = np.array([end_id], "<u4").tobytes()
+        for text in batches:
+            out = []
+            for ids in bpe.encode_to_bytes(text.tolist(), path):
+                ids += end
+                n = len(ids) // 4
+                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                out.append([{"piece": k, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[4 * a : 4 * b])} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+            yield pd.Series(out, dtype=object)
+        bpe.release(path)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(cut(text_or_empty())))
 

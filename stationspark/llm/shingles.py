@@ -35,6 +35,11 @@ class _Hashes(dict):
 _known = _Hashes()
 
 
+def release() -> None:
+    """Forget the worker's words at the end of a task."""
+    _known.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
@@ -85,6 +90,7 @@ def count_pass(docs: DataFrame) -> DataFrame:
             out["doc_id"], out["no_id"] = pdf["doc_id"].to_numpy(), pdf["no_id"].to_numpy()
             out["block"], out["counts"] = -1, None
             yield out
+        release()
         some = [k for k in range(COUNTERS // BLOCK) if counts[k * BLOCK : (k + 1) * BLOCK].any()]
         yield pd.DataFrame({"doc_id": 0, "no_id": True, "n": -1, "h1": 0, "h2": 0, "block": some, "counts": [counts[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in some]})
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,17 +67,20 @@ def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(column: pd.Series) -> pd.DataFrame:
-        known, rows, texts = bpe.pieces(path, _described(path)), [], column.tolist()
-        for one, values in zip(texts, known.encode(texts), strict=True):
-            if values:
-                n = sum(v[0] for v in values) - 1  # the first piece has a line end that the text has not
-                ids = ",".join([v[1] for v in values]).partition(",")[2]
-                raw = b"".join([v[2] for v in values])[1:]
-            else:
-                n, ids, raw = known.of(known.codec.encode_segments([one])[0])
-            rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = bpe.pieces(path, _described(path))
+        for column in batches:
+            rows, texts = [], column.tolist()
+            for one, values in zip(texts, known.encode(texts), strict=True):
+                if values:
+                    n = sum(v[0] for v in values) - 1  # the first piece has a line end that the text has not
+                    ids = ",".join([v[1] for v in values]).partition(",")[2]
+                    raw = b"".join([v[2] for v in values])[1:]
+                else:
+                    n, ids, raw = known.of(known.codec.encode_segments([one])[0])
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.release(path)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(text_or_empty(text)).alias("d"))
     return rows.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
