@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import regex
 
+from .common import give_back
+
 #: The pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -227,6 +229,7 @@ def release(path: str) -> None:
     own.words.clear()
     for of in list(_tables):
         pieces(path, of).clear()
+    give_back()
 
 
 def encode_to_bytes(texts: list[str], path: str) -> Iterator[bytes]:

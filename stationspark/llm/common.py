@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,11 @@ def text_or_empty(column: str = "text") -> Column:
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels are never learned from: crc32 of the id as text leaves remainder 2 by 4. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def give_back() -> None:
+    """At the end of a task: return what a Python worker has freed to the system, as workers last over many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, may_contain
-from .common import materialize, table
+from .common import give_back, materialize, table
 from .graph import connected_components
 from .shingles import COUNTERS, _mixed, count_pass, rare_first, release, set_key, shingle_set, total_counts
 
@@ -153,6 +153,7 @@ def verified(docs: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 good.append(factor * int((b[at] == a).sum()) >= least)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     x, y = (made.select(F.col("doc").alias(k), F.col("shingles").alias(c)) for k, c in (("u", "x"), ("v", "y")))
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")

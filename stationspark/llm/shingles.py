@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import give_back, shuffle_partitions
 
 WORDS = 5
 #: Words that a worker keeps the hashes of; beyond it the table starts anew.
@@ -38,6 +38,7 @@ _known = _Hashes()
 def release() -> None:
     """Forget the worker's words at the end of a task."""
     _known.clear()
+    give_back()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, table, text_or_empty
+from .common import give_back, held_out, materialize, table, text_or_empty
 
 #: Labelled documents that are learned from at most: those with the smallest hashed ids.
 MOST_LABELLED = 20_000
@@ -159,6 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
                 if len(seen[True]) + len(seen[False]) > MOST_COUNTED:
                     yield counted()
         yield counted()
+        give_back()
 
     counts = rows.mapInPandas(count, "token string, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = materialize(counts, "token-counts")
@@ -230,6 +231,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
                 words = [m.span() for m in _WORD.finditer(text)] if found else []
                 spans.append([{"start": words[a][0], "end": words[b - 1][1], "excess": s} for a, b, s in found])
             yield pd.DataFrame({"score": values, "passages": spans})
+        known.clear()
+        give_back()
 
     rated = docs.select(*[F.col(f"`{c}`") for c in keep], rate(text_or_empty()).alias("__rated"))
     return rated.select(*[F.col(f"`{c}`") for c in keep], "__rated.score", "__rated.passages")

@@ -7,13 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import give_back, materialize, table
 from .graph import connected_components
 
 #: Vectors of a shard and queries of a block in the search.
-SHARD, BLOCK = 8192, 2048
+SHARD, BLOCK = 8192, 512
 #: Vectors of a tile in the near-duplicate comparison, and rows of it that are multiplied at a time.
-TILE, STRIP = 4096, 1024
+TILE, STRIP = 4096, 512
 #: Vectors that the principal axes are fitted on, those with the smallest hashed ids. The axes only order the work: any
 #: rotation gives the same links.
 AXES_SAMPLE = 20_000
@@ -92,7 +92,7 @@ def max_score(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queries:
         best[q[place == k - 1]] = s[place == k - 1]
         keep = place < k
         top = (q[keep], i[keep], s[keep])
-        at, size = at + size, 4096
+        at, size = at + size, 2048
     return top
 
 
@@ -122,6 +122,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
         left = left.sort_values("id", kind="stable")
         query_ids = right["id"].to_numpy()
         q, i, s = max_score(left["id"].to_numpy(), _matrix(left["x"], np.int64), query_ids, _matrix(right["x"], np.int64), k)
+        give_back()
         return pd.DataFrame({"query_id": query_ids[q], "vec_id": i, "score": s})
 
     left, right = spread(rows, "shard", shards, "block", blocks), spread(rows.where("is_query"), "block", blocks, "shard", shards)
@@ -188,8 +189,11 @@ def forest(ids_a: np.ndarray, ids_b: np.ndarray, hit: np.ndarray) -> tuple[np.nd
     hit, a, b = hit[np.ix_(rows, cols)], ids_a[rows], ids_b[cols]
     la, lb, most = a.copy(), b.copy(), np.iinfo(np.int64).max
     while True:
-        na = np.minimum(la, np.where(hit, lb[None, :], most).min(axis=1))
-        nb = np.minimum(lb, np.where(hit, na[:, None], most).min(axis=0))
+        na, nb = la.copy(), lb.copy()
+        for at in range(0, len(a), 256):  # in strips, so that no square of numbers is held
+            part, some = slice(at, at + 256), hit[at : at + 256]
+            na[part] = np.minimum(la[part], np.where(some, lb[None, :], most).min(axis=1))
+            nb = np.minimum(nb, np.where(some, na[part, None], most).min(axis=0))
         if (na == la).all() and (nb == lb).all():
             break
         la, lb = na, nb
@@ -250,6 +254,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
         ids, links = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
         some = links > 0
         ids, links = ids[some], links[some]
+        give_back()
         return pd.DataFrame({"u": np.concatenate([u, ids]), "v": np.concatenate([v, ids]), "links": np.concatenate([np.zeros(len(u), np.int64), links])})
 
     found = materialize(packed.groupBy("i", "j").applyInPandas(compare, "u long, v long, links long"), "links")
