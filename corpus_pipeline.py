@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line passages go; a document of nothing else goes with them."""
-    found = linededup.dedup_lines(docs)
+    """Later occurrences of passages of three sentences go, lines included; a document of nothing else goes with them."""
+    found = linededup.dedup_lines(docs, units=linededup.SENTENCES)
     return _measured(found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))), docs.columns)
 
 

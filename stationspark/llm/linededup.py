@@ -3,11 +3,15 @@
 Every three consecutive lines of a document are hashed. Where a window stands in several places of the corpus, the first
 (smallest doc_id, then place) stays and the lines of all others go; covered positions of overlapping windows merge. A line
 goes only if its text stays in an earlier place: following windows to their first places leads strictly backwards.
+
+The units of windows may be sentences in place of lines, which end at line ends too. Three equal lines are at least three equal
+sentences, so all that windows of lines find is found, and passages inside longer lines as well.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,22 +22,25 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 WINDOW = 3
+#: What ends a unit: the end of a line, and for sentences the space after a full stop or its like (none needed after wide ones).
+LINES, SENTENCES = re.compile(r"(\n)"), re.compile(r"(\n|(?<=[.!?…。！？])[^\S\n]+|(?<=[。！？])(?=[^\s。！？]))")
 
 
-def full_lines(text: str) -> tuple[list[str], list[int]]:
-    """The lines of a text, and which of them are not blank: windows are made of these."""
-    lines = text.split("\n")
-    return lines, [k for k, line in enumerate(lines) if line and not line.isspace()]
+def full_lines(text: str, units: re.Pattern = LINES) -> tuple[list[str], list[str], list[int]]:
+    """The lines (or other units) of a text, the end of each, and which of them are not blank: windows are made of these."""
+    parts = units.split(text)
+    lines = parts[::2]
+    return lines, [*parts[1::2], ""], [k for k, line in enumerate(lines) if line and not line.isspace()]
 
 
-def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def windows(docs: DataFrame, size: int = WINDOW, units: re.Pattern = LINES) -> DataFrame:
     """doc_id, pos (place among the lines that are not blank), and 128 bits of each window's trimmed lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, places, hashes = [], [], []
             for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
-                lines, full = full_lines(text)
+                lines, _, full = full_lines(text, units)
                 kept = [lines[k].strip() for k in full]
                 n = len(kept) - size + 1
                 if n > 0:
@@ -56,15 +63,15 @@ def repeated(found: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
 
 
-def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, size: int = WINDOW, units: re.Pattern = LINES) -> DataFrame:
     """``docs`` with text without repeated lines, n_lines (not blank) and n_removed; an input's columns of these names give way.
 
     Texts of fewer than ``size`` lines that are not blank have no window and stay, as do null texts (n_lines 0) and rows with
     a null doc_id. Blank lines are in no window; one goes with the text before it. Equal windows in one document count by
     place as in different ones. Rows that repeat a doc_id and text stand at one place: what is first in one is so in all. An
-    empty table gives no rows.
+    empty table gives no rows. With SENTENCES as ``units`` all this holds for sentences in place of lines.
     """
-    gone = repeated(materialize(windows(docs, size), "windows")).withColumnRenamed("doc_id", "__doc")
+    gone = repeated(materialize(windows(docs, size, units), "windows")).withColumnRenamed("doc_id", "__doc")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(text: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -73,7 +80,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             if one is None:
                 out.append((None, 0, 0))
                 continue
-            lines, full = full_lines(one)
+            lines, ends, full = full_lines(one, units)
             if at is None or not len(at):
                 out.append((one, len(full), 0))
                 continue
@@ -85,10 +92,14 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             for k, line in enumerate(lines):
                 if k in dropped or after and (not line or line.isspace()):
                     after = True
+                    if kept and ends[k] == "\n":  # what is left of a line ends as the line did
+                        kept[-1] = (kept[-1][0], "\n")
                 else:
-                    kept.append(line)
+                    kept.append((line, ends[k]))
                     after = False
-            out.append(("\n".join(kept), len(full), len(dropped)))
+            if kept:  # nothing follows the last one
+                kept[-1] = (kept[-1][0], "")
+            out.append(("".join(line + end for line, end in kept), len(full), len(dropped)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
     rows = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").withColumn("__cut", cut(F.col("text"), F.col("places")))

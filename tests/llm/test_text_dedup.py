@@ -122,3 +122,20 @@ def test_line_dedup_odd_tables(spark):
     rows = [(None, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc"), (1, "a\nb\nc")]
     got = sorted((str(r.doc_id), r.n_removed) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [("1", 0), ("1", 0), ("2", 3), ("None", 0)]
+
+
+def test_sentences_are_found_inside_longer_lines(spark):
+    shared = "The first shared sentence stands here. A second one follows it! Is the third one of any use?"
+    rows = [(1, f"Own words begin. {shared} Own words end.\nNext line."), (2, f"Other words begin. {shared}\n\nOther words end."), (3, f"a\nb\nc\n{shared}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_removed for r in linededup.dedup_lines(docs).collect()} == {0}
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(docs, units=linededup.SENTENCES).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("Other words begin.\nOther words end.", 3), 3: ("a\nb\nc", 3)}
+
+
+def test_pipeline_removes_passages_inside_longer_lines(spark, small):
+    import corpus_pipeline
+
+    shared = "The first shared sentence stands here. A second one follows it! Is the third one of any use?"
+    docs = spark.createDataFrame([(1, f"Own begin. {shared} Own end."), (2, f"Other begin. {shared} Other end.")], "doc_id long, text string")
+    assert sorted(r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, small).collect()) == sorted([f"Own begin. {shared} Own end.", "Other begin. Other end."])
