@@ -2,11 +2,14 @@
 
 Candidates are long runs of key characters. The forest looks at a candidate's length, its character transitions, how much of
 it is made of the corpus's own words, whether it stands in a path, and the words beside it. It learns from labelled
-findings: given ones, or by default those that known formats and assignments mark in a bounded sample of documents.
+findings: given ones, or by default those that known formats and assignments mark. All documents are labelled; of each label
+a bounded number of findings is learned from, so rare secrets are learned from wherever they stand.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 import re
 from collections import Counter
@@ -23,8 +26,12 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 from .trees import Forest, parse
 
-#: Documents that findings are labelled in, and words of the dictionary: both bounded.
+#: Documents that the dictionary is counted in, and its words: both bounded.
 SAMPLE_DOCS, DICTIONARY = 4000, 5000
+#: Findings of each label that are learned from at most: those with the smallest hashes, equal ones once.
+MOST_OF_LABEL = 4000
+#: Rows that fewer findings of a label are repeated to, so that every tree's own sample holds some.
+FEWEST_OF_LABEL = 64
 TREES, DEPTH, THRESHOLD = 24, 6, 0.5
 REDACTED = "[SECRET]"
 
@@ -91,43 +98,73 @@ class Model:
         return self.forest.mean(np.array(x)) if self.forest else np.full(len(x), self.base)
 
 
-def learn(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE_DOCS) -> Model:
-    """A forest from labelled findings of at most ``sample`` documents, those with the smallest hashed ids.
+def _smallest(found: Iterator[tuple[int, str, int, int]], most: int) -> list[tuple[int, str, str, int, int]]:
+    """Of (label, text, start, end) the ``most`` different ones of each label with the smallest hashes, cut to what is looked at."""
+    kept: dict[int, dict[str, tuple]] = {0: {}, 1: {}}
+    bound = {0: "g", 1: "g"}  # beyond any hash
+    for label, text, a, b in found:
+        near = text[max(0, a - BESIDE) : b + 8]
+        start = a - max(0, a - BESIDE)
+        key = hashlib.blake2b(f"{start} {b - a} {near}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        own = kept[label]
+        if key < bound[label]:
+            own[key] = (label, key, near, start, start + b - a)
+            if len(own) >= 2 * most:
+                kept[label] = {k: own[k] for k in heapq.nsmallest(most, own)}
+                bound[label] = max(kept[label])
+    return [own[k] for own in kept.values() for k in heapq.nsmallest(most, own)]
+
+
+def learn(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE_DOCS, most: int = MOST_OF_LABEL) -> Model:
+    """A forest from labelled findings of all documents: of each label the ``most`` with the smallest hashes, both of equal weight.
 
     ``findings`` (doc_id, start, end, secret: code points and 0 or 1) are what people have labelled; without them known
-    formats and assignments label the sample's candidates. With findings of one kind only there is no forest, and every
-    candidate scores that kind.
+    formats and assignments label the candidates of every row, whatever its id. With findings of one kind only there is no
+    forest, and every candidate scores that kind. The dictionary is counted in the ``sample`` documents with the smallest
+    hashed ids.
     """
     spark = docs.sparkSession
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    if findings is not None:
-        ids = findings.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")  # bounded
     texts = materialize(texts.repartition(8), "secret-sample")
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where(F.length("w").between(3, 10))
     words = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "w").limit(DICTIONARY).collect()
     known = spark.sparkContext.broadcast(frozenset(r["w"] for r in words))
-    given = texts.withColumn("given", F.lit(None).cast("array<struct<start:bigint,end:bigint,secret:int>>"))
+    given = docs.select(text_or_empty().alias("text"), F.lit(None).cast("array<struct<start:bigint,end:bigint,secret:int>>").alias("given"))
     if findings is not None:
         rows = findings.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("secret").cast("int").alias("secret"))).alias("given"))
-        given = texts.join(rows, "doc_id")
-
-    @F.pandas_udf("array<struct<label:double,x:array<double>>>")
-    def found(text: pd.Series, own: pd.Series) -> pd.Series:
-        out = []
-        for t, g in zip(text, own, strict=True):
-            spans = [(a, b, labelled(t, a, b)) for a, b in candidates(t)] if g is None else [(r["start"], r["end"], r["secret"]) for r in g if r["end"] > r["start"]]
-            out.append([{"label": float(y), "x": describe(t, a, b, known.value)} for a, b, y in spans])
-        return pd.Series(out, dtype=object)
-
-    rows = given.select(F.inline(found("text", "given")))
-    rows = materialize(rows.select("label", "x"), "secret-training")
+        given = docs.select("doc_id", text_or_empty().alias("text")).join(rows, "doc_id").select("text", "given")
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[tuple[int, str, int, int]]:
+            for pdf in batches:
+                for t, g in zip(pdf["text"], pdf["given"], strict=True):
+                    if g is None:
+                        yield from ((labelled(t, a, b), t, a, b) for a, b in candidates(t))
+                    else:
+                        yield from ((int(bool(r["secret"])), t, r["start"], r["end"]) for r in g if r["end"] > r["start"])
+
+        yield pd.DataFrame(_smallest(found(), most), columns=["label", "key", "near", "start", "end"])
+
+    rows = materialize(given.mapInPandas(label, "label long, key string, near string, start long, end long"), "secret-findings").distinct()
+    rows = [rows.where(F.col("label") == k).orderBy("key").limit(most) for k in (0, 1)]
+
+    @F.pandas_udf("array<double>")
+    def features(near: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([describe(t, a, b, known.value) for t, a, b in zip(near, start, end, strict=True)], dtype=object)
+
+    rows = rows[0].union(rows[1]).select(F.col("label").cast("double").alias("label"), features("near", "start", "end").alias("x"))
+    rows = materialize(rows, "secret-training")
     kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return Model(None, max(kinds, default=0.0), known.value)
     # Rows come in one order whatever task made them, so the seeded forest is the same again.
-    train = rows.orderBy("label", "x").coalesce(1).select("label", array_to_vector("x").alias("features"))
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, maxBins=64).fit(train)
+    times = {k: -(-FEWEST_OF_LABEL // n) for k, n in kinds.items()}
+    by_label = lambda values: F.when(F.col("label") == 1, F.lit(values[1.0])).otherwise(F.lit(values[0.0]))
+    train = rows.withColumn("weight", by_label({k: 1000.0 / (n * times[k]) for k, n in kinds.items()}))
+    train = train.withColumn("again", F.explode(F.sequence(F.lit(1), by_label(times)))).orderBy("label", "x", "again").coalesce(1)
+    train = train.select("label", "weight", array_to_vector("x").alias("features"))
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, maxBins=64, weightCol="weight").fit(train)
     return Model(Forest.of(parse(model.toDebugString)), 0.0, known.value)
 
 

@@ -127,6 +127,27 @@ def test_secrets_learn_from_given_findings(spark):
     assert secrets.scan(none, secrets.learn(none)).count() == 0
 
 
+def test_rare_secrets_are_learned_from_any_document(spark):
+    rng = random.Random(12)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(k, f"{words(5)} commit {hexes()} {words(5)}") for k in range(4300)]
+    keys = {k: "ghp_" + "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(36)) for k in (None, 5000, 5001)}
+    docs = spark.createDataFrame([*rows, *((k, f"{words(5)} {key} {words(5)}") for k, key in keys.items())], "doc_id long, text string").repartition(4)
+    few = docs.where("doc_id is null or doc_id >= 5000 or doc_id < 300")
+    # Ten documents at most count words; labels come from all.
+    found = secrets.scan(few, secrets.learn(docs, sample=10)).collect()
+    assert all(any(f.secret for f in r.findings) == (r.doc_id is None or r.doc_id >= 5000) for r in found)
+    assert all(keys[r.doc_id] not in r.redacted for r in found if r.doc_id in keys)
+
+
+def test_smallest_findings_do_not_depend_on_tasks():
+    found = [(k % 2, f"some text {k % 700} here", 5, 12) for k in range(3000)]
+    whole = secrets._smallest(iter(found), 50)
+    parts = [x for k in range(3) for x in secrets._smallest(iter(found[k::3]), 50)]
+    again = [x for y in (0, 1) for x in sorted({p for p in parts if p[0] == y}, key=lambda p: p[1])[:50]]
+    assert sorted(whole) == sorted(again) and len(whole) == 100
+
+
 # -- toxicity ------------------------------------------------------------------------------------------------------------------
 
 
