@@ -1,6 +1,6 @@
 """Secret scans: candidates that a random forest keeps or drops (operator 4).
 
-Candidates are long runs of key characters. The forest looks at a candidate's length, its character transitions, how much of
+Candidates are known formats wherever they stand, values assigned to names of secrets, and long runs of key characters. The forest looks at a candidate's length, its character transitions, how much of
 it is made of the corpus's own words, whether it stands in a path, and the words beside it. It learns from labelled
 findings: given ones, or by default those that known formats and assignments mark. All documents are labelled; of each label
 a bounded number of findings is learned from, so rare secrets are learned from wherever they stand.
@@ -36,24 +36,50 @@ TREES, DEPTH, THRESHOLD = 24, 6, 0.5
 REDACTED = "[SECRET]"
 
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Words beside a candidate that speak for a secret, and for something else (fixed values).
 _FOR = re.compile(r"(?i)(pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private)")
 _AGAINST = re.compile(r"(?i)(sha-?[0-9]+|md5|commit|digest|checksum|uuid|etag|revision|build|version|isbn|order|card|phone|https?:)")
 #: Formats that name themselves (fixed values), and assignments to names of secrets: what labels findings by default.
-_FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_\-]{20}|xox[baprs]-[A-Za-z0-9\-]{10,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{10,}|sk_live_[0-9A-Za-z]{16,}")
-_ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*[\"']?$")
-BESIDE = 24
+_FORMATS = re.compile(r"A[KS]IA[0-9A-Z]{16,}|gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_\-]{20,}|xox[baprs]-[A-Za-z0-9\-]{10,}|AIza[0-9A-Za-z_\-]{35,}|(?<![A-Za-z0-9+])eyJ[A-Za-z0-9_\-]{10,}|sk_live_[0-9A-Za-z]{16,}")
+_NAME = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s*(?:=>|:=|[=:])\s*"
+#: A value in quotes (escaped ones included) ends with them, one without at white space.
+_VALUE = re.compile(_NAME + r"""(?:"(?P<two>(?:[^"\\\n]|\\.)+)"|'(?P<one>(?:[^'\\\n]|\\.)+)'|["']?(?P<bare>[^\s"']\S*))""")
+_ASSIGNED = re.compile(_NAME + r"[\"']?$")
+#: Values that stand for one that is elsewhere, or say what kind it is.
+_NO_VALUE = re.compile(r"(?i)[$<{%].*|\*+|x+|none|null|nil|true|false|string|str|int|required|optional|.*[(\[].*[)\]]")
+BESIDE = 48
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Places of runs that may be secrets: at least twelve key characters with a digit, or 24 of both cases."""
-    out = []
+    """Places that may be secrets, in order; they may overlap.
+
+    Known formats by themselves, whatever they are glued to; values of any characters and length that are assigned to names of
+    secrets; runs of at least twelve key characters with a digit, or of 24 without. A run that a known format is only a part of
+    is what is left of it on both sides.
+    """
+    formats = [m.span() for m in _FORMATS.finditer(text)]
+    out = set(formats)
+    for m in _VALUE.finditer(text):
+        a, b = m.span(m.lastgroup)
+        if m.lastgroup == "bare":
+            b = a + len(text[a:b].rstrip("\"',;")) or b
+        if b > a:
+            out.add((a, b))
+    at = 0
     for m in _RUN.finditer(text):
-        run = m.group()
-        if _DIGIT.search(run) or (len(run) >= 24 and not run.islower() and not run.isupper()):
-            out.append(m.span())
-    return out
+        a, end = m.span()
+        while at < len(formats) and formats[at][1] <= a:
+            at += 1
+        cuts, k = [], at
+        while k < len(formats) and formats[k][0] < end:
+            cuts.append(formats[k])
+            k += 1
+        for x, y in [*cuts, (end, end)]:
+            if x - a >= 12 and (x - a >= 24 and _LETTER.search(text, a, x) or _DIGIT.search(text, a, x)):
+                out.add((a, x))
+            a = max(a, y)
+    return sorted(out)
 
 
 def _kind(c: str) -> int:
@@ -73,19 +99,26 @@ def describe(text: str, a: int, b: int, words: frozenset[str]) -> list[float]:
         size = next((s for s in range(min(10, n - k), 2, -1) if low[k : k + s] in words), 0)
         covered += size
         k += size or 1
-    before, after = text[max(0, a - BESIDE) : a], text[b : b + 8]
+    assigned = bool(_ASSIGNED.search(text[max(0, a - BESIDE) : a]))
+    before, after = text[max(0, a - BESIDE // 2) : a], text[b : b + 8]
     hexes = sum(c in "0123456789abcdefABCDEF" for c in run) / n
     return [
         float(n), *counts, changes, entropy, covered / n, hexes,
         float(run.count("/")), float(before[-1:] in "/.@" and bool(before)), float(after[:1] in ("/", ".", "@")),
         float(bool(_FOR.search(before))), float(bool(_AGAINST.search(before))), float(before.rstrip()[-1:] in ("=", ":", '"', "'") and bool(before.strip())),
-        float(before[-1:] in ('"', "'") and after[:1] in ('"', "'")), float(bool(_FORMATS.match(run))),
+        float(before[-1:] in ('"', "'") and after[:1] in ('"', "'")), float(bool(_FORMATS.fullmatch(run))),
+        float(assigned), float(assigned and bool(_NO_VALUE.fullmatch(run))),
     ]
 
 
 def labelled(text: str, a: int, b: int) -> int:
-    """Whether known formats or an assignment mark a candidate as a secret."""
-    return int(bool(_FORMATS.fullmatch(text, a, b)) or (bool(_ASSIGNED.search(text[max(0, a - BESIDE) : a])) and bool(_DIGIT.search(text[a:b]))))
+    """Whether known formats or an assignment mark a candidate as a secret: one with a digit, or in quotes and of one word."""
+    run = text[a:b]
+    if _FORMATS.fullmatch(run):
+        return 1
+    if not _ASSIGNED.search(text[max(0, a - BESIDE) : a]) or _NO_VALUE.fullmatch(run):
+        return 0
+    return int(bool(_DIGIT.search(run)) or (text[a - 1] in "\"'" and text[b : b + 1] == text[a - 1] and not re.search(r"\s", run)))
 
 
 @dataclass(frozen=True)
@@ -189,8 +222,9 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 at += len(found)
                 parts, last = [], 0
                 for (a, b), score in rated:
-                    if score >= THRESHOLD:
-                        parts += [t[last:a], REDACTED]
+                    if score >= THRESHOLD and b > last:
+                        if a >= last:  # else it goes on from the secret before
+                            parts += [t[last:a], REDACTED]
                         last = b
                 redacted = "".join([*parts, t[last:]]) if parts else t
                 out.append((redacted, [{"start": a, "end": b, "score": s, "secret": s >= THRESHOLD} for (a, b), s in rated]))

@@ -140,6 +140,32 @@ def test_rare_secrets_are_learned_from_any_document(spark):
     assert all(keys[r.doc_id] not in r.redacted for r in found if r.doc_id in keys)
 
 
+def test_candidates_of_all_kinds():
+    aws, letters, low = "AKIA" + "ABCD2345" * 2, "ASIA" + "QRSTUVWX" * 2, "qwertyuiopasdfghjklzxcvbnm"
+    for text, secret in [('password = "S3cr3t!pw"', "S3cr3t!pw"), ("pwd: a!1", "a!1"), ('{"token": "corr,horse"}', "corr,horse"), (f"s3://bucket/{aws}", aws), (f"{aws}_old", aws), (f"id-{letters}.", letters), (letters, letters), ("api_key='it is a 1 phrase'", "it is a 1 phrase")]:
+        a = text.index(secret)
+        span = (a, a + len(secret))
+        assert span in secrets.candidates(text) and secrets.labelled(text, *span) == 1, text
+    assert (5, 5 + len(low)) in secrets.candidates(f"some {low} here")
+    for text in ("password = ${VAR}", "token: required", 'auth = os.getenv("A1")'):
+        assert not any(secrets.labelled(text, a, b) for a, b in secrets.candidates(text)), text
+    assert secrets.candidates("auth: ") == secrets.candidates("-" * 40) == secrets.candidates("") == []
+    glued = f"0123456789abc/{aws}/0123456789abc"
+    assert secrets.candidates(glued) == [(0, 14), (14, 34), (34, 48)]
+
+
+def test_short_and_glued_secrets_are_redacted(spark):
+    rng, rows = random.Random(13), []
+    for k in range(400):
+        one = "".join(rng.choice("abcdefXYZ") for _ in range(5)) + rng.choice("!?%&") + str(rng.randint(10, 99))
+        key = "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNP23456789") for _ in range(16))
+        inside = [f'password = "{one}"', f"bucket/{key}", f"commit {rng.getrandbits(160):040x}", f"/usr/share/lib/{rng.randint(10**5, 10**6)}/file{k}"][k % 4]
+        rows.append((k, f"{words(10)} {inside} {words(10)}", [one, key, None, None][k % 4]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secret string").repartition(4)
+    got = secrets.scan(docs, secrets.learn(docs)).collect()
+    assert np.mean([r.secret not in r.redacted if r.secret else r.redacted == r.text for r in got]) > 0.97
+
+
 def test_smallest_findings_do_not_depend_on_tasks():
     found = [(k % 2, f"some text {k % 700} here", 5, 12) for k in range(3000)]
     whole = secrets._smallest(iter(found), 50)
