@@ -21,6 +21,17 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows as a written table with a key of their own, ``__row``, whatever repeats among them.
+
+    Keys ascend by doc_id (null last), a hash of the text and one of the whole row; among rows equal in all columns, which are
+    interchangeable, in any order. Once written they are the same for all readers.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns), "__place"]
+    rows = docs.withColumn("__place", F.monotonically_increasing_id()).orderBy(*order)  # __place splits large groups of equal rows
+    return materialize(rows.drop("__place").withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are rated toxic go; rows without text or id are rated as any other."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -29,15 +40,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of passages of three sentences go, lines included; a document of nothing else goes with them."""
-    found = linededup.dedup_lines(docs, units=linededup.SENTENCES)
-    return _measured(found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))), docs.columns)
+    """Later occurrences of passages of three sentences go, lines included; a document of nothing else goes with them.
+
+    Every row stands for itself, also where ids or whole rows repeat or ids are null; of equal ones the first stays whole.
+    """
+    rows = _keyed(docs, "line-rows")
+    found = linededup.dedup_lines(rows.select(F.col("__row").alias("doc_id"), "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("__all")), units=linededup.SENTENCES)
+    found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return _measured(found.select(*[F.col(f"__all.`{c}`") for c in docs.columns if c != "text"], "text"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by n-gram similarity the one with the smallest id stays."""
-    later = jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(later, "near-duplicates"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of rows that hang together by n-gram similarity one stays, that with the smallest id (null last).
+
+    Rows are told apart by keys of their own, so of repeated rows and of those without id one stays as well, and different
+    texts of one id are judged each by itself. Rows without words hang together with none.
+    """
+    rows = _keyed(docs, "near-rows")
+    later = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("__row"))
+    return rows.join(materialize(later, "near-duplicates"), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,18 @@ def test_run_is_its_stages(spark, small):
     rows = corpus_pipeline.run(spark, small)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert rows.count() > 100
+
+
+def test_rows_are_told_apart_by_more_than_ids(spark, small):
+    text = {k: " ".join(f"{k}{n}" for n in range(40)) for k in "abcd"}
+    lines = {k: "\n".join(f"{k} line {n}" for n in range(5)) for k in "ef"}
+    rows = [(1, text["a"]), (1, text["a"]), (None, text["a"]), (None, text["b"]), (None, text["b"]), (7, text["c"]), (8, text["c"]), (8, text["d"]), (9, None), (None, ""), (4, text["a"])]
+    rows += [(2, lines["e"]), (2, lines["e"]), (None, lines["e"]), (None, lines["f"]), (None, lines["f"]), (2, "one\ntwo"), (5, lines["e"] + "\nown")]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    kept = materialize(corpus_pipeline.drop_repeated_lines(spark, docs, small), "lines")
+    assert kept.columns == docs.columns
+    left = [r for r in rows if r[1] not in lines.values()][:-1] + [(2, lines["e"]), (None, lines["f"]), (5, "own")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, left))
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()
+    one = [(1, text["a"]), (None, text["b"]), (7, text["c"]), (8, text["d"]), (9, None), (None, ""), (2, lines["e"]), (None, lines["f"]), (2, "one\ntwo")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got if r.doc_id != 5))) == sorted(map(str, one))
