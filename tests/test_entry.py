@@ -33,6 +33,11 @@ def test_equals_sql(spark, small, name):
     assert sorted(tuple(map(shown, r)) for r in rows) == sorted(tuple(shown(r[c]) if not isinstance(r[c], float) else f"{r[c]:.5f}" for c in columns) for r in got.collect())
 
 
+def test_append_is_held_against_stored_rows(spark, small):
+    plan = QUERIES["append_first_wins"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Union" in plan
+
+
 def test_plans(spark, small):
     plan = QUERIES["daily_summary"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and not re.search("Python|Arrow", plan)
