@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 from .trees import Forest, parse
 
-#: Documents that the dictionary is counted in, and its words: both bounded.
-SAMPLE_DOCS, DICTIONARY = 4000, 5000
+#: Words of the dictionary at most; it holds words of one in RAREST documents, three at least, or of more where it would be larger.
+DICTIONARY, RAREST = 50_000, 20_000
 #: Findings of each label that are learned from at most: those with the smallest hashes, equal ones once.
 MOST_OF_LABEL = 4000
 #: Rows that fewer findings of a label are repeated to, so that every tree's own sample holds some.
@@ -148,20 +148,19 @@ def _smallest(found: Iterator[tuple[int, str, int, int]], most: int) -> list[tup
     return [own[k] for own in kept.values() for k in heapq.nsmallest(most, own)]
 
 
-def learn(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE_DOCS, most: int = MOST_OF_LABEL) -> Model:
+def learn(docs: DataFrame, findings: DataFrame | None = None, most: int = MOST_OF_LABEL) -> Model:
     """A forest from labelled findings of all documents: of each label the ``most`` with the smallest hashes, both of equal weight.
 
     ``findings`` (doc_id, start, end, secret: code points and 0 or 1) are what people have labelled; without them known
     formats and assignments label the candidates of every row, whatever its id. With findings of one kind only there is no
-    forest, and every candidate scores that kind. The dictionary is counted in the ``sample`` documents with the smallest
-    hashed ids.
+    forest, and every candidate scores that kind. The dictionary is counted over all rows.
     """
     spark = docs.sparkSession
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")  # bounded
-    texts = materialize(texts.repartition(8), "secret-sample")
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where(F.length("w").between(3, 10))
-    words = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "w").limit(DICTIONARY).collect()
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}]+"))).alias("w")).where(F.length("w").between(3, 10))
+    least = max(3, -(-docs.count() // RAREST))
+    words = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(DICTIONARY + 1).collect()
+    if len(words) > DICTIONARY:
+        words = [r for r in words if r["n"] > words[-1]["n"]]
     known = spark.sparkContext.broadcast(frozenset(r["w"] for r in words))
     given = docs.select(text_or_empty().alias("text"), F.lit(None).cast("array<struct<start:bigint,end:bigint,secret:int>>").alias("given"))
     if findings is not None:

@@ -134,8 +134,7 @@ def test_rare_secrets_are_learned_from_any_document(spark):
     keys = {k: "ghp_" + "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(36)) for k in (None, 5000, 5001)}
     docs = spark.createDataFrame([*rows, *((k, f"{words(5)} {key} {words(5)}") for k, key in keys.items())], "doc_id long, text string").repartition(4)
     few = docs.where("doc_id is null or doc_id >= 5000 or doc_id < 300")
-    # Ten documents at most count words; labels come from all.
-    found = secrets.scan(few, secrets.learn(docs, sample=10)).collect()
+    found = secrets.scan(few, secrets.learn(docs)).collect()
     assert all(any(f.secret for f in r.findings) == (r.doc_id is None or r.doc_id >= 5000) for r in found)
     assert all(keys[r.doc_id] not in r.redacted for r in found if r.doc_id in keys)
 
@@ -166,6 +165,15 @@ def test_short_and_glued_secrets_are_redacted(spark):
     assert np.mean([r.secret not in r.redacted if r.secret else r.redacted == r.text for r in got]) > 0.97
 
 
+def test_dictionary_is_of_all_documents(spark, monkeypatch):
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+    rows = [(k, " ".join(name(500 * k + n) for n in range(500))) for k in range(14)] * 3 + [(None, "rare words here")] * 4 + [(None, "twice")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert secrets.learn(docs).words == {name(k) for k in range(7000)} | {"rare", "words", "here"}
+    monkeypatch.setattr(secrets, "DICTIONARY", 10)
+    assert secrets.learn(docs).words == {"rare", "words", "here"}
+
+
 def test_smallest_findings_do_not_depend_on_tasks():
     found = [(k % 2, f"some text {k % 700} here", 5, 12) for k in range(3000)]
     whole = secrets._smallest(iter(found), 50)
