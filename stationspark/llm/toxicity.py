@@ -77,13 +77,9 @@ class _Scores(dict):
         return value
 
     def of(self, text: str) -> np.ndarray:
-        """The scores of a text's words; one that repeats the word before it adds nothing."""
+        """The scores of a text's words, repeated ones included."""
         words = text.split()
-        out = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
-        for k in np.flatnonzero(out[1:] > 0).tolist():
-            if words[k] == words[k + 1]:
-                out[k + 1] = 0.0
-        return out
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:

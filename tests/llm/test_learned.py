@@ -236,6 +236,13 @@ def test_passages_are_where_the_words_are(labelled, spark):
     assert any(p.start <= at and p.end >= at + 20 for p in row.passages) and row.score > 0.5
 
 
+def test_a_repeated_toxic_word_is_toxic(spark, labelled):
+    docs, labels = labelled
+    repeated = spark.createDataFrame([(1, "vile " * 30), (2, "vile " * 30_000), (3, words(200) + " vile" * 30 + " " + words(200))], "doc_id long, text string")
+    rows = toxicity.score(repeated, toxicity.learn(docs, labels)).collect()
+    assert len(rows) == 3 and all(r.score >= toxicity.THRESHOLD and len(r.passages) == 1 for r in rows)
+
+
 def test_toxicity_odd_tables(spark, labelled):
     docs, labels = labelled
     odd = spark.createDataFrame([(None, "vile"), (1, None), (2, ""), (2, ""), (3, "vile " * 30_000)], "doc_id long, text string")
