@@ -1,8 +1,9 @@
-"""Sets of five-word shingles as sorted 64-bit hashes, and the global rare-first order of shingles."""
+"""Sets of five-word shingles as sorted 64-bit hashes, and one pass that describes the set of every document."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,55 +15,122 @@ from pyspark.sql import functions as F
 from .common import give_back, shuffle_partitions
 
 WORDS = 5
-#: Words that a worker keeps the hashes of; beyond it the table starts anew.
-MOST_WORDS = 200_000
+#: Bytes of text that are hashed at a time, and bytes from which a word is hashed by itself.
+CHUNK, LONG = 1 << 18, 1 << 15
 #: Counters of the frequency sketch (a power of two) and of one block of it: a fixed size whatever the corpus holds.
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_WHITE = re.compile(rb"[\x09-\x0D\x20]")
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A number for each byte, A-Z as a-z, and powers of an odd number and of its inverse modulo 2^64 for a chunk's places.
+_VALUE = np.random.default_rng(20).integers(1, 2**64, 256, dtype=np.uint64)[np.frombuffer(_LOWER, np.uint8)]
+_ODD = 0xD1342543DE82EF95
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_known = _Hashes()
+def _powers(base: int) -> np.ndarray:
+    out = np.full(CHUNK, base % 2**64, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
-def release() -> None:
-    """Forget the worker's words at the end of a task."""
-    _known.clear()
-    give_back()
+_POWER, _INVERSE = _powers(_ODD), _powers(pow(_ODD, -1, 2**64))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct shingles of a whole text as ascending 64-bit hashes.
+def _long_word(word: bytes) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(word.translate(_LOWER)))
+
+
+def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of at most CHUNK bytes begin, and their hashes: a polynomial over bytes, mixed with the length."""
+    b = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[b], [True]]).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[b] * _POWER[: len(b)], dtype=np.uint64)])
+    h = mixed((sums[end] - sums[start]) * _INVERSE[start] + (end - start).astype(np.uint64) * _STEP)
+    for k in np.flatnonzero(end - start >= LONG):
+        h[k] = _long_word(data[start[k] : end[k]])
+    return start, h
+
+
+def _hash_long(data: bytes) -> np.ndarray:
+    """The hashes of the words of a text of any length, cut at white space."""
+    out, at = [], 0
+    while at < len(data):
+        piece = data[at : at + CHUNK]
+        if len(piece) == CHUNK:
+            white = np.flatnonzero(_SPACE[np.frombuffer(piece, np.uint8)])
+            if not len(white):  # one word is longer than that
+                found = _WHITE.search(data, at + CHUNK)
+                end = found.start() if found else len(data)
+                out.append(np.array([_long_word(data[at:end])], np.uint64))
+                at = end
+                continue
+            piece = piece[: white[-1] + 1]
+        out.append(_hash_chunk(piece)[1])
+        at += len(piece)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of ``size`` words."""
+    n = max(0, len(h) - size + 1)
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = out * _STEP + h[k : k + n]
+    return mixed(out)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _sets_together(parts: list[bytes]) -> list[np.ndarray]:
+    """The sets of several texts of at most CHUNK bytes in all, white space between them."""
+    start, h = _hash_chunk(b"\n".join(parts))
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    first = [0, *np.searchsorted(start, ends).tolist()]
+    rolled, out = _rolled(h, WORDS), []
+    for a, b in zip(first, first[1:], strict=False):
+        out.append(_distinct(rolled[a : b - WORDS + 1]) if b - a >= WORDS else _rolled(h[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+    return out
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """For each whole text its distinct shingles as ascending 64-bit hashes.
 
     A-Z become lower case; words are what stands between the six ASCII white-space characters. A text of fewer than five
     words is one shingle; one without words has none.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    size = min(WORDS, len(words))
-    n = len(words) - size + 1
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = out * _STEP + h[k : k + n]
-    return np.unique(_mixed(out))
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if size + len(data) + 1 > CHUNK:
+            yield from _sets_together(held)
+            held, size = [], 0
+        if len(data) >= CHUNK:
+            h = _hash_long(data)
+            yield _distinct(_rolled(h, WORDS)) if len(h) >= WORDS else _rolled(h, len(h)) if len(h) else np.zeros(0, np.uint64)
+        else:
+            held.append(data)
+            size += len(data) + 1
+    if held:
+        yield from _sets_together(held)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return next(shingle_sets([text]))
 
 
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -77,8 +145,7 @@ def count_pass(docs: DataFrame) -> DataFrame:
         counts = np.zeros(COUNTERS, np.uint32)
         for pdf in batches:
             rows, places, held = [], [], 0
-            for text in pdf["text"]:
-                s = shingle_set(text)
+            for s in shingle_sets(pdf["text"].tolist()):
                 rows.append((len(s), *set_key(s)))
                 places.append((s & np.uint64(COUNTERS - 1)).astype(np.uint32))
                 held += len(s)
@@ -91,7 +158,7 @@ def count_pass(docs: DataFrame) -> DataFrame:
             out["doc_id"], out["no_id"] = pdf["doc_id"].to_numpy(), pdf["no_id"].to_numpy()
             out["block"], out["counts"] = -1, None
             yield out
-        release()
+        give_back()
         some = [k for k in range(COUNTERS // BLOCK) if counts[k * BLOCK : (k + 1) * BLOCK].any()]
         yield pd.DataFrame({"doc_id": 0, "no_id": True, "n": -1, "h1": 0, "h2": 0, "block": some, "counts": [counts[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in some]})
 
@@ -118,10 +185,3 @@ def total_counts(passed: DataFrame) -> np.ndarray:
     for r in parts.mapInPandas(add, "block int, counts binary").where(F.col("block").isNotNull()).collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
     return out
-
-
-def rare_first(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set in the global order, rare shingles first, and the counts that stand for them; ties go by hash."""
-    seen = counts[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    order = np.argsort(seen, kind="stable")
-    return shingles[order], seen[order]

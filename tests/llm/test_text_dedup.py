@@ -57,11 +57,12 @@ def copies():
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_jaccard_is_brute_force(spark, copies, monkeypatch, hot):
-    if hot:  # every shingle is spread over lists, few copies are known
-        monkeypatch.setattr(jaccard, "COUNTERS", 1 << 40)
+    if hot:  # every shingle counts as frequent and has lists of several parts, few copies are known
+        monkeypatch.setattr(jaccard, "SPREAD", 2)
         monkeypatch.setattr(jaccard, "MOST_CLASSES", 1)
-        real = jaccard.postings
-        monkeypatch.setattr(jaccard, "postings", lambda docs, counts, copies_, t: real(docs, counts * 3000, copies_, t))
+        monkeypatch.setattr(jaccard, "HELD", 700)
+        real = jaccard.prefix_postings
+        monkeypatch.setattr(jaccard, "prefix_postings", lambda docs, counts, copies_, t: real(docs, counts * 3000, copies_, t))
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in copies], "doc_id long, text string, token string, n int")
     got = sorted(map(tuple, jaccard.jaccard_components(docs.repartition(5)).collect()))
     assert got == brute_components(copies)
@@ -74,6 +75,21 @@ def test_jaccard_odd_tables(spark):
     assert got == sorted(map(str, [(5, 2, 2), (5, 2, 2), (None, 2, None), (2, 2, 2), (9, 0, 9)]))
 
 
+def test_passages_that_many_short_documents_hold(spark):
+    """Texts of which three quarters are one passage do not link by it, those that hold little else do."""
+    rng, passage = random.Random(5), [f"p{k}" for k in range(64)]
+    texts = [" ".join([f"own{rng.randrange(10**9)}" for _ in range(k % 30)] + passage) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.jaccard_components(docs).collect())) == brute_components(list(enumerate(texts)))
+
+
+def test_shingles_of_long_texts_and_words():
+    texts = ["", None, " ", "A b", "x" * 600_000 + " b " + "Y" * 300_000, "a B " * 100_000, "Q" * 40_000 + " q w e r t", "ab cd " * 50_000 + "z" * shingles.CHUNK]
+    assert [len(s) for s in shingles.shingle_sets(texts)] == [len(shingle_words(t)) for t in texts]
+    for t in texts:
+        assert (shingles.shingle_set(t) == shingles.shingle_set((t or "").lower())).all()
+
+
 def test_shingle_sets():
     assert len(shingles.shingle_set("a b c d e f g")) == 3
     assert len(shingles.shingle_set("A b")) == 1 and (shingles.shingle_set("A b") == shingles.shingle_set("a\x0bB")).all()
