@@ -5,8 +5,8 @@ of neighbours are looked up by binary search in the sorted array of mergeable pa
 word is merged wherever it stands in that word, and the array is compacted. The number of rounds is that of the longest
 chain of merges in one word, not the number of words.
 
-Text is cut at spaces and line ends where the pre-tokenizer's pattern is known to cut as well, so that a worker encodes each
-distinct piece once and keeps it in a bounded table; a text with any other white space is cut by the pattern itself.
+Texts are cut into words over arrays of characters, too: each character has a class, and the pre-tokenizer's pattern cuts
+where classes change. A worker keeps the ids of the words that it has seen, by their hashes, in a bounded table of arrays.
 """
 
 from __future__ import annotations
@@ -18,19 +18,20 @@ from collections.abc import Iterator
 import numpy as np
 import regex
 
-from .common import give_back
+from .hashing import gathered, span_hashes
 
-#: The pattern of the byte-level pre-tokenizer (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words that a worker's table keeps at most; of more, those used last stay. It costs time and changes no result.
+MOST_WORDS = 1 << 19
+#: Characters of text that are cut into words at a time, and words that are merged together.
+CHUNK, WORD_BATCH = 1 << 18, 1 << 15
 
-#: Distinct pieces that a worker keeps at most; beyond it the table starts anew, which costs time and changes no result.
-MOST_PIECES = 250_000
-
-#: Characters of text that are cut into pieces at a time.
-CHUNK = 1 << 20
-
-#: Words merged together.
-WORD_BATCH = 1 << 16
+#: Classes of characters: white space, letters, numbers, all others, and what stands between texts.
+_SPACE, _LETTER, _NUMBER, _OTHER, _BETWEEN = range(5)
+_CLASSES = [(_SPACE, regex.compile(r"\s")), (_LETTER, regex.compile(r"\p{L}")), (_NUMBER, regex.compile(r"\p{N}"))]
+#: What follows an apostrophe as a word of its own (fixed values), by how many letters it has.
+_ENDINGS = {1: "stmd", 2: ("re", "ve", "ll")}
+#: A space that always begins a word.
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_symbols() -> list[str]:
@@ -42,6 +43,49 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+class Characters:
+    """The class of every character, found by blocks of 256 as they come up."""
+
+    def __init__(self):
+        self.of = np.full(0x110000, _OTHER, np.uint8)
+        self.known = np.zeros(0x1100, bool)
+
+    def classes(self, points: np.ndarray) -> np.ndarray:
+        for block in np.flatnonzero((np.bincount(points >> 8, minlength=0x1100) > 0) & ~self.known):
+            text = "".join(map(chr, range(block << 8, block + 1 << 8)))
+            for kind, pattern in _CLASSES:
+                for m in pattern.finditer(text):
+                    self.of[(block << 8) + m.start()] = kind
+            self.known[block] = True
+        return self.of[points]
+
+
+def word_starts(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where words begin in an array of characters, texts in it ended by one of class _BETWEEN, which is a word by itself.
+
+    A word is a run of one class, with the space before it if there is one. Of several white-space characters before a word
+    all but the last are one; the last is the word's if it is a space, else one by itself. An apostrophe that begins a word
+    takes an ending after it.
+    """
+    begin = np.append(True, classes[1:] != classes[:-1])
+    between = classes == _BETWEEN
+    begin |= between
+    begin[1:] |= between[:-1]
+    last = np.flatnonzero((classes[:-1] == _SPACE) & (classes[1:] != _SPACE) & ~between[1:])
+    begin[last] = True
+    begin[last[points[last] == 0x20] + 1] = False
+    quote = np.flatnonzero((points[:-1] == 0x27) & begin[:-1] & (classes[1:] == _LETTER))
+    if len(quote):
+        one, two = points[quote + 1], points[np.minimum(quote + 2, len(points) - 1)]
+        size = np.isin(one, list(map(ord, _ENDINGS[1]))).astype(np.int64)
+        for a, b in _ENDINGS[2]:
+            size[(one == ord(a)) & (two == ord(b))] = 2
+        quote, size = quote[size > 0], size[size > 0]
+        begin[quote + 1] = False
+        begin[quote + 1 + size] = True
+    return np.flatnonzero(begin)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file in the tokenizers format (byte-level BPE)."""
 
@@ -58,34 +102,36 @@ class Codec:
             self.bytes_of[i] = token.encode() if token in self.special else bytes(to_byte[c] for c in token)
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.first = np.array([vocab[s] for s in symbols], dtype=np.int64)
+        self.decimal = list(map(str, range(size)))
+        self.first = np.array([vocab[s] for s in symbols], dtype=np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.int64)
-        made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], np.arange(len(keys))[order], made[order]
-        self.by_rank = made
-        self.pattern = regex.compile(PATTERN)
+        self.keys, self.rank, self.by_rank = keys[order], np.arange(len(keys), dtype=np.int32)[order], made
+        # The ranks of pairs of bytes, of which the first round has nothing else.
+        both = (self.first.astype(np.int64)[:, None] << 32 | self.first[None, :]).ravel()
+        self.of_bytes = self._ranks(both)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
+        self.characters = Characters()
+        self.forget()
 
     # -- merging -----------------------------------------------------------------------------------------------------
 
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word (not empty) as little-endian unsigned 32-bit numbers, by rounds over one flat array."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        owner = np.repeat(np.arange(len(words)), sizes)
-        flat = self.first[np.frombuffer(b"".join(words), np.uint8)]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        none = len(self.keys)
-
-        def ranks(at: np.ndarray) -> np.ndarray:
-            """Ranks of the pairs that begin at these places, none of them the last; ``none`` where there is no merge."""
-            key = flat[at] << 32 | flat[at + 1]
-            found = np.minimum(np.searchsorted(self.keys, key), none - 1)
-            return np.where((self.keys[found] == key) & (owner[at] == owner[at + 1]), self.rank[found], none)
+    def _ranks(self, key: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; the number of merges where there is none."""
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[found] == key, self.rank[found], np.int32(len(self.keys)))
 
-        rank = np.append(ranks(np.arange(len(flat) - 1)), none) if len(flat) else flat
+    def merge(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word) of words (not empty) that stand in ``data`` one after the other."""
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        flat, none = self.first[data], np.int32(len(self.keys))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(flat), none, np.int32)
+        if len(flat):
+            inside = owner[:-1] == owner[1:]
+            rank[:-1][inside] = self.of_bytes[data[:-1].astype(np.int64) << 8 | data[1:]][inside]
         while len(flat):
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             counts = np.diff(np.append(starts, len(owner)))
@@ -111,101 +157,118 @@ class Codec:
             merged = where - np.arange(len(where))  # where the new symbols stand now
             rank[-1] = none
             for at in (merged[merged < len(flat) - 1], merged[merged > 0] - 1):  # only the pairs with a new symbol have changed
-                rank[at] = ranks(at)
+                rank[at] = np.where(owner[at] == owner[at + 1], self._ranks(flat[at].astype(np.int64) << 32 | flat[at + 1]), none)
         if not out:
-            return []
+            return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
         owner, flat = np.concatenate([o for o, _ in out]), np.concatenate([f for _, f in out])
-        packed = flat[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
-        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of unseen pre-tokens into the worker's table."""
-        new = [w for w in words if w not in self.words]
-        new.sort(key=len)  # words of like length finish in like rounds
-        for k in range(0, len(new), WORD_BATCH):
-            part = new[k : k + WORD_BATCH]
-            self.words.update(zip(part, self.merge([w.encode("utf-8", "surrogatepass") for w in part]), strict=True))
-
-    def split(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
-
-    def encode_segments(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts by the pattern itself; special tokens in a text are taken as such, as the library does."""
-        cut = [[s for s in (self.specials.split(t) if self.specials else [t]) if s] for t in texts]
-        tokens = [[w for s in parts for w in ([s] if s in self.special else self.split(s))] for parts in cut]
-        self.learn({w for parts in tokens for w in parts if w not in self.special})
-        special = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
-        out = [b"".join(special.get(w) or self.words[w] for w in parts) for parts in tokens]
-        if len(self.words) > MOST_PIECES:
-            self.words.clear()
+        return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(sizes))
+
+    # -- the table of words ------------------------------------------------------------------------------------------
+
+    def forget(self) -> None:
+        self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.tick = 0
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Put unseen words (ascending hashes) into the table."""
+        if len(self.hashes) and len(self.hashes) + len(hashes) > MOST_WORDS:  # the half that was used last stays, this chunk's words with it
+            keep = np.flatnonzero(self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2])
+            self.ids = self.ids[gathered(self.start[keep], self.size[keep])]
+            self.hashes, self.size, self.used = self.hashes[keep], self.size[keep], self.used[keep]
+            self.start = np.cumsum(self.size) - self.size
+        order = np.argsort(size, kind="stable")  # words of like length finish in like rounds
+        found, counts = [self.ids], np.zeros(len(size), np.int64)
+        for k in range(0, len(order), WORD_BATCH):
+            part = order[k : k + WORD_BATCH]
+            ids, counts[part] = self.merge(data[gathered(start[part], size[part])], size[part])
+            found.append(ids)
+        starts = np.zeros(len(size), np.int64)
+        starts[order] = len(self.ids) + np.cumsum(counts[order]) - counts[order]
+        self.ids = np.concatenate(found)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.start = np.insert(self.hashes, at, hashes), np.insert(self.start, at, starts)
+        self.size, self.used = np.insert(self.size, at, counts), np.insert(self.used, at, self.tick)
+
+    # -- texts -------------------------------------------------------------------------------------------------------
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts without special tokens, all at once."""
+        joined = "\0".join([*texts, ""])
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        classes = self.characters.classes(points)
+        between = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        classes[between] = _BETWEEN
+        begin = word_starts(points, classes)
+        words = classes[begin] != _BETWEEN
+        if len(points) == len(data):
+            start = begin
+        else:
+            width = 1 + (points >= 0x80).view(np.int8) + (points >= 0x800).view(np.int8) + (points >= 0x10000).view(np.int8)
+            start = (np.cumsum(width, dtype=np.int64) - width)[begin]
+        end = np.append(start[1:], len(data))
+        start, end = start[words], end[words]
+        self.tick += 1
+        unique, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
+        new = self.hashes[at] != unique if len(self.hashes) else np.ones(len(unique), bool)
+        self.used[at[~new]] = self.tick
+        if new.any():
+            self._learn(unique[new], data, start[first[new]], (end - start)[first[new]])
+            at = np.searchsorted(self.hashes, unique)
+        at = at[which]
+        counts = np.zeros(len(begin), np.int64)
+        counts[words] = self.size[at]
+        ids = self.ids[gathered(self.start[at], self.size[at])]
+        return np.split(ids, np.cumsum(counts)[~words][:-1])
+
+    def _units(self, text: str) -> list[str | int]:
+        """A text as what is encoded by itself, in order: special tokens, what stands between them, and parts of long texts."""
+        out: list[str | int] = []
+        for part in self.specials.split(text) if self.specials and any(s in text for s in self.special) else [text]:
+            if part in self.special:
+                out.append(self.special[part])
+                continue
+            at = 0
+            while len(part) - at > CHUNK:
+                found = _CUT.search(part, at + CHUNK - CHUNK // 8)
+                if not found:
+                    break
+                out.append(part[at : found.start()])
+                at = found.start()
+            out.append(part[at:])
         return out
 
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each whole text; special tokens in a text are taken as such, as the library does."""
+        held: list[list[str | int]] = []
+        plain: list[str] = []
+        done: list[np.ndarray] = []
+        size = 0
 
-class Pieces(dict):
-    """Pieces of text as they stand between spaces, each with what is made of its ids once (``of``: ids as bytes to a value).
-
-    A space before a word belongs to that word and a single line end is a token of its own, so cutting at both never changes
-    what the pattern finds. A piece at the start of a line has no space before it; it is kept with its line end.
-    """
+        def flush() -> Iterator[np.ndarray]:
+            ready = iter(done + (self._ids(plain) if plain else []))
+            for units in held:
+                parts = [next(ready) if isinstance(u, str) else np.array([u], np.int32) for u in units]
+                yield parts[0] if len(parts) == 1 else np.concatenate(parts)
+            held.clear()
+            plain.clear()
+            done.clear()
 
-    def __init__(self, codec: Codec, of):
-        super().__init__()
-        self.codec, self.of = codec, of
-        self.other = regex.compile(r"[^\S \n]|[\x1c-\x1f]" + "".join("|" + regex.escape(s) for s in codec.special))
-        self.odd: set[str] = set()
-
-    @staticmethod
-    def lines(text: str) -> list[str] | None:
-        """The pieces of a text, as if a line end stood before it; None where spaces and line ends meet."""
-        if not text or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
-            return None
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
-
-    def add(self, new: list[str]) -> None:
-        """Encode pieces that are not in the table; one with any other white space or a special token is odd."""
-        odd = {p for p in new if self.other.search(p)} if self.other.search("".join(new)) else set()
-        self.odd |= odd
-        starts = [p for p in new if p[0] == "\n" and p not in odd]
-        inner = [p for p in new if p[0] != "\n" and p not in odd]
-        split = [["\n", *self.codec.split(p[1:])] for p in starts]
-        for w in self.codec.split("".join(" " + p for p in inner)):  # a token with a space begins a piece
-            if w[0] == " ":
-                split.append([w])
-            else:
-                split[-1].append(w)
-        self.codec.learn({w for ws in split for w in ws})
-        word, of = self.codec.words.__getitem__, self.of
-        self.update((p, of(b"".join(map(word, ws)))) for p, ws in zip([*starts, *inner], split, strict=True))
-        self.update(dict.fromkeys(odd, of(b"")))
-        if len(self.codec.words) > MOST_PIECES:
-            self.codec.words.clear()
-
-    def encode(self, texts: list[str]) -> Iterator[list | None]:
-        """For each text the stored values of its pieces in order (the first one still with its line end), or None: by pattern."""
-        part: list[str] = []
-        size = 0
         for text in texts:
-            part.append(text)
-            size += len(text)
-            if size >= CHUNK:
-                yield from self._encode(part)
-                part, size = [], 0
-        yield from self._encode(part)
-
-    def _encode(self, texts: list[str]) -> Iterator[list | None]:
-        cut = [self.lines(t) for t in texts]
-        all_of = set().union(*filter(None, cut))
-        missing = all_of.difference(self)
-        if missing:
-            if len(self) + len(missing) > MOST_PIECES:
-                self.clear()
-                self.odd.clear()
-                missing = all_of
-            self.add(list(missing))
-        get = self.__getitem__
-        for c in cut:
-            yield list(map(get, c)) if c and (not self.odd or self.odd.isdisjoint(c)) else None
+            held.append(self._units(text))
+            for u in held[-1]:
+                if isinstance(u, str):
+                    plain.append(u)
+                    size += len(u) + 1
+                    if size >= CHUNK:
+                        done += self._ids(plain)
+                        plain.clear()
+                        size = 0
+            if not plain:
+                yield from flush()
+        yield from flush()
 
 
 @functools.cache
@@ -214,29 +277,10 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-_tables: set = set()
-
-
-@functools.cache
-def pieces(path: str, of) -> Pieces:
-    _tables.add(of)
-    return Pieces(codec(path), of)
-
-
-def release(path: str) -> None:
-    """Forget the worker's pieces and words at the end of a task: workers last over many stages, memory is bounded by a task's."""
-    own = codec(path)
-    own.words.clear()
-    for of in list(_tables):
-        pieces(path, of).clear()
-    give_back()
-
-
 def encode_to_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
-    table = pieces(path, bytes)
-    for text, values in zip(texts, table.encode(texts), strict=True):
-        yield b"".join(values)[4:] if values else table.codec.encode_segments([text])[0]
+    for ids in codec(path).encode(texts):
+        yield ids.astype("<u4").tobytes()
 
 
 def decode(ids: list[int], path: str) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, shuffle_partitions
+from .hashing import VALUES, mixed, span_hashes
 
 WORDS = 5
 #: Bytes of text that are hashed at a time, and bytes from which a word is hashed by itself.
@@ -21,29 +22,12 @@ CHUNK, LONG = 1 << 18, 1 << 15
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WHITE = re.compile(rb"[\x09-\x0D\x20]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: A number for each byte, A-Z as a-z, and powers of an odd number and of its inverse modulo 2^64 for a chunk's places.
-_VALUE = np.random.default_rng(20).integers(1, 2**64, 256, dtype=np.uint64)[np.frombuffer(_LOWER, np.uint8)]
-_ODD = 0xD1342543DE82EF95
-
-
-def _powers(base: int) -> np.ndarray:
-    out = np.full(CHUNK, base % 2**64, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-_POWER, _INVERSE = _powers(_ODD), _powers(pow(_ODD, -1, 2**64))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
+#: A number for each byte, A-Z as a-z.
+_VALUES = VALUES[np.frombuffer(_LOWER, np.uint8)]
 
 
 def _long_word(word: bytes) -> np.uint64:
@@ -51,12 +35,11 @@ def _long_word(word: bytes) -> np.uint64:
 
 
 def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of at most CHUNK bytes begin, and their hashes: a polynomial over bytes, mixed with the length."""
+    """Where the words of at most CHUNK bytes begin, and their hashes."""
     b = np.frombuffer(data, np.uint8)
     edge = np.diff(np.concatenate([[True], _SPACE[b], [True]]).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[b] * _POWER[: len(b)], dtype=np.uint64)])
-    h = mixed((sums[end] - sums[start]) * _INVERSE[start] + (end - start).astype(np.uint64) * _STEP)
+    h = span_hashes(b, start, end, _VALUES)
     for k in np.flatnonzero(end - start >= LONG):
         h[k] = _long_word(data[start[k] : end[k]])
     return start, h

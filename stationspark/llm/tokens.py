@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import table, text_or_empty
+from .common import give_back, table, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -24,17 +23,6 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.cache
-def _described(path: str):
-    own = bpe.codec(path)
-
-    def describe(ids: bytes) -> tuple[int, str, bytes]:
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        return len(numbers), ",".join(map(str, numbers)), b"".join(map(own.bytes_of.__getitem__, numbers))
-
-    return describe
-
-
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns plus ``ids`` (array of int): the whole text's ids. Null text is the empty text, which has no ids.
 
@@ -43,7 +31,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
 
     @F.pandas_udf("array<int>")
     def encoded(column: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(b, "<i4") for b in bpe.encode_to_bytes(column.tolist(), path)], dtype=object)
+        return pd.Series(list(bpe.codec(path).encode(column.tolist())), dtype=object)
 
     return docs.select(*keep, encoded(text_or_empty(text)).alias("ids"))
 
@@ -62,25 +50,20 @@ def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     """Per row: doc_id, n_tokens, ids_sha256 of the ids in decimal joined by commas, decoded_sha256 of the decoded text.
 
     Null text is the empty text (no ids, digests of nothing). Rows with a null id, repeated rows and ties stay as they are,
-    one result row for each; other columns are ignored; an empty table gives no rows. Encoding and decoding go through the
-    same table of pieces: what a piece's ids and their bytes are is found once in a worker.
+    one result row for each; other columns are ignored; an empty table gives no rows.
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = bpe.pieces(path, _described(path))
+        own = bpe.codec(path)
         for column in batches:
-            rows, texts = [], column.tolist()
-            for one, values in zip(texts, known.encode(texts), strict=True):
-                if values:
-                    n = sum(v[0] for v in values) - 1  # the first piece has a line end that the text has not
-                    ids = ",".join([v[1] for v in values]).partition(",")[2]
-                    raw = b"".join([v[2] for v in values])[1:]
-                else:
-                    n, ids, raw = known.of(known.codec.encode_segments([one])[0])
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()))
+            rows = []
+            for ids in map(np.ndarray.tolist, own.encode(column.tolist())):
+                said = ",".join(map(own.decimal.__getitem__, ids))
+                decoded = b"".join(map(own.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+                rows.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        bpe.release(path)
+        give_back()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(text_or_empty(text)).alias("d"))
     return rows.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")

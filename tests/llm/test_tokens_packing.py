@@ -32,13 +32,17 @@ def test_encoding_and_decoding_are_the_librarys():
     assert bpe.decode([10253, 120, 94], PATH) == LIB.decode([10253, 120, 94], skip_special_tokens=False)  # no UTF-8
 
 
-def test_table_that_starts_anew_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_PIECES", 5)
+def test_table_that_loses_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_WORDS", 5)
     monkeypatch.setattr(bpe, "CHUNK", 10)
-    table = bpe.Pieces(bpe.Codec(PATH), bytes)
-    texts = ["one two three four five six seven", "two eight nine ten one", "one"] * 3
-    got = [b"".join(v)[4:] for v in table.encode(texts)]
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t) for t in texts]
+    own = bpe.Codec(PATH)
+    texts = ["one two three four five six seven", "two eight nine ten one", "one", "it's  </s>\n'store' </s></s>", "x" * 99 + " y  z"] * 3 + random_texts(200)
+    assert [ids.tolist() for ids in own.encode(texts)] == [ids_of(t) for t in texts]
+
+
+def test_long_texts_are_cut_where_words_begin():
+    texts = ["x" * 300_000, "ab " * 200_000, ("word " * 60_000 + "\n\n  ") * 2, "'" * 1000, " " * 5000 + "a", "a" + " " * 5000, "don't 's" * 50_000]
+    assert [ids.tolist() for ids in bpe.codec(PATH).encode(texts)] == [ids_of(t) for t in texts]
 
 
 @pytest.fixture(scope="module")
