@@ -64,6 +64,58 @@ def test_personal_data_runs_without_python(spark):
     assert pii.find_personal_data(docs.limit(0), [], {}).count() == 0
 
 
+def private_texts(rng, n):
+    """Texts with base spans, and held-out ones with data written otherwise (True) and look-alikes of them (False)."""
+    name = lambda: "".join(rng.choice("bcdfghklmnprst") for _ in range(rng.randint(3, 7)))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        d = rng.choice("3456") + digits(14)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    fours = lambda d, by: by.join(d[k : k + 4] for k in range(0, len(d), 4))
+    ip = lambda by: by.join(str(rng.randint(1, 255)) for _ in range(4))
+    base = [lambda: f"{name()}.{rng.randint(1, 99)}@{name()}.example.com", lambda: ip("."), card, lambda: f"+1 ({rng.randint(200, 999)}) 555-{digits(4)}"]
+    texts = [" ".join(x for k in range(4) for x in (words(8), base[k]())) + " " + words(5) for _ in range(n)]
+    other = [
+        (True, lambda: f"{name()} [at] {name()} [dot] org"), (True, lambda: f"{name()}.{name()}(at){name()}.net"), (False, lambda: f"{name()} (at) {rng.randint(1, 12)}.{digits(2)}"),
+        (True, lambda: ip("[.]")), (False, lambda: ":".join(digits(2) for _ in range(8))), (True, lambda: "card " + fours(card(), ".")),
+        (False, lambda: "version " + fours("20" + digits(11), ".")), (True, lambda: f"call ({digits(3)}) 555-{digits(4)}"), (True, lambda: f"phone {digits(3)}-{digits(3)}-{digits(4)}"), (False, lambda: f"order {digits(3)}-{digits(3)}-{digits(4)}"),
+    ]
+    planted = []
+    for k in range(len(other) * 30):
+        real, make = other[k % len(other)]
+        planted.append((real, f"{words(8)} {make()} {words(8)}"))
+    return texts, planted
+
+
+def test_added_spans_of_held_out_texts(spark):
+    """What no base format finds is found by the trees, and look-alikes stay; texts are not those that were learned from."""
+    texts, planted = private_texts(random.Random(12), 150)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    trees, at = pii.train(docs)
+    assert trees and set(at) == {0, 1, 2, 3}
+    rows = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(planted)], "doc_id long, text string"), trees, at).collect()}
+    found = [bool(rows[k]) for k in range(len(planted))]
+    right = sum(f and real for f, (real, _) in zip(found, planted, strict=True))
+    recall, precision = right / sum(real for real, _ in planted), right / max(1, sum(found))
+    assert recall > 0.85 and precision > 0.95, (recall, precision)
+    assert {s.split(":")[0] for k in rows for s in rows[k].split(",") if s} == set(pii.KINDS)
+
+
+def test_scores_are_the_librarys(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.sql import functions as F
+
+    texts, _ = private_texts(random.Random(13), 40)
+    rows = pii.training(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("label", "x", array_to_vector("x").alias("features")).cache()
+    model = GBTClassifier(maxIter=6, maxDepth=3, seed=2, stepSize=0.3).fit(rows)
+    trees = [pii._scaled(t, w) for t, w in zip(parse(model.toDebugString), model.treeWeights, strict=True)]
+    both = model.transform(rows).select(pii.score(trees, F.col("x")).alias("own"), vector_to_array("probability")[1].alias("theirs")).collect()
+    assert len(both) > 300 and np.allclose([r.own for r in both], [r.theirs for r in both], atol=1e-9)
+
+
 def test_prefix_sums(spark):
     from pyspark.sql import functions as F
 
@@ -84,9 +136,13 @@ def test_trees_agree_with_the_library(spark):
     x = rng.normal(size=(400, 4))
     y = ((x[:, 0] > 0.2) ^ (x[:, 2] < -0.5)).astype(float)
     df = spark.createDataFrame([(float(b), a.tolist()) for a, b in zip(x, y, strict=True)], "label double, x array<double>").withColumn("features", array_to_vector("x"))
-    trees = parse(RandomForestClassifier(numTrees=9, maxDepth=4, seed=1).fit(df).toDebugString)
+    model = RandomForestClassifier(numTrees=9, maxDepth=4, seed=1).fit(df)
+    trees = parse(model.toDebugString)
     got = Forest.of(trees).mean(x)
     assert ((got > 0.5) == (y > 0.5)).mean() > 0.9
+    votes = parse("\n".join(line for t in model.trees for line in ["Tree 0", *t.toDebugString.splitlines()[1:]]))
+    theirs = [t.predict(r.features) for t in model.trees for r in df.select("features").collect()]
+    assert np.allclose(np.concatenate([Forest.of([v]).mean(x) for v in votes]), theirs)
     from stationspark.llm.trees import as_column
 
     one = df.select(as_column(trees[0], [F.get("x", F.lit(k)) for k in range(4)]).alias("v")).collect()
