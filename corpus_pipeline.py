@@ -1,7 +1,12 @@
 """A corpus made ready for training: toxic documents go, then repeated lines, near-duplicates and secrets; the rest is packed.
 
 Stages follow each other over whole tables. Each takes (spark, docs, sf_dir), where docs is what the one before has kept, and
-returns a DataFrame; all but the last have the columns of docs.
+returns a DataFrame; all but the last have the columns of docs, with their values but for text and, where there is one, n_chars.
+
+In every stage a row is judged by its text alone, which may be null, empty or very long, and by its doc_id where copies need an
+order. Null and empty texts are clean, hold no line, no n-gram and no secret, and stay; packed they are an end of text. A null
+doc_id stands after all others. Rows that repeat in all columns are rows as any other, so of them one stays in the Jaccard join.
+Other columns may have any names but those that begin with two underscores. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationspark.llm import jaccard, linededup, packing, secrets, toxicity
-from stationspark.llm.common import materialize, table
+from stationspark.llm.common import bounded_batches, materialize, table
 from stationspark.llm.tokens import tokenizer_path
 
 
@@ -33,7 +38,8 @@ def _keyed(docs: DataFrame, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are rated toxic go; rows without text or id are rated as any other."""
+    """Documents that are rated toxic go; rows without text or id are rated as any other, equal texts alike."""
+    bounded_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     rated = toxicity.score(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model, keep=("__row",))
     return rated.where(~toxicity.is_toxic()).select("__row.*")
@@ -43,7 +49,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Later occurrences of passages of three sentences go, lines included; a document of nothing else goes with them.
 
     Every row stands for itself, also where ids or whole rows repeat or ids are null; of equal ones the first stays whole.
+    Texts of fewer than three sentences, null and empty ones among them, stay as they are.
     """
+    bounded_batches(spark)
     rows = _keyed(docs, "line-rows")
     found = linededup.dedup_lines(rows.select(F.col("__row").alias("doc_id"), "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("__all")), units=linededup.SENTENCES)
     found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
@@ -56,19 +64,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by keys of their own, so of repeated rows and of those without id one stays as well, and different
     texts of one id are judged each by itself. Rows without words hang together with none.
     """
+    bounded_batches(spark)
     rows = _keyed(docs, "near-rows")
     later = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("__row"))
     return rows.join(materialize(later, "near-duplicates"), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark."""
-    found = secrets.scan(docs, secrets.learn(docs))
-    return _measured(found.withColumn("text", F.col("redacted")), docs.columns)
+    """Secrets in texts are replaced by a mark; all rows stay. Null texts stay null, equal texts are treated alike."""
+    bounded_batches(spark)
+    found = secrets.scan(docs.select("text", F.struct(*docs.columns).alias("__all")), secrets.learn(docs))
+    kept = [F.col(f"__all.`{c}`") for c in docs.columns if c != "text"]
+    return _measured(found.select(*kept, F.col("redacted").alias("text")), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as pieces in sequences of at most 1024 tokens."""
+    """What is left as pieces in sequences of at most 1024 tokens. A row without text is an end of text, a null id stays null."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 
