@@ -41,12 +41,23 @@ def visit(parts: Column) -> tuple[Column, Column, Column]:
     """The rendered content of a turn, its attachments in order (type, ref, tokens), and their expanded tokens together.
 
     A part of an unknown type counts as text; null text is empty; null parts are skipped; a null reference is recorded as null.
+    A placeholder ends no control string that a text before it begins: what is escaped is each text between placeholders.
     """
     parts = F.filter(F.coalesce(parts, F.array().cast(PARTS)), lambda p: p.isNotNull())
     kinds = F.create_map(*[F.lit(x) for k, v in PLACEHOLDERS.items() for x in (k, v)])
     sizes = F.create_map(*[F.lit(x) for k, v in EXPANDED.items() for x in (k, v)])
     is_text = lambda p: F.coalesce(~p["type"].isin(*PLACEHOLDERS), F.lit(True))
-    content = F.array_join(F.transform(parts, lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.try_element_at(kinds, p["type"]))), "")
+    text = lambda p: F.coalesce(p["text"], F.lit(""))
+    # Neighbouring texts are one text before they are escaped, as a control string could lie across them.
+    zero = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    content = F.aggregate(
+        parts,
+        zero,
+        lambda a, p: F.when(is_text(p), F.struct(a["done"].alias("done"), F.concat(a["open"], text(p)).alias("open"))).otherwise(
+            F.struct(F.concat(a["done"], escape(a["open"]), F.try_element_at(kinds, p["type"])).alias("done"), F.lit("").alias("open"))
+        ),
+        lambda a: F.concat(a["done"], escape(a["open"])),
+    )
     files = F.transform(
         F.filter(parts, lambda p: ~is_text(p)),
         lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["n_tokens"], F.try_element_at(sizes, p["type"]).cast("long")).alias("n_tokens")),
@@ -58,7 +69,7 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     """One row per conversation: conv_id, formatted, loss_spans, attachments, n_attachment_tokens.
 
     ``turns`` has conv_id, turn, role and text, or typed content in the column ``parts``. Turns go by number, null first;
-    equal numbers go by role, then text, so repeated rows stand next to each other and all stay. A null role or text is
+    equal numbers go by role, then escaped content, so repeated rows stand next to each other and all stay. A null role or text is
     empty. Rows with a null conv_id form one conversation. loss_spans are the places (start, length in code points of
     ``formatted``) of what the model is trained on: the contents of ``loss_roles``. attachments are numbered in the order
     of their placeholders. Other columns are ignored; an empty table gives no rows.

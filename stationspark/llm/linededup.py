@@ -34,33 +34,34 @@ def full_lines(text: str, units: re.Pattern = LINES) -> tuple[list[str], list[st
 
 
 def windows(docs: DataFrame, size: int = WINDOW, units: re.Pattern = LINES) -> DataFrame:
-    """doc_id, pos (place among the lines that are not blank), and 128 bits of each window's trimmed lines."""
+    """doc_id, text_hash, pos (place among the lines that are not blank), and 128 bits of each window's trimmed lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, places, hashes = [], [], []
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+            ids, own, places, hashes = [], [], [], []
+            for doc, text_hash, text in zip(pdf["doc_id"].tolist(), pdf["text_hash"].tolist(), pdf["text"], strict=True):
                 lines, _, full = full_lines(text, units)
                 kept = [lines[k].strip() for k in full]
                 n = len(kept) - size + 1
                 if n > 0:
                     ids += [doc] * n
+                    own += [text_hash] * n
                     places += range(n)
                     hashes += [hashlib.blake2b("\n".join(kept[k : k + size]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in range(n)]
             h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "pos": np.array(places, np.int32), "h1": h[:, 0], "h2": h[:, 1]})
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "text_hash": np.array(own, np.int64), "pos": np.array(places, np.int32), "h1": h[:, 0], "h2": h[:, 1]})
 
-    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id long, pos int, h1 long, h2 long")
+    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInPandas(run, "doc_id long, text_hash long, pos int, h1 long, h2 long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """doc_id and the places at which windows begin that stand earlier in the corpus."""
-    place = F.struct("doc_id", "pos")
+    """doc_id, text_hash and the places at which windows begin that stand earlier in the corpus."""
+    place = F.struct("doc_id", "text_hash", "pos")
     first = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
     first = materialize(first.select("h1", "h2", "first"), "first-windows")  # a plain table: hot windows are split in the join
     later = found.join(first, ["h1", "h2"]).where(place != F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("__places"))
 
 
 def dedup_lines(docs: DataFrame, size: int = WINDOW, units: re.Pattern = LINES) -> DataFrame:
@@ -68,10 +69,10 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, units: re.Pattern = LINES)
 
     Texts of fewer than ``size`` lines that are not blank have no window and stay, as do null texts (n_lines 0) and rows with
     a null doc_id. Blank lines are in no window; one goes with the text before it. Equal windows in one document count by
-    place as in different ones. Rows that repeat a doc_id and text stand at one place: what is first in one is so in all. An
-    empty table gives no rows. With SENTENCES as ``units`` all this holds for sentences in place of lines.
+    place as in different ones. Rows that repeat a doc_id and text stand at one place: what is first in one is so in all.
+    Different texts of one doc_id are different rows, in the order of their hashes. An empty table gives no rows. With SENTENCES as ``units`` all this holds for sentences in place of lines.
     """
-    gone = repeated(materialize(windows(docs, size, units), "windows")).withColumnRenamed("doc_id", "__doc")
+    gone = repeated(materialize(windows(docs, size, units), "windows")).withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(text: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -102,7 +103,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, units: re.Pattern = LINES)
             out.append(("".join(line + end for line, end in kept), len(full), len(dropped)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
-    rows = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").withColumn("__cut", cut(F.col("text"), F.col("places")))
+    rows = docs.join(gone, (docs["doc_id"] == gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left").withColumn("__cut", cut(F.col("text"), F.col("__places")))
     keep = [F.col("__cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return rows.select(*keep, F.col("__cut.n_lines").alias("n_lines"), F.col("__cut.n_removed").alias("n_removed"))
 

@@ -34,7 +34,7 @@ THRESHOLD = 0.3
 #: Lengths of word beginnings that count as tokens beside whole words, for languages that build words from parts.
 STEMS = range(4, 9)
 #: Pieces that a worker keeps the scores of.
-MOST_PIECES = 300_000
+MOST_PIECES = 150_000
 #: Tokens that a task counts before it passes them on.
 MOST_COUNTED = 150_000
 
@@ -180,15 +180,20 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
             out = []
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
                 found = known.of(text)
-                spans = [scale * s for *_, s in segments(found)]
-                out.append((bool(toxic), len(found), spans))
-            yield pd.DataFrame(out, columns=["toxic", "n", "spans"])
-
-    seen = rows.mapInPandas(best, "toxic boolean, n long, spans array<double>").collect()  # at most ``most`` rows of a few numbers
-    clean = [max(r["spans"]) - math.log(r["n"]) for r in seen if not r["toxic"] and r["spans"]]
-    offset = max(float(np.mean(clean)) - 0.5772 if clean else 0.0, -5.0)  # by the mean of a Gumbel law
-    x = np.array([math.log1p(sum(s - offset - math.log(r["n"]) for s in r["spans"] if s > offset + math.log(r["n"]))) if r["spans"] else 0.0 for r in seen])
-    return Model(scores, other, scale, offset, _logistic(x, np.array([float(r["toxic"]) for r in seen])))
+                out.append((bool(toxic), len(found), max((scale * s for *_, s in segments(found)), default=None)))
+            yield pd.DataFrame(out, columns=["toxic", "n", "most"])
+
+    clean = rows.where("not toxic").mapInPandas(best, "toxic boolean, n long, most double").where("most is not null")
+    offset = clean.agg(F.avg(F.col("most") - F.log("n"))).first()[0]
+    offset = max(offset - 0.5772 if offset is not None else 0.0, -5.0)  # by the mean of a Gumbel law
+
+    def amounts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Scores(*broadcast.value)
+        for pdf in batches:
+            yield pd.DataFrame({"toxic": pdf["toxic"], "x": [math.log1p(evidence(t, known, scale, offset)[0]) for t in pdf["text"]]})
+
+    seen = rows.mapInPandas(amounts, "toxic boolean, x double").collect()  # at most ``most`` rows of two numbers
+    return Model(scores, other, scale, offset, _logistic(np.array([r["x"] for r in seen]), np.array([float(r["toxic"]) for r in seen])))
 
 
 def _scale(share: np.ndarray, value: np.ndarray) -> float:

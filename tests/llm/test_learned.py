@@ -161,8 +161,22 @@ def test_secrets_are_found_and_other_runs_left(spark):
         rows.append((k, f"{words(20)} {inside} {words(10)}"))
         planted[k] = kind < 3
     docs = spark.createDataFrame([*rows, (None, None), (1000, ""), (1001, "é" * 50 + " x" * 20_000)], "doc_id long, text string").repartition(4)
-    found = secrets.scan(docs, secrets.learn(docs)).collect()
+    model = secrets.learn(docs)
+    assert model.precision > 0.9 and model.recall > 0.9
+    found = secrets.scan(docs, model).collect()
     assert len(found) == 303
+    texts = {k: t for k, t in rows} | {1001: "é" * 50 + " x" * 20_000, 1000: ""}
+    for r in found:  # one candidate after the other, through one tree after the other
+        t = texts.get(r.doc_id) or ""
+        spans = secrets.candidates(t)
+        assert [(f.start, f.end) for f in r.findings] == spans
+        for f in r.findings:
+            x, votes, own = secrets.describe(t, f.start, f.end, model.words), [], model.forest
+            for at in own.roots.tolist():
+                while own.low[at] != at:
+                    at = int(own.low[at] if x[own.feature[at]] <= own.threshold[at] else own.high[at])
+                votes.append(own.value[at])
+            assert abs(f.score - sum(votes) / len(votes)) < 1e-9 and f.secret == (f.score >= secrets.THRESHOLD)
     right = [any(f.secret for f in r.findings) == planted[r.doc_id] for r in found if r.doc_id is not None and r.doc_id < 1000]
     assert np.mean(right) > 0.97
     for r in found:

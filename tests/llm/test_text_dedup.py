@@ -140,6 +140,15 @@ def test_line_dedup_odd_tables(spark):
     assert got == [("1", 0), ("1", 0), ("2", 3), ("None", 0)]
 
 
+def test_different_texts_of_one_id_are_rows_of_their_own(spark):
+    lines = [f"own line {k}" for k in range(12)]
+    rows = [(1, "a\nb\nc", "p"), (2, "a\nb\nc", "p"), (2, "\n".join(lines), "p"), (2, "x", "p"), (2, None, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, places string")
+    got = linededup.dedup_lines(docs).collect()
+    assert got[0].places == "p"
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got if r.text is not None) == sorted([(1, rows[0][1], 0), (2, "", 3), (2, rows[2][1], 0), (2, "x", 0)])
+
+
 def test_sentences_are_found_inside_longer_lines(spark):
     shared = "The first shared sentence stands here. A second one follows it! Is the third one of any use?"
     rows = [(1, f"Own words begin. {shared} Own words end.\nNext line."), (2, f"Other words begin. {shared}\n\nOther words end."), (3, f"a\nb\nc\n{shared}")]
