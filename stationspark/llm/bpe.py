@@ -18,12 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import regex
 
+from .common import give_back
 from .hashing import gathered, span_hashes
 
 #: Words that a worker's table keeps at most; of more, those used last stay. It costs time and changes no result.
 MOST_WORDS = 1 << 19
 #: Characters of text that are cut into words at a time, and words that are merged together.
-CHUNK, WORD_BATCH = 1 << 18, 1 << 15
+CHUNK, WORD_BATCH = 1 << 17, 1 << 15
 
 #: Classes of characters: white space, letters, numbers, all others, and what stands between texts.
 _SPACE, _LETTER, _NUMBER, _OTHER, _BETWEEN = range(5)
@@ -277,6 +278,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def release(path: str) -> None:
+    """Forget the worker's words at the end of a task: workers last over many stages, memory is bounded by a task's."""
+    codec(path).forget()
+    give_back()
+
+
 def encode_to_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
     for ids in codec(path).encode(texts):

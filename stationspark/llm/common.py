@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hashing
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
@@ -55,6 +57,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def give_back() -> None:
     """At the end of a task: return what a Python worker has freed to the system, as workers last over many stages."""
+    hashing.forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:

@@ -31,6 +31,10 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+def forget() -> None:
+    _kept.clear()
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
     """A hash for each span [start, end) of the bytes ``data``, the same wherever a span stands. ``values``: a number for each byte."""
     n = len(data) + 1

@@ -163,6 +163,7 @@ def prefix_postings(docs: DataFrame, counts: np.ndarray, copies: dict[tuple[int,
         pos = unique[place] + np.arange(len(place)) - np.searchsorted(place, place)
         keep = pos < prefix[place]
         token, place, pos = token[keep], place[keep], pos[keep]
+        give_back()
         return pd.DataFrame({"token": token.view(np.int64), "doc": docs_[place], "n": n[place].astype(np.int32), "pos": pos.astype(np.int32)})
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -188,8 +189,10 @@ def _sets(docs: DataFrame, concerned: DataFrame) -> DataFrame:
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull())
-    # The filter keeps most other texts out of the join's shuffle; the join is exact.
+    # The filter keeps most other texts out of the join's shuffle; the join is exact. Written before sets are made of them, so that
+    # a task has one Python worker at a time.
     rows = rows.where(may_contain(docs.sparkSession, bloom_filter(concerned, "doc"), F.col("doc"))).join(concerned, "doc", "left_semi")
+    rows = materialize(rows, "concerned-texts")
     return materialize(rows.mapInPandas(sets, "doc long, shingles binary"), "sets")
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import give_back, materialize, table
 
 WINDOW = 3
 #: What ends a unit: the end of a line, and for sentences the space after a full stop or its like (none needed after wide ones).
@@ -50,6 +50,7 @@ def windows(docs: DataFrame, size: int = WINDOW, units: re.Pattern = LINES) -> D
                     hashes += [hashlib.blake2b("\n".join(kept[k : k + size]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in range(n)]
             h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "text_hash": np.array(own, np.int64), "pos": np.array(places, np.int32), "h1": h[:, 0], "h2": h[:, 1]})
+        give_back()
 
     rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInPandas(run, "doc_id long, text_hash long, pos int, h1 long, h2 long")
@@ -75,7 +76,12 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, units: re.Pattern = LINES)
     gone = repeated(materialize(windows(docs, size, units), "windows")).withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
-    def cut(text: pd.Series, places: pd.Series) -> pd.DataFrame:
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, places in batches:
+            yield cut_batch(text, places)
+        give_back()
+
+    def cut_batch(text: pd.Series, places: pd.Series) -> pd.DataFrame:
         out = []
         for one, at in zip(text, places, strict=True):
             if one is None:

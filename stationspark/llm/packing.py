@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import give_back, materialize, shuffle_partitions, table, text_or_empty
+from .common import materialize, shuffle_partitions, table, text_or_empty
 from .tokens import tokenizer_path
 
 CAPACITY = 1024
@@ -44,7 +44,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 out.append([{"piece": k, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[4 * a : 4 * b])} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
             yield pd.Series(out, dtype=object)
-        give_back()
+        bpe.release(path)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(cut(text_or_empty())))
 

@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import give_back, materialize, table, text_or_empty
 from .trees import Forest, parse
 
 #: Words of the dictionary at most; it holds words of one in RAREST documents, three at least, or of more where it would be larger.
@@ -179,6 +179,7 @@ def learn(docs: DataFrame, findings: DataFrame | None = None, most: int = MOST_O
                         yield from ((int(bool(r["secret"])), t, r["start"], r["end"]) for r in g if r["end"] > r["start"])
 
         yield pd.DataFrame(_smallest(found(), most), columns=["label", "key", "near", "start", "end"])
+        give_back()
 
     rows = materialize(given.mapInPandas(label, "label long, key string, near string, start long, end long"), "secret-findings").distinct()
     rows = [rows.where(F.col("label") == k).orderBy("key").limit(most) for k in (0, 1)]
@@ -237,6 +238,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 redacted = "".join([*parts, t[last:]]) if parts else t
                 out.append((redacted, [{"start": a, "end": b, "score": s, "secret": s >= THRESHOLD} for (a, b), s in rated]))
             yield pd.DataFrame(out, columns=["redacted", "findings"])
+        give_back()
 
     rows = docs.drop("redacted", "findings").withColumn("__look", look(F.col("text")))
     return rows.select(*[c for c in rows.columns if c != "__look"], "__look.findings", "__look.redacted")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import give_back, table, text_or_empty
+from .common import table, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -63,7 +63,7 @@ def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                 decoded = b"".join(map(own.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
                 rows.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        give_back()
+        bpe.release(path)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(text_or_empty(text)).alias("d"))
     return rows.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")

@@ -182,6 +182,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
                 found = known.of(text)
                 out.append((bool(toxic), len(found), max((scale * s for *_, s in segments(found)), default=None)))
             yield pd.DataFrame(out, columns=["toxic", "n", "most"])
+        known.clear()
+        give_back()
 
     clean = rows.where("not toxic").mapInPandas(best, "toxic boolean, n long, most double").where("most is not null")
     offset = clean.agg(F.avg(F.col("most") - F.log("n"))).first()[0]
@@ -191,6 +193,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
         known = _Scores(*broadcast.value)
         for pdf in batches:
             yield pd.DataFrame({"toxic": pdf["toxic"], "x": [math.log1p(evidence(t, known, scale, offset)[0]) for t in pdf["text"]]})
+        known.clear()
+        give_back()
 
     seen = rows.mapInPandas(amounts, "toxic boolean, x double").collect()  # at most ``most`` rows of two numbers
     return Model(scores, other, scale, offset, _logistic(np.array([r["x"] for r in seen]), np.array([float(r["toxic"]) for r in seen])))
