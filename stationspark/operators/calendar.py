@@ -151,12 +151,15 @@ def month_strip(months: DataFrame, year: int) -> DataFrame:
 
 
 def day_profile(obs: DataFrame, day: str, devices: DataFrame | None = None, step_s: int = 1800) -> DataFrame:
-    """The half hours of a local day (46, 48 or 50 of them) for every device; rain without a reading is null."""
+    """The half hours of a local day (46 to 51 of them) for every device; rain without a reading is null.
+
+    Half hours are counted from the epoch, so where a day begins at a quarter of one, the first and the last reach beyond it.
+    """
     from .series import series
 
     date, zone = F.to_date(F.lit(day)), F.col("tz")
     bounds = with_zone(obs.select("device_id").distinct(), devices)
-    bounds = bounds.withColumn("first", day_start(date, zone)).withColumn("last", day_end(date, zone))
+    bounds = bounds.withColumn("first", F.floor(day_start(date, zone) / step_s) * step_s).withColumn("last", day_end(date, zone))
     low, high = F.unix_date(date).cast("long") * 86_400 - 86_400, F.unix_date(date).cast("long") * 86_400 + 2 * 86_400
     found = series(obs.where((F.col("epoch") >= low) & (F.col("epoch") < high)), step_s)
     spine = bounds.select("device_id", F.explode(F.sequence("first", "last", F.lit(step_s).cast("long"))).alias("bucket_epoch"))

@@ -123,6 +123,16 @@ def _profile(obs):
     return rows.select("device_id", "bucket_epoch", "temp_c", "rain_mm", "obs", "rain_readings")
 
 
+def _event_zones(obs):
+    zones = F.create_map(*[F.lit(x) for kv in derived.ZONES.items() for x in kv])
+    return obs.select("device_id").distinct().withColumn("tz", F.element_at(zones, (F.col("device_id") % 4 + 1).cast("int")))
+
+
+def _profile_tz(obs):
+    rows = calendar.day_profile(obs, DAY, _event_zones(obs))
+    return rows.select("device_id", "bucket_epoch", "temp_c", "rain_mm", "obs", "rain_readings")
+
+
 def _semi(s, d):
     obs = derived.obs_events(s, d)
     dim = derived.device_dim(s, d)
@@ -169,6 +179,8 @@ def queries() -> dict[str, Query]:
         "temperature_trend": lambda s, d: climate.temperature_trend(_months(s, d)),
         "month_anomalies": lambda s, d: climate.month_anomalies(_months(s, d)),
         "view_summary_week": lambda s, d: calendar.view_summary(_daily(s, d), "week"),
+        "view_summary_month": lambda s, d: calendar.view_summary(_daily(s, d), "month"),
+        "view_summary_year": lambda s, d: calendar.view_summary(_daily(s, d), "year"),
         "rank_days_gust": lambda s, d: calendar.rank_days(_daily(s, d), "gust_max_mph", 10),
         "calendar_grid": lambda s, d: calendar.calendar_grid(_daily(s, d).select("device_id", "day", "temp_max_f", "rain_in"), f"{YEAR}-01-01", f"{YEAR}-12-31"),
         "month_strip": lambda s, d: calendar.month_strip(_months(s, d), YEAR),
@@ -192,6 +204,7 @@ def queries() -> dict[str, Query]:
         "series_hourly": _events(lambda o: series.series(o, 3600)),
         "series_auto": _events(_auto),
         "day_profile": _events(_profile),
+        "day_profile_tz": _events(_profile_tz),
         "archive_status": _events(_status),
         "missing_windows": _events(lambda o: asof.missing_windows(o, *RANGE, 86_400)),
         "range_scan": _events(lambda o: within(o, RANGE[0] + 86_400, RANGE[0] + 5 * 86_400).select("device_id", "epoch", "air_temp_c", "rain_mm")),
@@ -352,6 +365,8 @@ c AS (SELECT *, x - avg(x) OVER g AS cx, y - avg(y) OVER g AS cy FROM f WINDOW g
 SELECT device_id, count(DISTINCT year) AS years, count(*) AS months_used, min(period) AS first_month, max(period) AS last_month, {_r('sum(cx*cy) / nullif(sum(cx*cx), 0) * 10')} AS slope_per_decade_f, {_r('sum(cx*cy) * sum(cx*cy) / nullif(sum(cx*cx) * sum(cy*cy), 0)')} AS r_squared, """ + _pairs({"w": _top("anom", "period"), "c": _low("anom", "period")}, {}, {"w": ("warmest_anomaly_f", "warmest_month"), "c": ("coldest_anomaly_f", "coldest_month")}) + " FROM c GROUP BY 1",
         "month_anomalies": _MONTHS + f" SELECT device_id, period, month, {_r('tavg')} AS temp_avg_f, {_r('avg(tavg) OVER g')} AS normal_f, {_r('tavg - avg(tavg) OVER g')} AS anomaly_f FROM months WHERE tavg IS NOT NULL WINDOW g AS (PARTITION BY device_id, month)",
         "view_summary_week": _DAILY + f" SELECT device_id, cast(date_trunc('week', day) AS date) AS period_start, {_r('max(hi)')} AS high_f, {_r('min(lo)')} AS low_f, {_r('max(gust)')} AS gust_max_mph, {_r('sum(rain)')} AS rain_in, count(*) FILTER (rain >= 0.01) AS rainy_days, count(*) AS observed_days, 7 AS calendar_days FROM daily GROUP BY 1, 2",
+        "view_summary_month": _DAILY + f" SELECT device_id, cast(date_trunc('month', day) AS date) AS period_start, {_r('max(hi)')} AS high_f, {_r('min(lo)')} AS low_f, {_r('max(gust)')} AS gust_max_mph, {_r('sum(rain)')} AS rain_in, count(*) FILTER (rain >= 0.01) AS rainy_days, count(*) AS observed_days, date_diff('day', cast(date_trunc('month', min(day)) AS date), cast(date_trunc('month', min(day)) + INTERVAL 1 MONTH AS date)) AS calendar_days FROM daily GROUP BY 1, 2",
+        "view_summary_year": _DAILY + f" SELECT device_id, cast(date_trunc('year', day) AS date) AS period_start, {_r('max(hi)')} AS high_f, {_r('min(lo)')} AS low_f, {_r('max(gust)')} AS gust_max_mph, {_r('sum(rain)')} AS rain_in, count(*) FILTER (rain >= 0.01) AS rainy_days, count(*) AS observed_days, date_diff('day', cast(date_trunc('year', min(day)) AS date), cast(date_trunc('year', min(day)) + INTERVAL 1 YEAR AS date)) AS calendar_days FROM daily GROUP BY 1, 2",
         "rank_days_gust": _DAILY + f" SELECT device_id, rank, day, {_r('gust')} AS gust_max_mph FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY gust DESC NULLS LAST, day) AS rank FROM daily) WHERE rank <= 10",
         "calendar_grid": _DAILY + f" SELECT v.device_id, v.day, {_r('hi')} AS temp_max_f, {_r('rain')} AS rain_in FROM (SELECT device_id, cast(unnest(generate_series(date '{YEAR}-01-01', date '{YEAR}-12-31', interval 1 day)) AS date) AS day FROM (SELECT DISTINCT device_id FROM daily)) v LEFT JOIN daily USING (device_id, day)",
         "month_strip": _MONTHS + f" SELECT v.device_id, v.month, '{YEAR}-' || lpad(cast(v.month AS varchar), 2, '0') AS period, {_r('tavg')} AS temp_avg_f, {_r('rain')} AS rain_in FROM (SELECT device_id, unnest(range(1, 13)) AS month FROM (SELECT DISTINCT device_id FROM months)) v LEFT JOIN months m ON m.device_id = v.device_id AND m.month = v.month AND m.year = {YEAR}",
@@ -375,6 +390,10 @@ SELECT device_id, epoch AS at_epoch, age_s, {_r('t')} AS temp_f, {_r('h')} AS hu
         "series_auto": _EVENTS + f""", c AS (SELECT device_id, min(epoch) AS a, max(epoch) AS z FROM obs GROUP BY 1), w AS (SELECT device_id, min(k * 60) AS bucket_s FROM (SELECT device_id, a, z, unnest(range(1, 1000)) AS k FROM c) WHERE z // (k * 60) - a // (k * 60) + 1 <= 100 GROUP BY 1)
 SELECT device_id, bucket_s, false AS coarsened, epoch // bucket_s * bucket_s AS bucket_epoch, {_r('avg(air_temp_c)')} AS temp_c, {_r('coalesce(sum(rain_mm), 0)')} AS rain_mm, count(*) AS obs FROM obs JOIN w USING (device_id) GROUP BY 1, 2, 4""",
         "day_profile": _EVENTS + f""", b AS (SELECT device_id, epoch // 1800 * 1800 AS bucket_epoch, {_BUCKETS} FROM obs GROUP BY 1, 2), v AS (SELECT device_id, unnest(range(cast(epoch(date '{DAY}') AS bigint), cast(epoch(date '{DAY}') AS bigint) + 86400, 1800)) AS bucket_epoch FROM (SELECT DISTINCT device_id FROM obs))
+SELECT device_id, bucket_epoch, {_r('temp_c')} AS temp_c, CASE WHEN rain_readings > 0 THEN {_r('rain_mm')} END AS rain_mm, obs, rain_readings FROM v LEFT JOIN b USING (device_id, bucket_epoch)""",
+        "day_profile_tz": _EVENTS + f""", {_ZONED}, b AS (SELECT device_id, epoch // 1800 * 1800 AS bucket_epoch, {_BUCKETS} FROM obs GROUP BY 1, 2),
+d AS (SELECT o.device_id, cast(epoch(timezone(z.tz, timestamp '{DAY} 00:00:00')) AS bigint) AS a, cast(epoch(timezone(z.tz, timestamp '{DAY} 00:00:00' + INTERVAL 1 DAY)) AS bigint) AS e FROM (SELECT DISTINCT device_id FROM obs) o JOIN zones z ON z.device_id = o.device_id % 4 + 1),
+v AS (SELECT device_id, unnest(range(a // 1800 * 1800, e, 1800)) AS bucket_epoch FROM d)
 SELECT device_id, bucket_epoch, {_r('temp_c')} AS temp_c, CASE WHEN rain_readings > 0 THEN {_r('rain_mm')} END AS rain_mm, obs, rain_readings FROM v LEFT JOIN b USING (device_id, bucket_epoch)""",
         "archive_status": _GAPS + f", c AS (SELECT device_id, count(*) AS obs, min(epoch) AS first_epoch, max(epoch) AS last_epoch FROM obs GROUP BY 1), g AS (SELECT device_id, least(count(*), 10) AS n_gaps, max(seconds) AS largest_gap_s FROM gap GROUP BY 1) SELECT device_id, obs, first_epoch, last_epoch, {_r('(last_epoch - first_epoch) / 86400')} AS span_days, {AS_OF} - last_epoch AS age_s, {AS_OF} - last_epoch >= 0 AND {AS_OF} - last_epoch < 3600 AS fresh, coalesce(n_gaps, 0) AS n_gaps, largest_gap_s FROM c LEFT JOIN g USING (device_id)",
         "missing_windows": _EVENTS + f""", o AS (SELECT * FROM obs WHERE epoch BETWEEN {RANGE[0]} AND {RANGE[1]}), c AS (SELECT device_id, min(epoch) AS a, max(epoch) AS z FROM o GROUP BY 1), s AS (SELECT device_id, lag(epoch) OVER (PARTITION BY device_id ORDER BY epoch) AS a, epoch AS b FROM o),

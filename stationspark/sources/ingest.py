@@ -36,7 +36,7 @@ def observation_rows(responses: DataFrame, ranges: bool = False) -> DataFrame:
 
     Short rows are padded with null. ``bad`` says why a row or its whole response is not to be taken, else it is null: another
     type, a status other than 0, no obs key, another device than was asked for, an empty or overlong row, no epoch; with
-    ``ranges`` also a reading out of range.
+    ``ranges`` also a reading out of range. Where responses have a column ``arrival``, rows get it with their place behind it.
     """
     device = F.coalesce("requested_device_id", "device_id") if "requested_device_id" in responses.columns else F.col("device_id")
     envelope = (
@@ -45,14 +45,14 @@ def observation_rows(responses: DataFrame, ranges: bool = False) -> DataFrame:
         .when(F.col("obs").isNull(), "no observations")
         .when(F.col("device_id") != device, "device")
     )
-    rows = responses.select(device.alias("device_id"), envelope.alias("envelope"), F.explode_outer("obs").alias("row"), F.col("obs").isNull().alias("none"))
+    rows = responses.select(device.alias("device_id"), envelope.alias("envelope"), F.posexplode_outer("obs").alias("place", "row"), F.col("obs").isNull().alias("none"), *(["arrival"] if "arrival" in responses.columns else []))
     rows = rows.where(F.col("row").isNotNull() | F.col("none") | F.col("envelope").isNotNull())
     size = F.size("row")
     bad = F.coalesce(F.col("envelope"), F.when(size == 0, "empty row").when(size > MOST_FIELDS, "overlong row").when(F.get("row", F.lit(0)).isNull(), "no epoch"))
     if ranges:
         bad = F.coalesce(bad, F.when(F.coalesce(F.col("device_id") <= 0, F.lit(True)), "device_id").when(_out_of_range(F.col("row")), "range"))
     sensors = [F.get("row", F.lit(k + 1)).alias(s) for k, s in enumerate(WIRE)]
-    return rows.select("device_id", F.get("row", F.lit(0)).alias("epoch"), *sensors, F.lit("rest").alias("source"), bad.alias("bad"))
+    return rows.select("device_id", F.get("row", F.lit(0)).alias("epoch"), *sensors, F.lit("rest").alias("source"), bad.alias("bad"), *([F.struct("arrival.*", "place").alias("arrival")] if "arrival" in responses.columns else []))
 
 
 def read_observation_responses(spark: SparkSession, path: str) -> DataFrame:

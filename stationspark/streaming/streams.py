@@ -13,16 +13,25 @@ from stationspark.operators.asof import GAP_S
 from stationspark.operators.rollup import days_of
 from stationspark.operators.sensors import CONTINUOUS, STALE_S
 from stationspark.operators.series import bucket_aggregates
-from stationspark.schema import align_schema, month_of
+from stationspark.schema import OBS, align_schema, month_of
 from stationspark.sources.ingest import RESPONSE, append_observations, observation_rows
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_observations(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Valid rows of landed response files as they come; the checkpoint is the cursor, so a restart goes on where it stopped."""
-    raw = observation_rows(spark.readStream.schema(RESPONSE).option("maxFilesPerTrigger", files_per_trigger).json(path), ranges=True)
-    return timed(align_schema(raw.where("bad is null")))
+def stream_observations(spark: SparkSession, path: str, files_per_trigger: int = 1000, arrival: bool = False) -> DataFrame:
+    """Valid rows of landed response files as they come; the checkpoint is the cursor, so a restart goes on where it stopped.
+
+    With ``arrival`` rows have a column of that name: the file's time and name, the place of its part, and the row's place in its response.
+    """
+    raw = spark.readStream.schema(RESPONSE).option("maxFilesPerTrigger", files_per_trigger).json(path)
+    if arrival:
+        file = [F.col(f"_metadata.{c}") for c in ("file_modification_time", "file_path", "file_block_start")]
+        raw = raw.select("*", F.struct(*file).alias("arrival"))
+    rows = observation_rows(raw, ranges=True).where("bad is null")
+    if not arrival:
+        return timed(align_schema(rows))
+    return timed(rows.select(*[F.col(f.name).cast(f.dataType) for f in OBS], "arrival"))
 
 
 def timed(obs: DataFrame) -> DataFrame:
@@ -127,7 +136,7 @@ def stream_stale_sensors(obs: DataFrame, stale_s: int = STALE_S) -> DataFrame:
 
 
 def sync_archive(spark: SparkSession, landed: str, archive: str, rollups: str, checkpoint: str, devices: DataFrame | None = None, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """One bounded catch-up: new files are appended with the first row of a key winning, and only touched days are rolled up anew.
+    """One bounded catch-up: new files are appended with the row of a key that arrived first winning, and only touched days are rolled up anew.
 
     However late a row comes, it is stored and its device's days are recomputed; nothing is dropped for being late. Only the
     months that the batch touches are read again. Day rollups are a table partitioned by day, overwritten by partition.
@@ -142,11 +151,11 @@ def sync_archive(spark: SparkSession, landed: str, archive: str, rollups: str, c
             return None
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = align_schema(df).withColumn("obs_month", month_of(F.col("epoch"))).persist()
+        # Within a part of a file rows are numbered as they stand in it, before anything moves them.
+        rows = df.drop("ts").withColumn("line", F.monotonically_increasing_id()).withColumn("obs_month", month_of(F.col("epoch"))).persist()
         months = sorted(r[0] for r in rows.select("obs_month").distinct().collect())  # a few numbers
         if months:
-            # Nulls first among equal keys would be arbitrary; every column takes part, so that a replay picks the same row.
-            new = append_observations(stored(months), rows, [c for c in rows.columns if c not in ("device_id", "epoch", "obs_month")])
+            new = append_observations(stored(months), rows, [*[f"arrival.file_{c}" for c in ("modification_time", "path", "block_start")], "line"]).drop("arrival", "line")
             new.write.mode("append").partitionBy("obs_month").parquet(archive)
             near = sorted({m for x in months for m in (x, _next(x, 1), _next(x, -1))})  # a local day may begin in the month before
             touched = rows.select("device_id", F.explode(F.array(*[F.date_add(F.to_date(F.timestamp_seconds("epoch")), k) for k in (-1, 0, 1)])).alias("day")).distinct()
@@ -158,7 +167,7 @@ def sync_archive(spark: SparkSession, landed: str, archive: str, rollups: str, c
         if then:
             then(df)
 
-    source = stream_observations(spark, landed)
+    source = stream_observations(spark, landed, arrival=True)
     return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 

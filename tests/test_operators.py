@@ -108,6 +108,8 @@ def test_spines(spark):
     zones = spark.createDataFrame([(1, "America/New_York")], ZONES)
     for text, n in [("2025-03-09", 46), ("2025-11-02", 50), ("2024-01-01", 48)]:
         assert calendar.day_profile(rows, text, zones).count() == n
+    quarter = calendar.day_profile(rows, "2024-01-01", spark.createDataFrame([(1, "Asia/Kathmandu")], ZONES)).orderBy("bucket_epoch").collect()
+    assert len(quarter) == 49 and [r.temp_c for r in quarter if r.temp_c is not None] == [1.0]  # both edges, from 18:00 UTC on
     flat = calendar.normalise_metric(daily, "temp_avg_f", ["device_id"]).orderBy("day").collect()
     assert [r.scaled for r in flat] == [0, 1]
 

@@ -166,6 +166,13 @@ def test_silent_sensors(spark, tmp_path):
     assert [(r.sensor, r.last_epoch) for r in got] == [("air_temp_c", E + 120)]
 
 
+def test_sync_keeps_the_row_that_arrived_first(spark, tmp_path):
+    source, paths = tmp_path / "in", [str(tmp_path / p) for p in ("archive", "rollups", "checkpoint")]
+    land(source, "a", {"device_id": 1, "type": "obs_st", "obs": [wire(E, rain=5.0), wire(E, rain=1.0), wire(E + 60, rain=2.0)]})
+    streams.sync_archive(spark, str(source), *paths).awaitTermination()
+    assert sorted((r.epoch, r.rain_mm) for r in spark.read.parquet(paths[0]).collect()) == [(E, 5.0), (E + 60, 2.0)]
+
+
 def test_sync_is_idempotent_and_takes_late_rows(spark, tmp_path):
     source, paths = tmp_path / "in", [str(tmp_path / p) for p in ("archive", "rollups", "checkpoint")]
     sync = lambda: streams.sync_archive(spark, str(source), *paths).awaitTermination()
