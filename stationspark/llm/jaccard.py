@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .bloom import bloom_filter, may_contain
-from .common import give_back, materialize, table
+from .common import discard, give_back, materialize, table
 from .graph import connected_components
 from .shingles import COUNTERS, count_pass, set_key, shingle_sets, total_counts
 
@@ -82,7 +82,8 @@ def prefix_postings(docs: DataFrame, counts: np.ndarray, copies: dict[tuple[int,
     """
     spark = docs.sparkSession
     total = int(counts.sum())
-    hot_from = 8 * total // COUNTERS + 1024
+    mean = total / COUNTERS  # what chance adds to a counter stays near it
+    hot_from = int(mean + 8 * mean**0.5) + 1024
     bits = min(24, max(10, (total // PER_BUCKET).bit_length()))
     identity = min(MOST_BITS, REST_BITS + bits)
     rest = identity - bits
@@ -193,7 +194,9 @@ def _sets(docs: DataFrame, concerned: DataFrame) -> DataFrame:
     # a task has one Python worker at a time.
     rows = rows.where(may_contain(docs.sparkSession, bloom_filter(concerned, "doc"), F.col("doc"))).join(concerned, "doc", "left_semi")
     rows = materialize(rows, "concerned-texts")
-    return materialize(rows.mapInPandas(sets, "doc long, shingles binary"), "sets")
+    out = materialize(rows.mapInPandas(sets, "doc long, shingles binary"), "sets")
+    discard(rows)
+    return out
 
 
 def verified(sets: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
@@ -293,6 +296,7 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD) -> Data
     hot = classes.orderBy(F.desc("copies"), "h1", "h2").limit(MOST_CLASSES).collect()
     postings = materialize(prefix_postings(docs, total_counts(passed), {(r["h1"], r["h2"]): r["rep"] for r in hot}, threshold), "postings")
     found = materialize(_lists(postings), "lists")
+    discard(postings)
     whole = _sets(docs, materialize(found.select("doc").distinct(), "concerned"))
     copies = sets.join(classes, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     links = copies.union(verified(whole, _star_pairs(found, threshold), threshold))
@@ -306,6 +310,7 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD) -> Data
         mixed = _mixed(mixed, parts)  # a list of one component stays one
     new = verified(whole, _rest(mixed, threshold), threshold)
     parts = materialize(connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new)), "components")
+    discard(found, whole, mixed, classes)
     out = ids.join(parts, ids["doc_id"] == parts["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

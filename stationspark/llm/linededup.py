@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, table
+from .common import discard, give_back, materialize, table
 
 WINDOW = 3
 #: What ends a unit: the end of a line, and for sentences the space after a full stop or its like (none needed after wide ones).
@@ -73,7 +73,10 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, units: re.Pattern = LINES)
     place as in different ones. Rows that repeat a doc_id and text stand at one place: what is first in one is so in all.
     Different texts of one doc_id are different rows, in the order of their hashes. An empty table gives no rows. With SENTENCES as ``units`` all this holds for sentences in place of lines.
     """
-    gone = repeated(materialize(windows(docs, size, units), "windows")).withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
+    found = materialize(windows(docs, size, units), "windows")
+    gone = materialize(repeated(found), "repeated-windows")
+    discard(found)  # the largest table by far
+    gone = gone.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ WORDS = 5
 #: Bytes of text that are hashed at a time, and bytes from which a word is hashed by itself.
 CHUNK, LONG = 1 << 18, 1 << 15
 #: Counters of the frequency sketch (a power of two) and of one block of it: a fixed size whatever the corpus holds.
-COUNTERS, BLOCK = 1 << 20, 1 << 12
+COUNTERS, BLOCK = 1 << 18, 1 << 12
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
