@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +16,8 @@ from .graph import connected_components
 SHARD, BLOCK = 8192, 512
 #: Vectors of a tile in the near-duplicate comparison, and rows of it that are multiplied at a time.
 TILE, STRIP = 4096, 512
+#: Ranges that the axes cut the vectors into at most (a larger range has more tiles), and bytes of the tiles that go to a task as one.
+RANGES, GROUP = 256, 8 << 20
 #: Vectors that the principal axes are fitted on, those with the smallest hashed ids. The axes only order the work: any
 #: rotation gives the same links.
 AXES_SAMPLE = 20_000
@@ -138,15 +142,49 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- near duplicates by PCA-ordered tiles --------------------------------------------------------------------------------
 
 
-def principal_axes(vectors: DataFrame, width: int) -> np.ndarray:
-    """Orthonormal axes by falling variance of the unit vectors of a bounded sample (AXES_SAMPLE), as columns."""
+def principal_axes(vectors: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Orthonormal axes by falling variance of the unit vectors of a bounded sample (AXES_SAMPLE), as columns, and the sample on them."""
     rows = vectors.orderBy(F.xxhash64("class"), "class").limit(AXES_SAMPLE).select("x").collect()
     x = np.zeros((len(rows), width))
     for k, r in enumerate(rows):
         x[k, : len(r["x"])] = r["x"]
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     values, axes = np.linalg.eigh(x.T @ x)
-    return axes[:, np.argsort(-values)]
+    axes = axes[:, np.argsort(-values)]
+    return axes, x @ axes
+
+
+def cut_ranges(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and value of 2^depth - 1 cuts in heap order, each at the median of the axis along which its part varies most."""
+    axis, value = np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1)
+    parts = [sample]
+    for node in range(2**depth - 1):
+        part = parts[node]
+        if len(part):
+            axis[node] = part.var(axis=0).argmax()
+            value[node] = np.median(part[:, axis[node]])
+        above = part[:, axis[node]] > value[node]
+        parts += [part[~above], part[above]]
+    return axis, value
+
+
+def range_of(turned: np.ndarray, axis: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The range, from 0, that each row lies in."""
+    node = np.zeros(len(turned), np.int64)
+    for _ in range(int(np.log2(len(axis) + 1))):
+        node = 2 * node + 1 + (turned[np.arange(len(turned)), axis[node]] > value[node])
+    return node - len(axis)
+
+
+def reachable(low: np.ndarray, high: np.ndarray, threshold: float) -> np.ndarray:
+    """Which ranges (their least and greatest components as rows) can hold unit vectors with a cosine of ``threshold``, as a matrix.
+
+    What keeps two ranges apart on each axis adds up to a distance, and unit vectors that far apart have a smaller cosine.
+    """
+    apart = np.zeros((len(low), len(low)))
+    for lo, hi in zip(low.T, high.T, strict=True):
+        apart += np.maximum(0, np.maximum(lo[:, None] - hi[None, :], lo[None, :] - hi[:, None])) ** 2
+    return 1 - apart / 2 >= threshold - SLACK
 
 
 def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> np.ndarray:
@@ -209,8 +247,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
     are one class with a count, so a group of copies costs as much as one vector; repeated rows are members as any other and
     each gets its row. Rows with a null id get a row of their own but link with nothing. Other columns are ignored.
 
-    Classes lie in tiles by a hash. Every pair of tiles is a task of bounded size that returns a count per vector and a
-    spanning forest of its links, never the links themselves.
+    Classes lie in ranges of the principal axes, cut at medians of the sample, and in tiles of their range by a hash. Pairs of
+    tiles whose ranges are too far apart for the threshold never meet. The others meet as groups of tiles of bounded size, in
+    tasks that return a count per vector and a spanning forest of their links, never the links themselves. Components that are
+    too large or small to be squared are scaled by a power of two, which changes no cosine.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: x.cast("double")).alias("x"))
@@ -219,43 +259,80 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
     hashed = lambda seed: F.xxhash64(F.lit(seed), F.transform("x", lambda v: v + F.lit(0.0)))
     rows = rows.withColumn("some", some).withColumn("h1", hashed(1)).withColumn("h2", hashed(2))
     classes = rows.where("some").groupBy("h1", "h2").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies"), F.first("x").alias("x"))
+    most = F.array_max(F.transform("x", F.abs))
+    times = lambda f: F.transform("x", lambda v: v * F.lit(f))
+    classes = classes.withColumn("x", F.when(most > 1e150, times(2.0**-600)).when(most < 1e-150, times(2.0**600)).otherwise(F.col("x")))
     classes = materialize(classes, "classes")
     n, width = classes.agg(F.count("*"), F.max(F.size("x"))).first()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    tiles = -(-n // TILE)
-    axes = spark.sparkContext.broadcast(principal_axes(classes, width))  # bounded: the square of the dimension
+    axes, sample = principal_axes(classes, width)
+    depth = min(int(np.ceil(np.log2(max(1, n / TILE)))), int(np.log2(RANGES)))
+    cuts = spark.sparkContext.broadcast((axes, *cut_ranges(sample, depth)))  # bounded: the square of the dimension, and RANGES
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.zeros((len(pdf), width))
+            for k, row in enumerate(pdf["x"]):
+                x[k, : len(row)] = row
+            at = range_of((x / np.linalg.norm(x, axis=1, keepdims=True)) @ cuts.value[0], *cuts.value[1:])
+            yield pd.DataFrame({"class": pdf["class"], "copies": pdf["copies"], "range": at, "x": [row.tobytes() for row in x]})
+        give_back()
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((len(pdf), axes.value.shape[0]))
-        for k, row in enumerate(pdf["x"]):
-            x[k, : len(row)] = row
-        return pd.DataFrame({"tile": pdf["tile"].iloc[:1], "ids": [pdf["class"].to_numpy().tobytes()], "copies": [pdf["copies"].to_numpy().tobytes()], "x": [x.tobytes()]})
+    placed = materialize(classes.select("class", "copies", "x").mapInPandas(place, "class long, copies long, range long, x binary"), "placed")
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.frombuffer(b"".join(pdf["x"]), np.float64).reshape(-1, width)
+            turned, at = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ cuts.value[0], pdf["range"].to_numpy()
+            yield pd.DataFrame([(r, int((at == r).sum()), turned[at == r].min(axis=0), turned[at == r].max(axis=0)) for r in np.unique(at)], columns=["range", "n", "low", "high"])
 
-    packed = classes.withColumn("tile", F.pmod(F.xxhash64("class"), F.lit(tiles))).groupBy("tile").applyInPandas(gather, "tile long, ids binary, copies binary, x binary")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
-    packed = packed.withColumn("other", other).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("other")
+    def join_bounds(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"range": pdf["range"].iloc[:1], "n": [pdf["n"].sum()], "low": [np.stack(pdf["low"]).min(axis=0)], "high": [np.stack(pdf["high"]).max(axis=0)]})
+
+    boxes = "range long, n long, low array<double>, high array<double>"
+    boxes = placed.select("range", "x").mapInPandas(bounds, boxes).groupBy("range").applyInPandas(join_bounds, boxes).orderBy("range").collect()  # RANGES rows at most
+    near = np.zeros((2**depth, 2**depth), bool)
+    some_ranges = [r["range"] for r in boxes]
+    near[np.ix_(some_ranges, some_ranges)] = reachable(np.array([r["low"] for r in boxes]), np.array([r["high"] for r in boxes]), threshold)
+    in_range = np.zeros(2**depth, np.int64)
+    in_range[some_ranges] = [-(-r["n"] // TILE) for r in boxes]
+    first = np.cumsum(in_range) - in_range
+    size = max(1, GROUP // (8 * TILE * width))
+    plan = spark.sparkContext.broadcast((near, first, in_range))  # bounded by the square of RANGES
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        near, first, in_range = plan.value
+        mine = int(pdf["range"].iloc[0])
+        others = np.unique(np.concatenate([np.arange(first[r], first[r] + in_range[r]) // size for r in np.flatnonzero(near[mine])]))
+        whole = {"ids": pdf["class"].to_numpy().tobytes(), "copies": pdf["copies"].to_numpy().tobytes(), "x": b"".join(pdf["x"])}
+        return pd.DataFrame([{"tile": pdf["tile"].iloc[0], "range": mine, "others": others, **whole}])
+
+    numbers = lambda x: F.array(*[F.lit(int(v)) for v in x])
+    of_range = lambda x: F.get(numbers(x), F.col("range").cast("int")).cast("long")
+    tiled = placed.withColumn("tile", of_range(first) + F.pmod(F.xxhash64("class"), of_range(in_range)))
+    packed = tiled.groupBy("tile").applyInPandas(gather, "tile long, range long, others array<long>, ids binary, copies binary, x binary")
+    packed = packed.withColumn("group", F.floor(F.col("tile") / size)).withColumn("other", F.explode("others")).drop("others")
+    packed = packed.withColumn("i", F.least("group", "other")).withColumn("j", F.greatest("group", "other")).drop("other")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        axes_ = axes.value
-        two = [
-            (np.frombuffer(r.ids, np.int64), np.frombuffer(r.copies, np.int64), np.frombuffer(r.x, np.float64).reshape(-1, axes_.shape[0]))
-            for r in pdf.sort_values("tile").itertuples()
-        ]
-        same = len(two) == 1
-        if same and pdf["i"].iloc[0] != pdf["j"].iloc[0]:  # a tile without vectors
-            return pd.DataFrame({"u": [], "v": [], "links": []}, dtype="int64")
-        (ia, ca, xa), (ib, cb, xb) = two[0], two[-1]
-        hit = linked(xa, xb, axes_, threshold)
-        if same:
-            np.fill_diagonal(hit, False)
-        u, v = forest(ia, ib, hit)
-        counts = [(ia, hit @ cb)] + ([] if same else [(ib, ca @ hit)])
-        ids, links = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
-        some = links > 0
-        ids, links = ids[some], links[some]
+        near, i, j = plan.value[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
+        tiles = [(r.group, r.tile, r.range, np.frombuffer(r.ids, np.int64), np.frombuffer(r.copies, np.int64), np.frombuffer(r.x, np.float64).reshape(-1, width)) for r in pdf.itertuples()]
+        out = [np.zeros((0, 3), np.int64)]
+        for ga, ta, ra, ia, ca, xa in tiles:
+            for gb, tb, rb, ib, cb, xb in tiles:
+                if ga != i or gb != j or (i == j and ta > tb) or not near[ra, rb]:
+                    continue
+                hit = linked(xa, xb, cuts.value[0], threshold)
+                if ta == tb:
+                    np.fill_diagonal(hit, False)
+                u, v = forest(ia, ib, hit)
+                out.append(np.stack([u, v, np.zeros(len(u), np.int64)], axis=1))
+                for ids, links in [(ia, hit @ cb)] + ([] if ta == tb else [(ib, ca @ hit)]):
+                    some = links > 0
+                    out.append(np.stack([ids[some], ids[some], links[some]], axis=1))
         give_back()
-        return pd.DataFrame({"u": np.concatenate([u, ids]), "v": np.concatenate([v, ids]), "links": np.concatenate([np.zeros(len(u), np.int64), links])})
+        return pd.DataFrame(np.concatenate(out), columns=["u", "v", "links"])
 
     found = materialize(packed.groupBy("i", "j").applyInPandas(compare, "u long, v long, links long"), "links")
     links = found.where("links > 0").groupBy(F.col("u").alias("class")).agg(F.sum("links").alias("links"))

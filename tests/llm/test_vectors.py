@@ -68,6 +68,29 @@ def test_near_duplicates_are_brute_force(table, monkeypatch, tile):
         assert (rows[i].n_links, rows[i].component_id, rows[i].kept) == (0, i, True)
 
 
+@pytest.mark.parametrize("group", [1, 8 << 20])
+def test_ranges_leave_out_far_tiles(spark, monkeypatch, group):
+    monkeypatch.setattr(vectors, "TILE", 25)
+    monkeypatch.setattr(vectors, "GROUP", group)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    x = np.repeat(centres, 30, axis=0) + rng.normal(size=(360, 8)) * rng.choice([0.05, 0.3], size=(360, 1))
+    x[0], x[1], x[2] = x[0] * 1e200, x[0] * 1e190, x[0] * 1e-300
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.9
+    np.fill_diagonal(hit, False)
+    met = []
+    found = vectors.reachable
+    monkeypatch.setattr(vectors, "reachable", lambda *a: met.append(found(*a)) or met[0])
+    rows = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    label = np.arange(360)
+    for _ in range(20):
+        label = np.minimum(label, np.where(hit, label[None, :], 999).min(axis=1))
+    assert [(rows[k].n_links, rows[k].component_id) for k in range(360)] == [(int(hit[k].sum()), int(label[k])) for k in range(360)]
+    assert hit[0, 1] and 0.1 < met[0].mean() < 0.7
+
+
 def test_copies_and_empty(spark):
     same = spark.createDataFrame([(k, [1.0, 2.0]) for k in (7, 3, 9, 3)], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, vectors.near_duplicates(same).collect())) == [(3, 3, 3, True), (3, 3, 3, True), (7, 3, 3, False), (9, 3, 3, False)]
