@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stationspark.functions.calendar import local_day, local_timestamp, within
 from stationspark.functions.units import c_to_f, compass, dew_point_c, feels_like_f, km_to_mile, mb_to_inhg, mps_to_mph
+from stationspark.sources.shared import written
 
 from .asof import GAP_S, coverage, gaps, latest, pressure_tendency
 from .calendar import period_summary
@@ -69,11 +70,17 @@ def archive_status(obs: DataFrame, as_of_epoch: int, devices: DataFrame | None =
 
 
 def stats_report(obs: DataFrame, start_epoch: int | None = None, end_epoch: int | None = None, devices: DataFrame | None = None) -> DataFrame:
-    """One nested row per device: coverage, records and trend of all time; rain, wind, lightning, solar, comfort, spells, pressure of a range."""
-    quarter = quarter_rollup(obs)
-    day = day_rollup(quarter, devices)
-    part_quarter = quarter_rollup(within(obs, start_epoch, end_epoch)) if start_epoch is not None or end_epoch is not None else quarter
-    part = day_rollup(part_quarter, devices) if part_quarter is not quarter else day
+    """One nested row per device: coverage, records and trend of all time; rain, wind, lightning, solar, comfort, spells, pressure of a range.
+
+    Quarter hours and days are written once (a job of its own) and read by all parts, so observations are scanned for the
+    rollups, the records and the coverage alone.
+    """
+    quarter = written(quarter_rollup(obs), "quarter")
+    day = written(day_rollup(quarter, devices), "day")
+    part_quarter, part = quarter, day
+    if start_epoch is not None or end_epoch is not None:
+        part_quarter = written(quarter_rollup(within(obs, start_epoch, end_epoch)), "part-quarter")
+        part = written(day_rollup(part_quarter, devices), "part-day")
     parts = {
         "records": records(obs, day), "trend": temperature_trend(period_summary(day)), "rain": rain_stats(part), "wind": wind_stats(part),
         "lightning": lightning_stats(part), "solar": solar_stats(part), "comfort": comfort_stats(part_quarter, devices),

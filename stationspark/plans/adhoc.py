@@ -2,29 +2,76 @@
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
+from collections.abc import Iterator
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_SQL_BYTES, MOST_ROWS, MOST_COLUMNS, MOST_RESULT_BYTES, MOST_SECONDS = 64 * 1024, 1000, 128, 8 * 1024 * 1024, 15
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
-_WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|replace\s+table|load|cache|uncache|refresh|set|reset|add|use|call|grant|revoke)\b", re.I)
+#: Nodes of a parsed statement that only read; every other one (commands, writes, scripts) is refused.
+_READS = {
+    "Project", "Filter", "Aggregate", "UnresolvedHaving", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Join", "LateralJoin",
+    "UnresolvedRelation", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Union", "Except", "Intersect", "Generate",
+    "OneRowRelation", "UnresolvedInlineTable", "LocalRelation", "WithWindowDefinition", "Window", "Pivot", "Unpivot", "Sample",
+    "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedHint",
+}
+#: Functions that call any static method, by name and as they stand in an analysed plan.
+_REFLECTS, _REFLECTION = {"java_method", "reflect", "try_reflect"}, {"CallMethodViaReflection", "TryReflect"}
 
 
-def check_read_only(sql: str) -> None:
-    """Raise unless the text is one SELECT or WITH statement without a writing keyword, within the size limit."""
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _each(found) -> list:
+    return [found.apply(k) for k in range(found.size())]
+
+
+def _nodes(node, of_plan: bool = True) -> Iterator[tuple]:
+    """(node, whether it is a plan's) of a plan, its expressions, its named parts and all subqueries in them."""
+    yield node, of_plan
+    for child in _each(node.children()):
+        yield from _nodes(child, of_plan)
+    if of_plan:
+        for expression in _each(node.expressions()):
+            yield from _nodes(expression, False)
+        if _kind(node) == "UnresolvedWith":
+            for named in _each(node.innerChildren()):
+                yield from _nodes(named)
+    elif _kind(node) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        yield from _nodes(node.plan())
+
+
+def check_read_only(spark: SparkSession, sql: str) -> None:
+    """Raise unless the text is one statement, within the size limit, whose plan only reads the session's temporary views.
+
+    The parsed plan is looked at before anything is analysed: commands run as soon as they are, and tables of literals are
+    evaluated then. Names must be those of temporary views or of the statement's own WITH, so no file or table is read by name.
+    """
     if len(sql.encode()) > MOST_SQL_BYTES or "\0" in sql:
         raise ValueError("the statement is too long or holds a NUL")
-    bare = _QUOTED.sub(" ", sql).strip().rstrip(";").strip()
-    if ";" in bare:
-        raise ValueError("one statement at a time")
-    if not re.match(r"(?:\(\s*)*(select|with)\b", bare, re.I):
-        raise ValueError("only SELECT or WITH")
-    if bare[:4].lower() == "with" and _WRITES.search(bare):
-        raise ValueError("statements may only read")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as wrong:
+        raise ValueError("not one readable statement") from wrong
+    nodes = list(_nodes(plan))
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    named = {c.alias().lower() for n, _ in nodes if _kind(n) == "UnresolvedWith" for c in _each(n.innerChildren())} - views
+    if any(spark.catalog.tableExists(name) for name in named):
+        raise ValueError("a name in WITH is that of a stored table")
+    for node, of_plan in nodes:
+        kind = _kind(node)
+        if of_plan and kind not in _READS:
+            raise ValueError(f"statements may only read, not {kind}")
+        if kind == "UnresolvedRelation":
+            name = _each(node.multipartIdentifier())
+            if len(name) != 1 or name[0].lower() not in views | named:
+                raise ValueError(f"{'.'.join(name)} is not a view of this session")
+        if not of_plan and kind == "UnresolvedFunction" and _each(node.nameParts())[-1].lower() in _REFLECTS:
+            raise ValueError("a statement may not call methods")
 
 
 def query_sql(spark: SparkSession, sql: str, max_rows: int = 100, seconds: float = MOST_SECONDS) -> tuple[DataFrame, bool]:
@@ -34,27 +81,30 @@ def query_sql(spark: SparkSession, sql: str, max_rows: int = 100, seconds: float
     """
     if not 1 <= max_rows <= MOST_ROWS:
         raise ValueError(f"max_rows must lie between 1 and {MOST_ROWS}")
-    check_read_only(sql)
+    check_read_only(spark, sql)
     df = spark.sql(sql)
+    if any(_kind(n) in _REFLECTION for n, _ in _nodes(df._jdf.queryExecution().analyzed())):  # one in a named window, say
+        raise ValueError("a statement may not call methods")
     if len(df.columns) > MOST_COLUMNS:
         raise ValueError(f"over {MOST_COLUMNS} columns")
+    df = df.limit(max_rows + 1)
+    cells = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    shown = F.concat_ws("", *[F.col(c).cast("string") for c in cells.columns])
+    size = cells.agg(F.sum(F.octet_length(shown)))  # by an aggregate first, so that nothing larger goes to the driver
     tag = f"adhoc-{uuid.uuid4().hex}"
     timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
     spark.addTag(tag)
     timer.start()
     try:
-        rows = df.limit(max_rows + 1).collect()  # bounded
+        if (size.first()[0] or 0) > MOST_RESULT_BYTES:
+            raise ValueError("the result exceeds 8 MiB")
+        rows = df.collect()  # bounded in rows and bytes
     finally:
         timer.cancel()
         spark.removeTag(tag)
-    kept, size = rows[:max_rows], 0
-    for row in kept:
-        for v in row:
-            if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))):
-                raise ValueError("a number in the result is not finite")
-            size += len(str(v))
-    if size > MOST_RESULT_BYTES:
-        raise ValueError("the result exceeds 8 MiB")
+    kept = rows[:max_rows]
+    if any(isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))) for row in kept for v in row):
+        raise ValueError("a number in the result is not finite")
     return spark.createDataFrame(kept, df.schema), len(rows) > max_rows
 
 

@@ -108,6 +108,33 @@ def test_adhoc_sql(spark):
     for sql in ["DROP TABLE t", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT 1\0", "SELECT " + "1," * 40_000 + "1", "SELECT double('NaN') AS x"]:
         with pytest.raises(ValueError):
             adhoc.query_sql(spark, sql)
+    refused = [
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')", "SELECT * FROM VALUES (reflect('java.lang.System', 'nanoTime')) AS v(x)",
+        "SELECT sum(v) OVER w FROM t WINDOW w AS (PARTITION BY java_method('java.lang.System', 'getProperty', 'user.dir'))",
+        "SELECT id FROM t WHERE EXISTS (SELECT java_method('java.lang.System', 'nanoTime'))", "SELECT * FROM json.`/tmp/x`", "SELECT * FROM kept AS kept",
+        "SELECT * FROM kept WHERE x IN (WITH kept AS (SELECT 1 AS x) SELECT x FROM kept)", "SHOW TABLES", "EXPLAIN SELECT 1", "SET a = b",
+        "FROM t INSERT OVERWRITE DIRECTORY '/tmp/x' USING json SELECT *", "SELECT TRANSFORM(id) USING 'cat' FROM t", "SELECT id, repeat('x', 10000000) AS s FROM t", "SELECT 1 +",
+    ]
+    spark.sql("CREATE TABLE kept USING parquet AS SELECT 1 AS x")
+    try:
+        for sql in refused:
+            try:
+                adhoc.query_sql(spark, sql)
+            except ValueError:
+                continue
+            pytest.fail(sql)
+    finally:
+        spark.sql("DROP TABLE kept")
+    read = {
+        "WITH add AS (SELECT id AS use, v AS load FROM t), n AS (SELECT max(use) AS m FROM add) SELECT count(*) AS n FROM add JOIN n ON use <= m": 500,
+        "SELECT (SELECT max(id) FROM t) AS n": 499, "SELECT count(*) AS n FROM (SELECT id FROM t UNION ALL SELECT id FROM t WHERE id IN (SELECT id FROM t WHERE id < 5))": 505,
+        "SELECT n FROM (SELECT id, count(*) OVER w AS n FROM t WINDOW w AS (ORDER BY id)) ORDER BY id DESC LIMIT 1": 500,
+        "SELECT sum(x) AS n FROM t LATERAL VIEW explode(array(1, 2)) e AS x": 1500, "SELECT count(*) AS n FROM t, LATERAL (SELECT t.id + 1 AS j) HAVING count(*) > 1": 500,
+        "(SELECT count(*) AS n FROM VALUES (1), (2) AS v(x))": 2,
+    }
+    for sql, n in read.items():
+        assert adhoc.query_sql(spark, sql)[0].first().n == n, sql
+    assert [r.id for r in adhoc.query_sql(spark, "SELECT id, id AS id2, id AS `a.b` FROM t ORDER BY id DESC", 3)[0].collect()] == [499, 498, 497]
     with pytest.raises(ValueError):
         adhoc.query_sql(spark, "SELECT 1", 1001)
 
