@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, jaccard, linededup, packing, pii, secrets, tokens, toxicity, vectors
+from . import chat, jaccard, linededup, packing, pii, repair, resample, secrets, tokens, toxicity, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         jaccard.op8_ngram_jaccard_join,
         vectors.op9_embedding_near_duplicates,
         packing.op10_best_fit_packing,
+        resample.op11_importance_resampling,
+        warc.op12_warc_round_trip,
+        repair.op13_conversation_repair,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.OP2_SQL}
+    return {"op2_line_dedup": linededup.OP2_SQL, "op11_importance_resampling": resample.OP11_SQL, "op12_warc_round_trip": warc.OP12_SQL, "op13_conversation_repair": repair.OP13_SQL}
