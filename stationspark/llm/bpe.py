@@ -6,7 +6,8 @@ word is merged wherever it stands in that word, and the array is compacted. The
 chain of merges in one word, not the number of words.
 
 Texts are cut into words over arrays of characters, too: each character has a class, and the pre-tokenizer's pattern cuts
-where classes change. A worker keeps the ids of the words that it has seen, by their hashes, in a bounded table of arrays.
+where classes change. A worker keeps the words that it has seen and their ids in a bounded table of arrays. Words are found by
+hashes and compared; one whose hash is another word's is merged by itself.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import regex
 
 from .common import give_back
-from .hashing import gathered, span_hashes
+from .hashing import equal_spans, gathered, span_hashes
 
 #: Words that a worker's table keeps at most; of more, those used last stay. It costs time and changes no result.
 MOST_WORDS = 1 << 19
@@ -167,29 +168,36 @@ class Codec:
     # -- the table of words ------------------------------------------------------------------------------------------
 
     def forget(self) -> None:
-        self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.start, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.hashes, self.ids, self.text = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.start, self.size, self.used, self.text_start, self.text_size = (np.zeros(0, np.int64) for _ in range(5))
         self.tick = 0
 
-    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Put unseen words (ascending hashes) into the table."""
-        if len(self.hashes) and len(self.hashes) + len(hashes) > MOST_WORDS:  # the half that was used last stays, this chunk's words with it
-            keep = np.flatnonzero(self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2])
-            self.ids = self.ids[gathered(self.start[keep], self.size[keep])]
-            self.hashes, self.size, self.used = self.hashes[keep], self.size[keep], self.used[keep]
-            self.start = np.cumsum(self.size) - self.size
+    def _merge_all(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, how many) of words of ``data``, merged in batches of like length."""
         order = np.argsort(size, kind="stable")  # words of like length finish in like rounds
-        found, counts = [self.ids], np.zeros(len(size), np.int64)
+        found, counts = [np.zeros(0, np.int32)], np.zeros(len(size), np.int64)
         for k in range(0, len(order), WORD_BATCH):
             part = order[k : k + WORD_BATCH]
             ids, counts[part] = self.merge(data[gathered(start[part], size[part])], size[part])
             found.append(ids)
         starts = np.zeros(len(size), np.int64)
-        starts[order] = len(self.ids) + np.cumsum(counts[order]) - counts[order]
-        self.ids = np.concatenate(found)
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.start = np.insert(self.hashes, at, hashes), np.insert(self.start, at, starts)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(found), starts, counts
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Put unseen words (ascending hashes) into the table."""
+        if len(self.hashes) and len(self.hashes) + len(hashes) > MOST_WORDS:  # the half that was used last stays, this chunk's words with it
+            keep = np.flatnonzero(self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2])
+            self.ids = self.ids[gathered(self.start[keep], self.size[keep])]
+            self.text = self.text[gathered(self.text_start[keep], self.text_size[keep])]
+            self.hashes, self.size, self.used, self.text_size = self.hashes[keep], self.size[keep], self.used[keep], self.text_size[keep]
+            self.start, self.text_start = (np.cumsum(x) - x for x in (self.size, self.text_size))
+        ids, starts, counts = self._merge_all(data, start, size)
+        at, place = np.searchsorted(self.hashes, hashes), len(self.text) + np.cumsum(size) - size
+        self.hashes, self.start = np.insert(self.hashes, at, hashes), np.insert(self.start, at, len(self.ids) + starts)
         self.size, self.used = np.insert(self.size, at, counts), np.insert(self.used, at, self.tick)
+        self.text_start, self.text_size = np.insert(self.text_start, at, place), np.insert(self.text_size, at, size)
+        self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, data[gathered(start, size)]])
 
     # -- texts -------------------------------------------------------------------------------------------------------
 
@@ -209,20 +217,36 @@ class Codec:
             width = 1 + (points >= 0x80).view(np.int8) + (points >= 0x800).view(np.int8) + (points >= 0x10000).view(np.int8)
             start = (np.cumsum(width, dtype=np.int64) - width)[begin]
         end = np.append(start[1:], len(data))
-        start, end = start[words], end[words]
+        start, size = start[words], (end - start)[words]
         self.tick += 1
-        unique, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        unique, first, which = np.unique(span_hashes(data, start, start + size), return_index=True, return_inverse=True)
+        model = first[which]
+        same = size == size[model]
+        same[same] = equal_spans(data, start[same], data, start[model[same]], size[same])
         at = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
         new = self.hashes[at] != unique if len(self.hashes) else np.ones(len(unique), bool)
-        self.used[at[~new]] = self.tick
+        known = np.flatnonzero(~new)
+        if len(known):  # what the table has under this hash may be another word
+            self.used[at[known]] = self.tick
+            mine = self.text_size[at[known]] == size[first[known]]
+            some = known[mine]
+            mine[mine] = equal_spans(data, start[first[some]], self.text, self.text_start[at[some]], size[first[some]])
+            other = np.zeros(len(unique), bool)
+            other[known[~mine]] = True
+            same &= ~other[which]
         if new.any():
-            self._learn(unique[new], data, start[first[new]], (end - start)[first[new]])
+            self._learn(unique[new], data, start[first[new]], size[first[new]])
             at = np.searchsorted(self.hashes, unique)
         at = at[which]
-        counts = np.zeros(len(begin), np.int64)
-        counts[words] = self.size[at]
-        ids = self.ids[gathered(self.start[at], self.size[at])]
-        return np.split(ids, np.cumsum(counts)[~words][:-1])
+        begins, counts, ids = self.start[at], self.size[at], self.ids
+        odd = np.flatnonzero(~same)
+        if len(odd):
+            more, starts, counts[odd] = self._merge_all(data, start[odd], size[odd])
+            begins[odd] = len(ids) + starts
+            ids = np.concatenate([ids, more])
+        all_counts = np.zeros(len(begin), np.int64)
+        all_counts[words] = counts
+        return np.split(ids[gathered(begins, counts)], np.cumsum(all_counts)[~words][:-1])
 
     def _units(self, text: str) -> list[str | int]:
         """A text as what is encoded by itself, in order: special tokens, what stands between them, and parts of long texts."""

@@ -29,6 +29,7 @@ from pyspark.taskcontext import TaskContext
 from .bloom import bloom_filter, may_contain
 from .common import discard, give_back, materialize, table
 from .graph import connected_components
+from .hashing import mixed
 from .shingles import COUNTERS, count_pass, set_key, shingle_sets, total_counts
 
 THRESHOLD = Fraction(3, 4)
@@ -103,7 +104,8 @@ def prefix_postings(docs: DataFrame, counts: np.ndarray, copies: dict[tuple[int,
         starts, ends = _runs(bucket)
         raw = np.ascontiguousarray((value & u8((1 << rest + DOCS_BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
         out = pd.DataFrame({"bucket": bucket[starts], "values": [raw[6 * a : 6 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], "marks": None, "docs": None, "sizes": None})
-        own = {"bucket": [batch % (1 << bits)], "values": [head[0]], "marks": [head[1]], "docs": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()]}
+        # A head is dealt by a hash of its batch: numbers of batches have the task in their high bits, which no bucket would see.
+        own = {"bucket": [int(mixed(np.array([batch], np.uint64))[0] >> u8(64 - bits))], "values": [head[0]], "marks": [head[1]], "docs": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()]}
         return pd.concat([out, pd.DataFrame(own)], ignore_index=True).assign(batch=batch)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,17 +249,17 @@ def _mixed(found: DataFrame, parts: DataFrame) -> DataFrame:
     return materialize(mine.join(lists.select("token", F.col("top.component").alias("largest")), "token"), "mixed-postings")
 
 
-def _turn_pairs(mixed: DataFrame, turn: int, t: Fraction) -> DataFrame:
+def _turn_pairs(lists: DataFrame, turn: int, t: Fraction) -> DataFrame:
     """A member of every component of a list with some of its largest one; which ones changes with the turn."""
     member = F.struct(F.xxhash64("doc", "token", F.lit(turn)).alias("hash"), "doc", "n", "pos")
-    mine = mixed.select("token", "component", "largest", member.alias("m"))
+    mine = lists.select("token", "component", "largest", member.alias("m"))
     few = mine.where("component <> largest").groupBy("token", "component").agg(F.min("m").alias("m"))
     tops = mine.where("component = largest").groupBy("token", F.pmod("m.hash", F.lit(SAMPLED)).alias("slot")).agg(F.min("m").alias("top"))
     pairs = few.join(tops, "token").where(_may_link(F.col("m.n"), F.col("m.pos"), F.col("top.n"), F.col("top.pos"), t))
     return _best(pairs.select("component", F.col("m.doc").alias("a"), F.col("top.doc").alias("b")), "component", TRIES, turn)
 
 
-def _rest(mixed: DataFrame, t: Fraction) -> DataFrame:
+def _rest(lists: DataFrame, t: Fraction) -> DataFrame:
     """Pairs of different components that may link.
 
     Sizes in bands of the threshold's ratio are part of the join's key, and the length and positional filters of its
@@ -266,12 +268,12 @@ def _rest(mixed: DataFrame, t: Fraction) -> DataFrame:
     """
     n, m = F.col("n"), F.col("n_")
     band = F.floor(F.log(n) / F.log(F.lit(float(1 / t)))).cast("int")
-    few = mixed.where("component <> largest").select("token", *[F.col(c).alias(f"{c}_") for c in ("doc", "n", "pos", "component")], band.alias("near"))
+    few = lists.where("component <> largest").select("token", *[F.col(c).alias(f"{c}_") for c in ("doc", "n", "pos", "component")], band.alias("near"))
     few = few.withColumn("band", F.explode(F.array(F.col("near") - 1, F.col("near"), F.col("near") + 1))).drop("near")
-    both = few.join(mixed.withColumn("band", band), ["token", "band"])
+    both = few.join(lists.withColumn("band", band), ["token", "band"])
     both = both.where("component <> component_ and (component = largest or doc > doc_)").where(_may_link(n, F.col("pos"), m, F.col("pos_"), t))
     pairs = both.select(F.greatest("doc", "doc_").alias("u"), F.least("doc", "doc_").alias("v")).distinct()
-    prefix = mixed.groupBy("doc").agg(F.collect_list("token").alias("tokens"), F.max("n").alias("n"))
+    prefix = lists.groupBy("doc").agg(F.collect_list("token").alias("tokens"), F.max("n").alias("n"))
     prefix = materialize(prefix, "prefixes")
     x, y = (prefix.select(F.col("doc").alias(k), F.col("tokens").alias(f"{k}_tokens"), F.col("n").alias(f"{k}_n")) for k in ("u", "v"))
     held = pairs.join(x, "u").join(y, "v")
@@ -301,16 +303,16 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD) -> Data
     copies = sets.join(classes, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     links = copies.union(verified(whole, _star_pairs(found, threshold), threshold))
     parts = materialize(connected_components(links), "components")
-    mixed = _mixed(found, parts)
+    open_lists = _mixed(found, parts)
     for turn in range(1, TURNS + 1):
-        new = verified(whole, _turn_pairs(mixed, turn, threshold), threshold)
+        new = verified(whole, _turn_pairs(open_lists, turn, threshold), threshold)
         if new.isEmpty():
             break
         parts = materialize(connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new)), "components")
-        mixed = _mixed(mixed, parts)  # a list of one component stays one
-    new = verified(whole, _rest(mixed, threshold), threshold)
+        open_lists = _mixed(open_lists, parts)  # a list of one component stays one
+    new = verified(whole, _rest(open_lists, threshold), threshold)
     parts = materialize(connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new)), "components")
-    discard(found, whole, mixed, classes)
+    discard(found, whole, open_lists, classes)
     out = ids.join(parts, ids["doc_id"] == parts["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -106,6 +106,14 @@ def places(combinations: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np
     return {n: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for n, r in rows.items()}
 
 
+def salted(pieces: DataFrame, salts: int) -> DataFrame:
+    """``pieces`` with a salt of all that tells them apart and of where they stand, so those without an id, and repeated ones, have many.
+
+    ``pieces`` must come in one order whenever they are read, as the rows of a table do.
+    """
+    return pieces.withColumn("__at", F.monotonically_increasing_id()).withColumn("__salt", F.pmod(F.xxhash64(*pieces.columns, "__at"), F.lit(salts))).drop("__at")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """``pieces`` (with length) plus sequence_id and offset: as few sequences of at most ``capacity`` as the plan finds.
 
@@ -114,8 +122,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int | None = None)
     """
     spark = pieces.sparkSession
     salts = salts or shuffle_partitions(spark)
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
+    rows = salted(pieces, salts)
+    sizes = rows.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     # Bounded: at most ``capacity`` rows come to the driver.
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
     if any(not 1 <= n <= capacity for n in histogram):
@@ -123,8 +131,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int | None = None)
     where = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(F.col("length").alias("__length"), F.col("__salt").alias("__s"), F.coalesce(before, F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece"))
-    ranked = salted.withColumn("__rank", within.cast("long") - 1)
+    within = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", *pieces.columns))
+    ranked = rows.withColumn("__rank", within.cast("long") - 1)
     ranked = ranked.join(starts, (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__s")))
 
     @F.pandas_udf("sequence_id long, offset long")

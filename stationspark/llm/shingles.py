@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, shuffle_partitions
-from .hashing import VALUES, mixed, span_hashes
+from .hashing import SHORT, mixed, short_hashes
 
 WORDS = 5
-#: Bytes of text that are hashed at a time, and bytes from which a word is hashed by itself.
-CHUNK, LONG = 1 << 18, 1 << 15
+#: Bytes of text that are hashed at a time.
+CHUNK = 1 << 18
 #: Counters of the frequency sketch (a power of two) and of one block of it: a fixed size whatever the corpus holds.
 COUNTERS, BLOCK = 1 << 18, 1 << 12
 
@@ -26,8 +26,6 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _WHITE = re.compile(rb"[\x09-\x0D\x20]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: A number for each byte, A-Z as a-z.
-_VALUES = VALUES[np.frombuffer(_LOWER, np.uint8)]
 
 
 def _long_word(word: bytes) -> np.uint64:
@@ -36,11 +34,12 @@ def _long_word(word: bytes) -> np.uint64:
 
 def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of at most CHUNK bytes begin, and their hashes."""
+    data = data.translate(_LOWER)
     b = np.frombuffer(data, np.uint8)
     edge = np.diff(np.concatenate([[True], _SPACE[b], [True]]).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    h = span_hashes(b, start, end, _VALUES)
-    for k in np.flatnonzero(end - start >= LONG):
+    h = short_hashes(b, start, end)
+    for k in np.flatnonzero(end - start > SHORT).tolist():
         h[k] = _long_word(data[start[k] : end[k]])
     return start, h
 

@@ -105,7 +105,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
 
     Components become floor(scale * x) in double precision. Vectors that are null or hold a null or non-finite component take
     no part, as a query or as a candidate; nor do rows without an id. A query's own id is no candidate. Shorter vectors count
-    as padded with zeros; repeated rows are candidates each. Other columns are ignored; an empty table gives no rows.
+    as padded with zeros; repeated rows are candidates each, but one query: of rows of one id that ask, the first by their
+    components is asked for. Other columns are ignored; an empty table gives no rows.
 
     Queries in blocks meet vectors in shards; every pair of them is a task of bounded size that returns k rows a query.
     """
@@ -113,7 +114,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     whole = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale))
     rows = vectors.where(_usable(embedding) & F.col(vec_id).isNotNull())
     rows = rows.select(F.col(vec_id).cast("long").alias("id"), whole.alias("x"), is_query.alias("is_query"))
-    n, m = rows.agg(F.count("*"), F.count_if("is_query")).first()
+    queries = rows.where("is_query").groupBy("id").agg(F.min("x").alias("x"))
+    n, m = rows.count(), queries.count()
     shards, blocks = -(-n // SHARD) or 1, -(-m // BLOCK) or 1
 
     def spread(df: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
@@ -129,7 +131,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
         give_back()
         return pd.DataFrame({"query_id": query_ids[q], "vec_id": i, "score": s})
 
-    left, right = spread(rows, "shard", shards, "block", blocks), spread(rows.where("is_query"), "block", blocks, "shard", shards)
+    left, right = spread(rows, "shard", shards, "block", blocks), spread(queries, "block", blocks, "shard", shards)
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

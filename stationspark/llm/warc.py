@@ -199,7 +199,8 @@ def with_types(payloads: DataFrame) -> DataFrame:
     """
     order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "row")
     best = payloads.groupBy("same").agg(F.max(order).alias("best"), F.count("*").alias("copies")).where("copies > 1")
-    best = best.select("same", F.col("best.page_id").alias("refers_to"), F.col("best.row").alias("response"))
+    # Written first, so that the engine knows its size: where few payloads repeat it is broadcast, and no payload is shuffled.
+    best = materialize(best.select("same", F.col("best.page_id").alias("refers_to"), F.col("best.row").alias("response")), "repeated-payloads")
     revisit = F.col("response").isNotNull() & (F.col("row") != F.col("response"))
     return payloads.join(best, "same", "left").select("page_id", "url", "payload", F.coalesce(revisit, F.lit(False)).alias("revisit"), F.when(revisit, F.col("refers_to")).alias("refers_to"))
 

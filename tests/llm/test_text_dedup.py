@@ -68,6 +68,25 @@ def test_jaccard_is_brute_force(spark, copies, monkeypatch, hot):
     assert got == brute_components(copies)
 
 
+def test_long_words_that_a_polynomial_takes_for_one(spark):
+    x, y = "a", "b"
+    for _ in range(12):
+        x, y = x + y, y + x
+    rows = list(enumerate([x, y, f"{x} one two three four", f"{y} one two three four", f"{y} ONE two three four", "abcdefgh", "abcdefgi", "abcdefghijklmnop", "abcdefghijklmnoq", "abcdefghijklmnopq"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_components(docs).collect())) == brute_components(rows)
+
+
+def test_heads_of_batches_are_spread_over_buckets(spark, monkeypatch):
+    # As many first batches as tasks: by the batch's number all heads would be in the first bucket.
+    monkeypatch.setattr(jaccard, "PER_BUCKET", 64)
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(400)], "doc_id long, text string").repartition(40)
+    docs = jaccard.materialize(docs, "docs")
+    buckets = {int(jaccard.mixed(jaccard.np.array([t << 32], jaccard.np.uint64))[0] >> jaccard.np.uint64(54)) for t in range(400)}
+    seen = jaccard.prefix_postings(docs, jaccard.total_counts(jaccard.count_pass(docs)), {}, jaccard.THRESHOLD).count()
+    assert seen == 0 and len(buckets) > 300
+
+
 def test_jaccard_odd_tables(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (9, None)]

@@ -40,6 +40,37 @@ def test_table_that_loses_words_changes_nothing(monkeypatch):
     assert [ids.tolist() for ids in own.encode(texts)] == [ids_of(t) for t in texts]
 
 
+def thue_morse(k, a="a", b="b"):
+    """A word and its complement: polynomials modulo a power of two cannot tell them apart, whatever the base."""
+    x, y = a, b
+    for _ in range(k):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    for k in range(10, 15):
+        x, y = thue_morse(k)
+        for texts in ([x, y], [f"{x} {y}", y, f"{y} {x} {x}"], [x + "q", "q " + y, y]):
+            assert [ids.tolist() for ids in bpe.Codec(PATH).encode(texts)] == [ids_of(t) for t in texts]
+        own = bpe.Codec(PATH)  # the table has the first word when the second comes
+        for t in (x, y, x, y):
+            assert next(iter(own.encode([t]))).tolist() == ids_of(t)
+    # All hashes alike: every word is compared.
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    own, texts = bpe.Codec(PATH), random_texts(60) + ["one two three", "one two  three", "a" * 40 + " " + "a" * 39 + "b"]
+    for k in range(0, len(texts), 7):
+        assert [ids.tolist() for ids in own.encode(texts[k : k + 7])] == [ids_of(t) for t in texts[k : k + 7]]
+
+
+def test_pieces_without_an_id_are_many_salts(spark):
+    rows = [(None, 0, 0, 7, k // 1000 * k) for k in range(2000)]  # half of them are equal in all columns
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert packing.pack(pieces, salts=16).select("sequence_id", "offset").distinct().count() == 2000
+    salts = packing.salted(pieces, 16).groupBy("__salt").count().collect()
+    assert len(salts) == 16 and max(r["count"] for r in salts) < 250
+
+
 def test_long_texts_are_cut_where_words_begin():
     texts = ["x" * 300_000, "ab " * 200_000, ("word " * 60_000 + "\n\n  ") * 2, "'" * 1000, " " * 5000 + "a", "a" + " " * 5000, "don't 's" * 50_000]
     assert [ids.tolist() for ids in bpe.codec(PATH).encode(texts)] == [ids_of(t) for t in texts]

@@ -35,6 +35,19 @@ def test_top_k_is_brute_force(table, monkeypatch, shard, block):
     assert {tuple(r) for r in vectors.top_k(table, F.col("vec_id") % 20 == 0, 7).collect()} == expected
 
 
+def test_repeated_queries_have_one_whole_result(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), [float(v) for v in rng.integers(-3, 3, 4)]) for k in range(60)]
+    rows += [(20, rows[20][1]), (20, rows[20][1]), (40, [9.0, 9.0, 9.0, 9.0]), (31, rows[31][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vectors.top_k(df, F.col("vec_id") % 20 == 0, 20, scale=1).collect()]
+    for q in (0, 20, 40):
+        x = min(v for k, v in rows if k == q)
+        best = sorted((-int(np.dot(x, v)), k) for k, v in rows if k != q)[:20]
+        assert sorted(r[1:] for r in got if r[0] == q) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert len(got) == 60
+
+
 def test_max_score_prunes_and_keeps_ties():
     rng = np.random.default_rng(2)
     docs, queries = rng.integers(-40, 40, (9000, 40)), rng.integers(-40, 40, (30, 40))
