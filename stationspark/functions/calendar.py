@@ -56,6 +56,29 @@ def resolve_days(devices: DataFrame, days: int, end: str | None, as_of_epoch: in
     return devices.withColumn("start_epoch", day_start(first, tz)).withColumn("end_epoch", day_end(last, tz))
 
 
+#: Bounds that are sent to all tasks at most (32 bytes each); more are joined by shuffling both sides.
+MOST_BOUNDS = 1 << 18
+
+
+def within_ranges(obs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Rows of ``obs`` in their own device's range; ``bounds`` has device_id, start_epoch and end_epoch, as the functions above give.
+
+    A range join by months: a bound stands once for each UTC month that it touches, and meets the rows of its device and month.
+    Where ``obs`` has obs_month, as an archive does, months that no bound touches are not read (they are pruned when the bounds
+    are known). Bounds are counted before they are broadcast. Several ranges of a device must not overlap, else rows repeat.
+    """
+    month = lambda e: F.year(F.timestamp_seconds(e)) * 100 + F.month(F.timestamp_seconds(e))
+    first = lambda e: F.trunc(F.to_date(F.timestamp_seconds(e)), "month")
+    months = F.explode(F.sequence(first(F.col("start_epoch")), first(F.col("end_epoch")), F.expr("interval 1 month")))
+    ranges = bounds.where("end_epoch >= start_epoch").select("device_id", "start_epoch", "end_epoch", months.alias("__month"))
+    ranges = ranges.select("device_id", "start_epoch", "end_epoch", (F.year("__month") * 100 + F.month("__month")).alias("obs_month"))
+    if ranges.limit(MOST_BOUNDS + 1).count() <= MOST_BOUNDS:
+        ranges = F.broadcast(ranges)
+    rows = obs if "obs_month" in obs.columns else obs.withColumn("obs_month", month(F.col("epoch")))
+    met = rows.join(ranges, ["device_id", "obs_month"]).where(F.col("epoch").between(F.col("start_epoch"), F.col("end_epoch")))
+    return met.select(*[c for c in obs.columns])
+
+
 def within(obs: DataFrame, start_epoch: int | None, end_epoch: int | None) -> DataFrame:
     """Rows of an inclusive range, checked as the engine's ranges are: not negative, ordered, at most a century."""
     if start_epoch is None and end_epoch is None:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, mul
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +10,6 @@ MPH_PER_MPS = 2.2369362920544
 INHG_PER_MB = 0.02952998057228486
 MM_PER_INCH = 25.4
 KM_PER_MILE = 1.609344
-# The heat index regression as (power of temperature, power of humidity, coefficient).
-HEAT_INDEX = [
-    (0, 0, -42.379), (1, 0, 2.04901523), (0, 1, 10.14333127), (1, 1, -0.22475541), (2, 0, -0.00683783), (0, 2, -0.05481717),
-    (2, 1, 0.00122874), (1, 2, 0.00085282), (2, 2, -0.00000199),
-]
 COMPASS = ["N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW"]
 
 
@@ -63,7 +55,11 @@ def dew_point_c(temp_c: Column, humidity: Column) -> Column:
 def heat_index_f(t: Column, rh: Column) -> Column:
     """Rothfusz regression with its dry and humid corrections, where the simple form reaches 80 degrees."""
     simple = 0.5 * (t + 61 + (t - 68) * 1.2 + rh * 0.094)
-    full = reduce(add, [reduce(mul, [t] * i + [rh] * j, F.lit(k)) for i, j, k in HEAT_INDEX])
+    # The published regression.
+    full = (
+        -42.379 + 2.04901523 * t + 10.14333127 * rh - 0.22475541 * t * rh - 0.00683783 * t * t - 0.05481717 * rh * rh
+        + 0.00122874 * t * t * rh + 0.00085282 * t * rh * rh - 0.00000199 * t * t * rh * rh
+    )
     dry = (13 - rh) / 4 * F.sqrt((17 - F.abs(t - 95)) / 17)
     humid = (rh - 85) / 10 * ((87 - t) / 5)
     corrected = F.when((rh < 13) & t.between(80, 112), full - dry).when((rh > 85) & t.between(80, 87), full + humid).otherwise(full)

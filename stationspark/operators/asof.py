@@ -24,11 +24,29 @@ def watermark(obs: DataFrame) -> DataFrame:
     return obs.groupBy("device_id").agg(F.max("epoch").alias("watermark"))
 
 
-def latest(obs: DataFrame) -> DataFrame:
-    """The newest row of each device."""
-    rest = [c for c in obs.columns if c not in ("device_id", "epoch")]
-    found = obs.groupBy("device_id").agg(F.max("epoch").alias("epoch"), F.max_by(F.struct(*rest), "epoch").alias("row"))
-    return found.select("device_id", "epoch", *[F.col(f"row.`{c}`").alias(c) for c in rest])
+def latest(obs: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """The newest row of each device, by two hash aggregates: its time first, then what the row of that time holds.
+
+    With ``zones`` (an archive's zone map; ``obs`` then has obs_month) only each device's last month is looked at. Rows of one
+    device and time, which an archive does not have, count as one, by the greatest value of each column.
+    """
+    rest = [c for c in obs.columns if c not in ("device_id", "epoch", "obs_month")]
+    rows = obs if zones is None else recent(obs, zones, 1)
+    newest = rows.groupBy("device_id").agg(F.max("epoch").alias("epoch"))
+    doubles = [f.name for f in obs.schema if f.name in rest and f.dataType.typeName() in ("double", "long", "integer")]
+    found = rows.join(newest, ["device_id", "epoch"], "left_semi")
+    values = found.groupBy("device_id", "epoch").agg(*[F.max(c).alias(c) for c in doubles])
+    texts = [c for c in rest if c not in doubles]
+    if texts:  # not of a fixed width, so they are aggregated by themselves, over one row a device
+        values = values.join(found.groupBy("device_id", "epoch").agg(*[F.max(c).alias(c) for c in texts]), ["device_id", "epoch"])
+    return values.select("device_id", "epoch", *rest)
+
+
+def recent(obs: DataFrame, zones: DataFrame, months: int) -> DataFrame:
+    """Rows of each device's last ``months`` stored months; the scan reads no other month's files."""
+    place = F.row_number().over(Window.partitionBy("device_id").orderBy(F.desc("obs_month")))
+    kept = zones.groupBy("device_id", "obs_month").agg(F.max("last_epoch").alias("last_epoch")).withColumn("__place", place).where(F.col("__place") <= months)
+    return obs.join(kept.select("device_id", "obs_month"), ["device_id", "obs_month"], "left_semi")
 
 
 def all_gaps(obs: DataFrame, min_seconds: int = GAP_S) -> DataFrame:
@@ -59,44 +77,68 @@ def tendency_words(mb_per_3h: Column) -> Column:
     return found.otherwise("steady")
 
 
-def pressure_tendency(obs: DataFrame, window_s: int = TENDENCY_S) -> DataFrame:
+def pressure_tendency(obs: DataFrame, window_s: int = TENDENCY_S, zones: DataFrame | None = None) -> DataFrame:
     """Change from the reading nearest to ``window_s`` before a device's newest pressure; no row where no reading qualifies.
 
-    Readings count from half the window on (rounded up); of two equally near the older one. Both neighbours of the wanted
-    time come from one conditional aggregate, without a window or a sort.
+    Readings count from half the window on (rounded up); of two equally near the older one. It is an as-of join by buckets of
+    the window: a device's wanted time meets the readings of its own bucket and of those beside it, by hash join and hash
+    aggregates; the nearest reading lies there, unless none does. For devices without an answer the newest older one is
+    looked for among all their readings. With ``zones`` (an archive's zone map; ``obs`` then has obs_month) the first step reads
+    each device's last two months; devices without a pressure there go the second way.
     """
     window_s = window_s if window_s > 0 else TENDENCY_S
     if window_s > LONGEST_TENDENCY_S:
         raise ValueError("the window exceeds 24 hours")
-    rows = obs.where(F.col("pressure_mb").isNotNull()).select("device_id", "epoch", "pressure_mb")
-    newest = rows.groupBy("device_id").agg(F.max(F.struct("epoch", "pressure_mb")).alias("now"))
     least_span = max(1, (window_s + 1) // 2)
-    e, target, now = F.col("epoch"), F.col("now.epoch") - window_s, F.col("now.epoch")
-    reading = F.struct("epoch", "pressure_mb")
-    # Only readings up to twice the window before the newest one or the last before can matter; all are in one hash aggregate.
-    found = rows.join(newest, "device_id").groupBy("device_id").agg(
-        F.first("now").alias("now"), F.max(F.when(e <= target, reading)).alias("before"), F.min(F.when((e > target) & (e <= now - least_span), reading)).alias("after")
-    )
-    after_nearer = F.col("after.epoch") - target < target - F.col("before.epoch")
-    past = F.when(F.col("before").isNull() | after_nearer, F.col("after")).otherwise(F.col("before"))
-    found = found.withColumn("past", past).where(F.col("past").isNotNull())
-    hours = (now - F.col("past.epoch")) / 3600
-    change = F.col("now.pressure_mb") - F.col("past.pressure_mb")
+    every = obs.where(F.col("pressure_mb").isNotNull())
+    near_rows = (every if zones is None else recent(every, zones, 2)).select("device_id", "epoch", "pressure_mb")
+    every = every.select("device_id", "epoch", "pressure_mb")
+    e = F.col("epoch")
+
+    def newest(rows: DataFrame) -> DataFrame:
+        now = rows.groupBy("device_id").agg(F.max("epoch").alias("now"), F.max_by("pressure_mb", "epoch").alias("now_mb"))
+        return now.withColumn("target", F.col("now") - window_s)
+
+    def nearest(met: DataFrame) -> DataFrame:
+        before, after = e <= F.col("target"), (e > F.col("target")) & (e <= F.col("now") - least_span)
+        times = [F.max(F.when(before, e)).alias("before"), F.min(F.when(after, e)).alias("after")]
+        values = [F.max_by("pressure_mb", F.when(before, e)).alias("before_mb"), F.min_by("pressure_mb", F.when(after, e)).alias("after_mb")]
+        found = met.groupBy("device_id", "now", "now_mb", "target").agg(*times, *values)
+        nearer = F.col("before").isNull() | (F.col("after") - F.col("target") < F.col("target") - F.col("before"))
+        past = lambda b, a: F.when(nearer, F.col(a)).otherwise(F.col(b))
+        return found.select("device_id", "now", "now_mb", past("before", "after").alias("past"), past("before_mb", "after_mb").alias("past_mb")).where("past is not null")
+
+    now = newest(near_rows)
+    bucket = F.expr(f"epoch div {window_s}")
+    places = F.explode(F.array(*[F.expr(f"target div {window_s}") + k for k in (-1, 0, 1)]))
+    close = nearest(near_rows.withColumn("place", bucket).join(now.withColumn("place", places), ["device_id", "place"]))
+    left = every.join(close, "device_id", "left_anti")  # devices without an answer: a few rows or none
+    far = nearest(left.join(newest(left), "device_id"))
+    found = close.unionByName(far)
+    hours = (F.col("now") - F.col("past")) / 3600
+    change = F.col("now_mb") - F.col("past_mb")
     rate = change / hours * 3
     return found.select(
-        "device_id", now.alias("at_epoch"), mb_to_inhg(F.col("now.pressure_mb")).alias("current_inhg"), hours.alias("window_hours"),
+        "device_id", F.col("now").alias("at_epoch"), mb_to_inhg(F.col("now_mb")).alias("current_inhg"), hours.alias("window_hours"),
         mb_to_inhg(change).alias("change_inhg"), rate.alias("change_mb_per_3h"), tendency_words(rate).alias("category"),
     )
 
 
-def missing_windows(obs: DataFrame, start_epoch: int, end_epoch: int, min_seconds: int = GAP_S, max_window_s: int = 5 * 86_400) -> DataFrame:
-    """Contiguous windows of at most five days that cover what a device lacks of a range: gaps, and what lies before and after."""
+def missing_windows(obs: DataFrame, start_epoch: int, end_epoch: int, min_seconds: int = GAP_S, max_window_s: int = 5 * 86_400, devices: DataFrame | None = None) -> DataFrame:
+    """Contiguous windows of at most five days that cover what a device lacks of a range: gaps, and what lies before and after.
+
+    Known devices (``devices``, by default all of ``obs`` at any time) are the spine: what a device's rows cover is taken from its
+    whole range, so one without a row in it lacks all of it.
+    """
     rows = obs.where(F.col("epoch").between(start_epoch, end_epoch))
-    edge = coverage(rows)
+    spine = device_ids(obs if devices is None else devices).join(coverage(rows), "device_id", "left")
     low, high = F.lit(start_epoch).cast("long"), F.lit(end_epoch).cast("long")
-    lead = edge.where(F.col("first_epoch") - start_epoch > min_seconds).select("device_id", low.alias("a"), (F.col("first_epoch") - 1).alias("b"))
-    trail = edge.where(end_epoch - F.col("last_epoch") > min_seconds).select("device_id", (F.col("last_epoch") + 1).alias("a"), high.alias("b"))
+    first, last = F.col("first_epoch"), F.col("last_epoch")
+    hole = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    outer = F.when(first.isNull(), F.array(hole(low, high))).otherwise(
+        F.array_compact(F.array(F.when(first - low > min_seconds, hole(low, first - 1)), F.when(high - last > min_seconds, hole(last + 1, high))))
+    )
     inner = all_gaps(rows, min_seconds).select("device_id", (F.col("start_epoch") + 1).alias("a"), (F.col("end_epoch") - 1).alias("b"))
-    holes = lead.unionByName(inner).unionByName(trail)
+    holes = spine.select("device_id", F.inline(outer)).unionByName(inner)
     cut = holes.withColumn("start_epoch", F.explode(F.sequence("a", "b", F.lit(max_window_s).cast("long"))))
     return cut.select("device_id", "start_epoch", F.least(F.col("start_epoch") + max_window_s - 1, "b").alias("end_epoch"))

@@ -23,15 +23,16 @@ def devices_of_station(obs_devices: DataFrame, device_dim: DataFrame, station_id
     return obs_devices.join(device_dim.where(F.col("station_id") == station_id), "device_id", "left_semi")
 
 
-def conditions_archive(obs: DataFrame, daily: DataFrame, as_of_epoch: int, devices: DataFrame | None = None) -> DataFrame:
+def conditions_archive(obs: DataFrame, daily: DataFrame, as_of_epoch: int, devices: DataFrame | None = None, zones: DataFrame | None = None) -> DataFrame:
     """Each device's newest row in US units with what is derived from it, its age, rain so far today and pressure trend.
 
     Rain counts only if the last day is today; the trend only if its reading is at or under an hour before the newest row.
+    With ``zones`` (an archive's zone map) only each device's last months are read.
     """
-    now = with_zone(latest(obs), devices)
+    now = with_zone(latest(obs, zones), devices)
     t, rh, w = F.col("air_temp_c"), F.col("humidity"), F.col("wind_avg")
     rain = daily.groupBy("device_id").agg(F.max(F.struct("day", "rain_in")).alias("last_day"))
-    trend = pressure_tendency(obs).select("device_id", F.col("at_epoch").alias("trend_epoch"), "change_mb_per_3h", "category")
+    trend = pressure_tendency(obs, zones=zones).select("device_id", F.col("at_epoch").alias("trend_epoch"), "change_mb_per_3h", "category")
     rows = now.join(rain, "device_id", "left").join(trend, "device_id", "left")
     today = F.col("last_day.day") == local_day(F.lit(as_of_epoch), F.col("tz"))
     fits = (F.col("trend_epoch") <= F.col("epoch")) & (F.col("epoch") - F.col("trend_epoch") < FRESH_S)
@@ -82,7 +83,7 @@ def stats_report(obs: DataFrame, start_epoch: int | None = None, end_epoch: int
         part_quarter = written(quarter_rollup(within(obs, start_epoch, end_epoch)), "part-quarter")
         part = written(day_rollup(part_quarter, devices), "part-day")
     parts = {
-        "records": records(obs, day), "trend": temperature_trend(period_summary(day)), "rain": rain_stats(part), "wind": wind_stats(part),
+        "records": records(obs, day, quarter), "trend": temperature_trend(period_summary(day)), "rain": rain_stats(part), "wind": wind_stats(part),
         "lightning": lightning_stats(part), "solar": solar_stats(part), "comfort": comfort_stats(part_quarter, devices),
         "spells": temperature_spells(part), "pressure": pressure_stats(part),
     }

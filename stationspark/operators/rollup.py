@@ -23,13 +23,13 @@ def _both(value: Column, other: Column) -> Column:
     return F.when(other.isNotNull(), value)
 
 
-def quarter_rollup(obs: DataFrame) -> DataFrame:
-    """device_id, bucket (epoch div 900) and all partials, by one hash aggregate with map-side combine."""
+def quarter_aggregates() -> list[Column]:
+    """The partials of a quarter hour, for batches and streams alike."""
     c = F.col
     paired_h = c("air_temp_c").isNotNull() & c("humidity").isNotNull()
     paired_w = c("air_temp_c").isNotNull() & c("wind_avg").isNotNull()
     usable = (c("report_interval_min") > 0) & (c("report_interval_min") <= 1440)
-    return obs.groupBy("device_id", F.expr("epoch div 900").alias("bucket")).agg(
+    return [
         F.min("air_temp_c").alias("temp_min"), F.max("air_temp_c").alias("temp_max"),
         F.sum("air_temp_c").alias("temp_sum"), F.count("air_temp_c").alias("temp_n"),
         F.sum("humidity").alias("hum_sum"), F.count("humidity").alias("hum_n"),
@@ -47,7 +47,17 @@ def quarter_rollup(obs: DataFrame) -> DataFrame:
         F.sum(F.when(paired_w, c("air_temp_c"))).alias("cold_t"), F.sum(F.when(paired_w, c("wind_avg"))).alias("cold_w"),
         F.count_if(paired_w).alias("cold_n"),
         F.count("*").alias("obs"),
-    )
+    ]
+
+
+def quarter_rollup(obs: DataFrame) -> DataFrame:
+    """device_id, bucket (epoch div 900) and all partials, by one hash aggregate with map-side combine."""
+    return obs.groupBy("device_id", F.expr(f"epoch div {QUARTER_S}").alias("bucket")).agg(*quarter_aggregates())
+
+
+def merged_quarters(partials: DataFrame) -> DataFrame:
+    """One row per device and quarter hour from partials of any number of its parts, such as late rows that came by themselves."""
+    return partials.groupBy("device_id", "bucket").agg(*merge_partials()).select(*partials.columns)
 
 
 def merge_partials() -> list[Column]:

@@ -22,7 +22,7 @@ from stationspark.functions.units import (
 )
 
 from .calendar import RAINY_MM, arg_least, arg_most, day_number
-from .rollup import CALM_MPS, QUARTER_S, with_zone
+from .rollup import CALM_MPS, QUARTER_S, quarter_rollup, with_zone
 from .spells import spells, with_spell
 
 STALE_S = 3600
@@ -37,18 +37,36 @@ def _top_day(found: str) -> Column:
     return _date(-F.col(f"{found}.k"))
 
 
-def records(obs: DataFrame, day: DataFrame) -> DataFrame:
-    """All-time extremes with their times in one pass, total strikes, wettest day; the earliest time wins ties."""
-    e = F.col("epoch")
-    metrics = {"hottest": ("air_temp_c", arg_most), "coldest": ("air_temp_c", arg_least), "peak_gust": ("wind_gust", arg_most), "lowest_pressure": ("pressure_mb", arg_least), "peak_solar": ("solar_wm2", arg_most), "peak_uv": ("uv", arg_most)}
-    found = obs.groupBy("device_id").agg(*[how(F.col(c), e).alias(n) for n, (c, how) in metrics.items()], F.sum("strike_count").alias("strikes"), F.count("strike_count").alias("strike_n"))
-    when = lambda n: F.abs(F.col(f"{n}.k"))
-    value = {"hottest": c_to_f, "coldest": c_to_f, "peak_gust": mps_to_mph, "lowest_pressure": mb_to_inhg}
-    unit = {"hottest": "f", "coldest": "f", "peak_gust": "mph", "lowest_pressure": "inhg", "peak_solar": "wm2", "peak_uv": "index"}
-    columns = [c for n in metrics for c in (value.get(n, lambda x: x)(F.col(f"{n}.v")).alias(f"{n}_{unit[n]}"), when(n).alias(f"{n}_epoch"))]
+#: All-time extremes: name, sensor, the quarter's column, how they are found, conversion, unit.
+_RECORDS = [
+    ("hottest", "air_temp_c", "temp_max", F.max, c_to_f, "f"), ("coldest", "air_temp_c", "temp_min", F.min, c_to_f, "f"),
+    ("peak_gust", "wind_gust", "gust_max", F.max, mps_to_mph, "mph"), ("lowest_pressure", "pressure_mb", "pressure_min", F.min, mb_to_inhg, "inhg"),
+    ("peak_solar", "solar_wm2", "solar_max", F.max, None, "wm2"), ("peak_uv", "uv", "uv_max", F.max, None, "index"),
+]
+
+
+def records(obs: DataFrame, day: DataFrame, quarter: DataFrame | None = None) -> DataFrame:
+    """All-time extremes with their times, total strikes, wettest day; the earliest time wins ties.
+
+    The extremes are those of the quarter hours. Of the quarters that hold one the earliest is taken, at most six a device,
+    and only their rows are looked at again for the time. All aggregates are of numbers, by hash.
+    """
+    quarter = quarter_rollup(obs) if quarter is None else quarter
+    totals = [F.sum("strikes").alias("strikes"), F.sum("strike_n").alias("strike_n")]
+    tops = quarter.groupBy("device_id").agg(*[how(q).alias(n) for n, _, q, how, _, _ in _RECORDS], *totals)
+    values = tops.select("device_id", *[n for n, *_ in _RECORDS])
+    holding = [F.min(F.when(F.col(q) == F.col(n), F.col("bucket"))).alias(f"{n}_at") for n, _, q, *_ in _RECORDS]
+    firsts = quarter.select("device_id", "bucket", *{q: 0 for _, _, q, *_ in _RECORDS}).join(values, "device_id").groupBy("device_id", *values.columns[1:]).agg(*holding)
+    places = F.array_distinct(F.array_compact(F.array(*[F.col(f"{n}_at") for n, *_ in _RECORDS])))
+    wanted = firsts.withColumn("bucket", F.explode(places))
+    rows = obs.select("device_id", "epoch", F.expr(f"epoch div {QUARTER_S}").alias("bucket"), *{c: 0 for _, c, *_ in _RECORDS})
+    rows = rows.join(wanted, ["device_id", "bucket"])
+    times = rows.groupBy("device_id").agg(*[F.min(F.when((F.col("bucket") == F.col(f"{n}_at")) & (F.col(c) == F.col(n)), F.col("epoch"))).alias(f"{n}_epoch") for n, c, *_ in _RECORDS])
+    columns = [x for n, *_, convert, unit in _RECORDS for x in ((convert or (lambda v: v))(F.col(n)).alias(f"{n}_{unit}"), F.col(f"{n}_epoch"))]
     wet = day.groupBy("device_id").agg(_wettest().alias("wet"))
     wet = wet.select("device_id", mm_to_inch(F.col("wet.v")).alias("wettest_day_in"), _top_day("wet").alias("wettest_day"))
-    return found.select("device_id", *columns, known_total(F.col("strike_n"), F.col("strikes")).alias("total_strikes")).join(wet, "device_id", "left")
+    found = tops.join(times, "device_id", "left").select("device_id", *columns, known_total(F.col("strike_n"), F.col("strikes")).alias("total_strikes"))
+    return found.join(wet, "device_id", "left")
 
 
 def _wettest() -> Column:

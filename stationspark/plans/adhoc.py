@@ -20,6 +20,11 @@ _READS = {
 }
 #: Functions that call any static method, by name and as they stand in an analysed plan.
 _REFLECTS, _REFLECTION = {"java_method", "reflect", "try_reflect"}, {"CallMethodViaReflection", "TryReflect"}
+#: Leaves of an analysed plan that hold literal rows.
+_LITERALS = {"OneRowRelation", "LocalRelation", "ResolvedInlineTable", "Range", "CTERelationRef"}
+
+
+_SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery")
 
 
 def _kind(node) -> str:
@@ -41,10 +46,34 @@ def _nodes(node, of_plan: bool = True) -> Iterator[tuple]:
         if _kind(node) == "UnresolvedWith":
             for named in _each(node.innerChildren()):
                 yield from _nodes(named)
-    elif _kind(node) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        if _kind(node) == "WithWindowDefinition":  # its windows are no expressions of the node
+            for named in _each(node.windowDefinitions().values().toSeq()):
+                yield from _nodes(named, False)
+        elif _kind(node) == "WithCTE":
+            for named in _each(node.cteDefs()):
+                yield from _nodes(named)
+    elif _kind(node) in _SUBQUERIES:
         yield from _nodes(node.plan())
 
 
+def _leaves(node) -> Iterator:
+    """The leaves that a plan reads, those of registered views left out: what is below a view's name is the session's own."""
+    if _kind(node) == "View":
+        return
+    children = _each(node.children())
+    if not children:
+        yield node
+    for child in children:
+        yield from _leaves(child)
+    for expression in _each(node.expressions()):
+        for found, _ in _nodes(expression, False):
+            if _kind(found) in _SUBQUERIES:
+                yield from _leaves(found.plan())
+    if _kind(node) == "WithCTE":
+        for named in _each(node.cteDefs()):
+            yield from _leaves(named)
+
+
 def check_read_only(spark: SparkSession, sql: str) -> None:
     """Raise unless the text is one statement, within the size limit, whose plan only reads the session's temporary views.
 
@@ -83,8 +112,12 @@ def query_sql(spark: SparkSession, sql: str, max_rows: int = 100, seconds: float
         raise ValueError(f"max_rows must lie between 1 and {MOST_ROWS}")
     check_read_only(spark, sql)
     df = spark.sql(sql)
-    if any(_kind(n) in _REFLECTION for n, _ in _nodes(df._jdf.queryExecution().analyzed())):  # one in a named window, say
+    analysed = df._jdf.queryExecution().analyzed()
+    if any(_kind(n) in _REFLECTION for n, _ in _nodes(analysed)):
         raise ValueError("a statement may not call methods")
+    # What the walk over the parsed plan did not see would show here: every leaf is a view's or holds literal rows.
+    if any(_kind(leaf) not in _LITERALS for leaf in _leaves(analysed)):
+        raise ValueError("a statement may read the session's views alone")
     if len(df.columns) > MOST_COLUMNS:
         raise ValueError(f"over {MOST_COLUMNS} columns")
     df = df.limit(max_rows + 1)
@@ -121,14 +154,16 @@ def search_sorted(df: DataFrame, search: str = "", sort: str | None = None, desc
 
 RECIPES = {
     "rain_coverage_by_month": """
-        SELECT device_id, date_format(timestamp_seconds(epoch), 'yyyy-MM') AS month, sum(rain_mm) AS rain_mm,
-               count(rain_mm) AS rain_readings, count(*) AS observations
+        SELECT device_id, date_format(timestamp_seconds(epoch), 'yyyy-MM') AS month, count(*) AS stored_rows,
+               count(rain_mm) AS rain_readings, sum(rain_mm) AS rain_mm, round(sum(rain_mm) / 25.4, 3) AS rain_in
         FROM obs GROUP BY 1, 2""",
     "top_gust_days": """
-        SELECT device_id, day, gust FROM (
-            SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY gust DESC, day) AS place FROM (
-                SELECT device_id, to_date(timestamp_seconds(epoch)) AS day, max(wind_gust) AS gust
-                FROM obs WHERE wind_gust IS NOT NULL GROUP BY 1, 2))
+        SELECT device_id, utc_day, peak_gust_mph, mean_wind_mph, gust_readings, wind_readings FROM (
+            SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY peak_gust_mph DESC, utc_day) AS place FROM (
+                SELECT device_id, to_date(timestamp_seconds(epoch)) AS utc_day,
+                       round(max(wind_gust) * 2.2369362921, 1) AS peak_gust_mph, round(avg(wind_avg) * 2.2369362921, 1) AS mean_wind_mph,
+                       count(wind_gust) AS gust_readings, count(wind_avg) AS wind_readings
+                FROM obs GROUP BY 1, 2 HAVING count(wind_gust) > 0))
         WHERE place <= 5""",
     "latest_temperatures": """
         SELECT device_id, epoch, air_temp_c FROM (

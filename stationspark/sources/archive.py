@@ -2,21 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stationspark.functions.calendar import local_timestamp, within
 from stationspark.functions.units import c_to_f, km_to_mile, mb_to_inhg, mm_to_inch, mps_to_mph
 from stationspark.operators.rollup import with_zone
-from stationspark.schema import PRESENTED, align_schema, month_of
+from stationspark.schema import LAST_EPOCH, OBS, PRESENTED, align_schema, month_of
+
+from .ingest import append_observations, reasons
+from .shared import written
 
 MOST_SOURCE_BYTES = 1024
 
 
+#: Rows of a Parquet page at most: about a day of minutes, so that a scan skips the other days of a device.
+PAGE_ROWS = 1440
+#: Where an archive's zone map lies in its folder; scans of the archive do not see it.
+ZONES = "_zones"
+#: Devices that a scan names to the reader at most.
+MOST_NAMED = 1000
+
+
+def _dealt(obs: DataFrame) -> DataFrame:
+    rows = align_schema(obs).withColumn("obs_month", month_of(F.col("epoch")))
+    return rows.repartition("obs_month", "device_id").sortWithinPartitions("device_id", "epoch")
+
+
 def write_obs(obs: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to the archive, partitioned by UTC month; rows of a month are dealt by device so files stay few and sorted."""
+    """Append to the archive, partitioned by UTC month; rows of a month are dealt by device so files stay few and sorted.
+
+    The zone map is written as well: a row for each device and month with its least and greatest epoch. It is written first,
+    so it never lacks what is stored; a write that fails behind it only leaves it too wide until it is done again.
+    """
     rows = align_schema(obs).withColumn("obs_month", month_of(F.col("epoch")))
-    rows.repartition("obs_month", "device_id").sortWithinPartitions("device_id", "epoch").write.mode(mode).partitionBy("obs_month").parquet(path)
+    zones = rows.groupBy("device_id", "obs_month").agg(F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"))
+    if mode == "overwrite":  # the folder goes with its zone map
+        _dealt(obs).write.mode(mode).option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("obs_month").parquet(path)
+        zones.write.mode(mode).parquet(f"{path}/{ZONES}")
+        return
+    zones.write.mode(mode).parquet(f"{path}/{ZONES}")
+    _dealt(obs).write.mode(mode).option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("obs_month").parquet(path)
+
+
+def zone_map(spark: SparkSession, path: str) -> DataFrame:
+    """device_id, obs_month, first_epoch, last_epoch of an archive: what all its writes have told, merged."""
+    told = spark.read.parquet(f"{path}/{ZONES}")
+    return told.groupBy("device_id", "obs_month").agg(F.min("first_epoch").alias("first_epoch"), F.max("last_epoch").alias("last_epoch"))
+
+
+def read_months(spark: SparkSession, path: str) -> DataFrame:
+    """The whole archive with obs_month, by which joins with a zone map or with ranges skip months."""
+    stored = spark.read.parquet(path)
+    there = set(stored.columns)
+    return stored.select(*[(F.col(f.name) if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in OBS], "obs_month")
 
 
 def read_obs(spark: SparkSession, path: str, start_epoch: int | None = None, end_epoch: int | None = None, devices: list[int] | None = None) -> DataFrame:
@@ -31,6 +75,87 @@ def read_obs(spark: SparkSession, path: str, start_epoch: int | None = None, end
     return align_schema(df)
 
 
+def read_spans(spark: SparkSession, path: str, spans: list[tuple[int, int]], devices: list[int] | None = None) -> DataFrame:
+    """Rows of the archive in any of some inclusive spans of epochs: their months are pruned, spans and devices pushed to the scan."""
+    any_of = lambda conditions: reduce(or_, conditions, F.lit(False))
+    months = any_of([F.col("obs_month").between(month_of(F.lit(a)), month_of(F.lit(b))) for a, b in spans])
+    rows = spark.read.parquet(path).where(months & any_of([F.col("epoch").between(a, b) for a, b in spans]))
+    if devices is not None:
+        rows = rows.where(F.col("device_id").isin(devices))
+    return align_schema(rows)
+
+
+def ingest_observations(raw: DataFrame, path: str, start_epoch: int | None = None, end_epoch: int | None = None) -> dict[str, int]:
+    """Check raw rows and store them as a batch's own table in one pass, all or none: a bad row, or one outside the window, fails it.
+
+    The checks stand in the write's own plan, so the input is read once, and what a failed write has begun is taken back by
+    the committer: nothing can be read of it. Doing it again replaces the table. Returns what the pass has observed: rows and
+    their least and greatest epoch (null if there are none). From there ``append_observations`` and ``write_obs`` go on.
+    """
+    problems = reasons(raw)
+    if start_epoch is not None or end_epoch is not None:
+        low, high = start_epoch or 0, LAST_EPOCH if end_epoch is None else end_epoch
+        problems = F.array_compact(F.array_append(problems, F.when(~F.col("epoch").between(low, high), "outside the window")))
+    said = F.concat(F.lit("observations of device "), F.coalesce(F.col("device_id").cast("string"), F.lit("null")), F.lit(" are not valid: "), F.array_join(problems, ", "))
+    checked = raw.withColumn("device_id", F.when(F.size(problems) > 0, F.raise_error(said).cast("long")).otherwise(F.col("device_id").cast("long")))
+    seen = Observation()
+    rows = align_schema(checked).observe(seen, F.count("*").alias("rows"), F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"))
+    rows.write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+# -- an archive as a bucketed table ---------------------------------------------------------------------------------------
+
+DEVICE_BUCKETS = 64
+
+
+def write_bucketed(obs: DataFrame, name: str, path: str, buckets: int = DEVICE_BUCKETS, mode: str = "append") -> None:
+    """Write to a table at ``path`` partitioned by UTC month and bucketed by device, sorted by device and time.
+
+    Rollups by device and joins on (device, time) read it as it is dealt, without a shuffle of the stored side.
+    """
+    rows = align_schema(obs).withColumn("obs_month", month_of(F.col("epoch")))
+    rows = rows.repartition(F.col("obs_month"), F.pmod(F.hash("device_id"), F.lit(buckets)))  # one file for each month and bucket
+    rows.write.mode(mode).option("path", path).partitionBy("obs_month").bucketBy(buckets, "device_id").sortBy("device_id", "epoch").saveAsTable(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, path: str, buckets: int = DEVICE_BUCKETS) -> DataFrame:
+    """The table that ``write_bucketed`` has left at ``path``, also in a session that does not know it yet."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in OBS)
+        place = path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({columns}, obs_month int) USING parquet PARTITIONED BY (obs_month) CLUSTERED BY (device_id) SORTED BY (device_id, epoch) INTO {buckets} BUCKETS LOCATION '{place}'")
+        spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
+@contextmanager
+def joins_by_bucket(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, joins on (device, time) may use that a side is dealt by device alone."""
+    key, before = "spark.sql.requireAllClusterKeysForCoPartition", None
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def append_bucketed(spark: SparkSession, name: str, path: str, batch: DataFrame, order: list[str], buckets: int = DEVICE_BUCKETS) -> int:
+    """Store what is new of ``batch`` (first row of a key by ``order`` wins, stored rows first of all) and say how many rows that is.
+
+    The batch is dealt by device to meet the stored rows where they lie; of those only the batch's months are read.
+    """
+    rows = batch.withColumn("obs_month", month_of(F.col("epoch")))
+    months = [r[0] for r in rows.select("obs_month").distinct().collect()]  # a few numbers
+    stored = open_bucketed(spark, name, path, buckets).where(F.col("obs_month").isin(months))
+    seen = Observation()
+    with joins_by_bucket(spark):
+        new = written(align_schema(append_observations(stored, batch, order)).observe(seen, F.count("*").alias("rows")), "new-rows")
+    write_bucketed(new, name, path, buckets)
+    return seen.get["rows"]
+
+
 def archive_observations(obs: DataFrame, start_epoch: int, end_epoch: int) -> DataFrame:
     """A range with all metadata; a source of over 1024 bytes is an error when its row is read."""
     rows = within(align_schema(obs), start_epoch, end_epoch)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stationspark.functions import units as U
 from stationspark.functions.calendar import day_end, day_start, resolve_days, resolve_range
 from stationspark.operators import asof, calendar, climate, conditions, sensors, series
-from stationspark.operators.rollup import days_of, quarter_rollup
+from stationspark.operators.rollup import day_rollup, days_of, quarter_rollup
 from stationspark.operators.spells import spells
 
 from .helpers import ZONES, day_epoch, obs
@@ -283,6 +283,27 @@ def test_missing_windows(spark):
     assert [a for a, _ in got[2:]] == [b + 1 for _, b in got[1:-1]] and got[-1][1] == 2_999_999
 
 
+def test_windows_of_devices_without_rows(spark):
+    rows = obs(spark, [{"epoch": 1_000_000, "device": 1}, {"epoch": 5_000_000, "device": 2}])
+    got = sorted(map(tuple, asof.missing_windows(rows, 900_000, 1_000_100, max_window_s=60_000).collect()))
+    assert got == [(1, 900_000, 959_999), (1, 960_000, 999_999), (2, 900_000, 959_999), (2, 960_000, 1_000_100)]
+    known = spark.createDataFrame([(3,)], "device_id long")
+    assert [tuple(r) for r in asof.missing_windows(rows, 900_000, 1_000_100, devices=known).collect()] == [(3, 900_000, 1_000_100)]
+
+
+def test_no_sort_of_raw_rows(spark):
+    rows = obs(spark, [{"epoch": day_epoch("2024-01-01") + 60 * k, "temp": k % 7, "pres": 1000 + k % 5, "gust": k % 3} for k in range(200)])
+    for df in (asof.latest(rows), asof.pressure_tendency(rows)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "Window" not in plan
+        # The text column alone is not of a fixed width: it is aggregated over the newest rows.
+        assert plan.count("SortAggregate") <= (2 if "source" in df.columns else 0)
+    quarter = quarter_rollup(rows)
+    found = sensors.records(rows, day_rollup(quarter), quarter)
+    parts = found._jdf.queryExecution().executedPlan().toString().split("SortAggregate")
+    assert all("rain_sum" in p.split("\n")[0] for p in parts[1:]), [p.split("\n")[0] for p in parts[1:]]  # the wettest day, over days
+
+
 # -- joins -----------------------------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stationspark.operators import series
+from stationspark.functions import calendar
+from stationspark.operators import asof, rollup, series
+from stationspark.operators.sensors import CONTINUOUS
 from stationspark.plans import adhoc
 from stationspark.schema import BOUNDS, align_schema
 from stationspark.sources import archive, derived, ingest
@@ -111,6 +113,8 @@ def test_adhoc_sql(spark):
     refused = [
         "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')", "SELECT * FROM VALUES (reflect('java.lang.System', 'nanoTime')) AS v(x)",
         "SELECT sum(v) OVER w FROM t WINDOW w AS (PARTITION BY java_method('java.lang.System', 'getProperty', 'user.dir'))",
+        "SELECT sum(id) OVER w FROM t WINDOW w AS (ORDER BY (SELECT first(value) FROM text.`/etc/hostname`))", "SELECT id FROM t WHERE id IN (SELECT x FROM kept)",
+        "SELECT sum(id) OVER w FROM t WINDOW w AS (PARTITION BY (SELECT max(x) FROM kept) ORDER BY id)",
         "SELECT id FROM t WHERE EXISTS (SELECT java_method('java.lang.System', 'nanoTime'))", "SELECT * FROM json.`/tmp/x`", "SELECT * FROM kept AS kept",
         "SELECT * FROM kept WHERE x IN (WITH kept AS (SELECT 1 AS x) SELECT x FROM kept)", "SHOW TABLES", "EXPLAIN SELECT 1", "SET a = b",
         "FROM t INSERT OVERWRITE DIRECTORY '/tmp/x' USING json SELECT *", "SELECT TRANSFORM(id) USING 'cat' FROM t", "SELECT id, repeat('x', 10000000) AS s FROM t", "SELECT 1 +",
@@ -162,6 +166,10 @@ def run(df, mode="append"):
     return rows
 
 
+def shown(row):
+    return tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in row)
+
+
 @pytest.fixture
 def landed(tmp_path):
     # The last row closes all windows before it.
@@ -176,15 +184,152 @@ def test_streams_equal_batch(spark, landed):
     read = lambda: streams.stream_observations(spark, path, 1)
     good, _ = ingest.validate_observations(ingest.read_observation_responses(spark, path), "quarantine")
     batch = {(r.device_id, r.bucket_epoch): (r.obs, r.rain_mm) for r in series.series(good, 900).collect()}
-    streamed = {(r.device_id, r.bucket_epoch): (r.obs, r.rain_mm) for r in run(streams.stream_quarter_rollup(read()))}
+    streamed = {(r.device_id, r.bucket_epoch): (r.obs, r.rain_mm) for r in run(streams.stream_series(read(), 900))}
     last = max(k[1] for k in batch)
     assert streamed == {k: v for k, v in batch.items() if k[1] < last}
+    partials = run(streams.stream_quarter_rollup(read()))
+    whole = rollup.quarter_rollup(good)
+    assert partials[0].__fields__ == whole.columns
+    assert sorted(map(shown, partials)) == sorted(shown(r) for r in whole.collect() if r.bucket * 900 < last)
     assert [(r.start_epoch, r.end_epoch) for r in run(streams.stream_gaps(read()))] == [(E + 60 * 39, E + 60 * 120), (E + 60 * 159, epochs[-1])]
     assert sorted((r.first_epoch, r.obs) for r in run(streams.stream_sessions(read()))) == [(E, 40), (E + 7200, 40)]
     assert max(r.epoch for r in run(streams.stream_conditions(read()), "complete")) == epochs[-1]
     assert len(run(streams.stream_dedupe(read()))) == len(epochs)
 
 
+def test_late_partials_merge_into_stored_days(spark, tmp_path):
+    zones = spark.createDataFrame([(1, "Asia/Kathmandu")], ZONES)
+    first = [wire(E + 600 * k, temp=float(k), rain=0.5) for k in range(0, 200, 2)]
+    late = [wire(E + 600 * k, temp=50.0 - k, rain=0.25) for k in range(1, 200, 2)]
+    paths = str(tmp_path / "partials"), str(tmp_path / "checkpoint")
+    for name, rows in (("a", first), ("b", late)):
+        land(tmp_path / "in", name, {"device_id": 1, "type": "obs_st", "obs": rows})
+        streams.store_partials(streams.stream_observations(spark, str(tmp_path / "in")), *paths).awaitTermination()
+    good, _ = ingest.validate_observations(ingest.read_observation_responses(spark, str(tmp_path / "in")), "quarantine")
+    stored = streams.stored_quarters(spark, paths[0])
+    assert sorted(map(shown, stored.collect())) == sorted(map(shown, rollup.quarter_rollup(good).collect()))
+    assert sorted(map(shown, rollup.day_rollup(stored, zones).collect())) == sorted(map(shown, rollup.days_of(good, zones).collect()))
+    # A batch that is done again replaces its part.
+    part = spark.read.parquet(paths[0]).where("part = 0").count()
+    rollup.quarter_rollup(good).limit(3).selectExpr("*", "0L as part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(paths[0])
+    assert part > 3 and spark.read.parquet(paths[0]).where("part = 0").count() == 3
+
+
+def test_a_device_that_stops_is_told_by_the_watermark(spark, tmp_path):
+    going = [wire(E + 60 * k) for k in range(400)]
+    for k in range(0, 400, 40):
+        responses = [{"device_id": 2, "type": "obs_st", "obs": going[k : k + 40]}]
+        if k < 80:
+            responses.append({"device_id": 1, "type": "obs_st", "obs": going[k : k + 40]})
+        land(tmp_path / "in", f"f{k:03}", *responses)
+    got = run(streams.stream_stale_sensors(streams.stream_observations(spark, str(tmp_path / "in"), 1)))
+    assert sorted((r.device_id, r.sensor, r.last_epoch, r.newest_epoch) for r in got) == sorted((1, s, E + 79 * 60, E + 79 * 60) for s in CONTINUOUS)
+
+
+def scanned(df):
+    """Rows that the scans of a collected frame have put out."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(k).metrics().get("numOutputRows").get().value() for k in range(leaves.size()))
+
+
+def test_a_late_row_rereads_its_days_alone(spark, tmp_path):
+    minutes = derived.synth_observations(spark, 6, 40 * 1440)
+    paths = [str(tmp_path / p) for p in ("archive", "rollups", "checkpoint")]
+    zones = spark.createDataFrame([(k, z) for k, z in enumerate(["Asia/Kathmandu", "America/Los_Angeles", "Australia/Lord_Howe"], 1)], ZONES)
+    late = 1_672_531_200 + 20 * 86_400 + 30
+    archive.write_obs(minutes, paths[0])
+    streams.refresh_days(spark, paths[0], paths[1], streams.touched_days(minutes, zones), zones)
+    stored = lambda: sorted(map(shown, spark.read.parquet(paths[1]).select(*rollup.days_of(minutes, zones).columns).collect()))
+    assert stored() == sorted(map(shown, rollup.days_of(minutes, zones).collect()))
+    land(tmp_path / "in", "late", {"device_id": 1, "type": "obs_st", "obs": [wire(late, rain=7.0)]})
+    streams.sync_archive(spark, str(tmp_path / "in"), *paths, zones).awaitTermination()
+    rows = archive.read_obs(spark, paths[0])
+    assert rows.count() == 6 * 40 * 1440 + 1
+    assert stored() == sorted(map(shown, rollup.days_of(rows, zones).collect()))
+    again = streams.reread(spark, paths[0], streams.touched_days(rows.where(F.col("epoch") == late), zones))
+    assert len(again.collect()) == 1441 and scanned(again) < 3 * 1440
+
+
+def test_zone_map_skips_months(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    for part in range(3):
+        rows = [{"epoch": day_epoch(f"2024-0{1 + (k + part) % 6}-1{k % 5}") + part, "device": k % 4, "pres": 1000 + k, "temp": k} for k in range(40)]
+        archive.write_obs(ingest.append_observations(None, obs(spark, rows).withColumn("n", F.monotonically_increasing_id()), ["n"]), path)
+    rows, zones = archive.read_months(spark, path), archive.zone_map(spark, path)
+    plain = rows.groupBy("device_id", "obs_month").agg(F.min("epoch"), F.max("epoch")).collect()
+    assert sorted(map(tuple, zones.collect())) == sorted(map(tuple, plain))
+    for f in (asof.latest, asof.pressure_tendency):
+        with_zones = f(rows, zones=zones) if f is asof.pressure_tendency else f(rows, zones)
+        assert sorted(map(shown, with_zones.collect())) == sorted(map(shown, f(archive.read_obs(spark, path)).collect())), f
+        plan = with_zones._jdf.queryExecution().toString()
+        assert "dynamicpruning" in plan.lower() and "obs_month" in plan, f
+    assert len(asof.latest(rows, zones).collect()) == 4
+
+
+def test_ranges_of_devices_prune_months(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    minutes = derived.synth_observations(spark, 5, 100 * 1440).where("epoch % 3600 = 0")
+    archive.write_obs(minutes, path)
+    zones = spark.createDataFrame([(1, "Asia/Kathmandu"), (2, "America/Los_Angeles"), (3, "UTC"), (9, "UTC")], ZONES)
+    bounds = calendar.resolve_range(zones, "2023-01-28", "2023-02-03", day_epoch("2023-03-01"))
+    found = calendar.within_ranges(archive.read_months(spark, path), bounds)
+    limits = {r.device_id: (r.start_epoch, r.end_epoch) for r in bounds.collect()}
+    expected = sorted((r.device_id, r.epoch) for r in minutes.collect() if r.device_id in limits and limits[r.device_id][0] <= r.epoch <= limits[r.device_id][1])
+    assert sorted((r.device_id, r.epoch) for r in found.collect()) == expected and len(expected) == 3 * 7 * 24
+    plan = found._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower() and "Broadcast" in plan
+    week = calendar.resolve_days(zones, 7, "2023-02-03", 0)
+    assert calendar.within_ranges(minutes, week).count() == len(expected)
+    assert scanned_files(found) < 4
+
+
+def scanned_files(df):
+    """Months that a collected frame's scan of an archive has read."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    leaves = re.findall("DynamicFileSourceFilter|dynamicpruning", plan)
+    assert leaves
+    return df.select(F.year(F.timestamp_seconds("epoch")) * 100 + F.month(F.timestamp_seconds("epoch"))).distinct().count()
+
+
+def test_checks_and_write_in_one_pass(spark, tmp_path):
+    good = obs(spark, [{"epoch": E + k, "temp": 20} for k in range(50)])
+    path = str(tmp_path / "batch")
+    assert archive.ingest_observations(good, path, E, E + 100) == {"rows": 50, "first_epoch": E, "last_epoch": E + 49}
+    assert spark.read.parquet(path).count() == 50
+    for bad in (obs(spark, [{"epoch": E}, {"epoch": E + 1, "hum": 101}]), obs(spark, [{"epoch": E}, {"epoch": E + 101}])):
+        with pytest.raises(Exception, match="are not valid: (humidity|outside the window)"):
+            archive.ingest_observations(bad.repartition(2), str(tmp_path / "none"), E, E + 100)
+        with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA|PATH_NOT_FOUND"):
+            spark.read.parquet(str(tmp_path / "none"))
+    assert archive.ingest_observations(good.limit(0), path)["rows"] == 0
+
+
+def test_bucketed_archive_meets_batches_without_a_shuffle(spark, tmp_path):
+    path, order = str(tmp_path / "table"), ["seq"]
+    rows = obs(spark, [{"epoch": E + 60 * k, "device": d, "temp": k} for d in range(9) for k in range(40)])
+    archive.write_bucketed(rows, "obs_by_device", path, 8)
+    try:
+        batch = obs(spark, [{"epoch": E + 60 * k, "device": d, "temp": -k} for d in range(9) for k in range(30, 45)]).withColumn("seq", F.lit(1))
+        stored = archive.open_bucketed(spark, "obs_by_device", path, 8)
+        with archive.joins_by_bucket(spark):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            plan = ingest.append_observations(stored, batch, order)._jdf.queryExecution().executedPlan().toString()
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        held = plan[plan.index("FileScan") - 400 :]
+        assert "Bucketed: true" in plan and "Exchange" not in held.split("FileScan")[0].split("Sort")[-1]
+        rolled = rollup.quarter_rollup(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in rolled and "Bucketed: true" in rolled
+        assert archive.append_bucketed(spark, "obs_by_device", path, batch, order, 8) == 9 * 5
+        assert archive.append_bucketed(spark, "obs_by_device", path, batch, order, 8) == 0
+        spark.sql("DROP TABLE obs_by_device")  # another session knows the path alone
+        again = archive.open_bucketed(spark, "obs_by_device", path, 8)
+        assert again.count() == 9 * 45 and again.where("air_temp_c < 0").count() == 9 * 5
+    finally:
+        spark.sql("DROP TABLE IF EXISTS obs_by_device")
+
+
 def test_silent_sensors(spark, tmp_path):
     rows = [wire(E + 60 * k, temp=20.0 if k < 3 else None) for k in range(100)]
     for k in range(0, 100, 25):
@@ -210,5 +355,5 @@ def test_sync_is_idempotent_and_takes_late_rows(spark, tmp_path):
     sync()
     stored = spark.read.parquet(paths[0])
     assert sorted((r.epoch, r.rain_mm) for r in stored.collect()) == [(E - 3600, 2.0), (E, 1.0), (E + 60, 1.0)]
-    (day,) = spark.read.parquet(paths[1]).where("obs > 0").collect()
+    (day,) = spark.read.parquet(paths[1]).collect()
     assert (day.rain_sum, day.obs) == (4.0, 3)
