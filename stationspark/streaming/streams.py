@@ -15,7 +15,7 @@ from stationspark.operators.rollup import QUARTER_S, days_of, merged_quarters, q
 from stationspark.operators.sensors import CONTINUOUS, STALE_S
 from stationspark.operators.series import bucket_aggregates
 from stationspark.schema import OBS, align_schema, month_of
-from stationspark.sources.archive import DEVICE_BUCKETS, MOST_NAMED, read_spans, write_obs
+from stationspark.sources.archive import MOST_NAMED, read_spans, write_obs
 from stationspark.sources.ingest import RESPONSE, append_observations, observation_rows
 from stationspark.sources.shared import written
 
@@ -181,6 +181,8 @@ def stream_stale_sensors(obs: DataFrame, stale_s: int = STALE_S, late: str = "10
     return rows.transformWithStateInPandas(_Silent(stale_s), "device_id long, sensor string, last_epoch long, newest_epoch long", "Append", "EventTime")
 
 
+#: Buckets of devices that a day of rollups has.
+ROLLUP_BUCKETS = 16
 #: Spans of epochs that a scan is given at most; more are joined across their narrowest gaps.
 MOST_SPANS = 32
 
@@ -229,7 +231,7 @@ def refresh_days(spark: SparkSession, archive: str, rollups: str, touched: DataF
     """
     touched = written(touched, "touched-days")
     keys = touched.select("device_id", "day")
-    bucket = F.pmod(F.hash("device_id"), F.lit(DEVICE_BUCKETS)).alias("device_bucket")
+    bucket = F.pmod(F.hash("device_id"), F.lit(ROLLUP_BUCKETS)).alias("device_bucket")
     days = days_of(reread(spark, archive, touched), devices).join(keys, ["device_id", "day"], "left_semi").select("*", bucket)
     old = _stored(spark, rollups)
     if old is not None:
