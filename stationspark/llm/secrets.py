@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import give_back, materialize, table, text_or_empty
 from .trees import Forest, parse
 
-#: Words of the dictionary at most; it holds words of one in RAREST documents, three at least, or of more where it would be larger.
-DICTIONARY, RAREST = 50_000, 20_000
+#: The dictionary holds words of one in RAREST documents, three at least. So it has at most RAREST words for each different word that
+#: a document has on average, however many documents there are: some hundred thousand short words, which may be broadcast.
+RAREST = 2000
 #: Findings of each label that are learned from at most: those with the smallest hashes, equal ones once.
 MOST_OF_LABEL = 4000
 #: Rows that fewer findings of a label are repeated to, so that every tree's own sample holds some.
@@ -50,6 +51,9 @@ _VALUE = re.compile(_NAME + r"""(?:"(?P<two>(?:[^"\\\n]|\\.)+)"|'(?P<one>(?:[^'\
 _ASSIGNED = re.compile(_NAME + r"[\"']?$")
 #: Values that stand for one that is elsewhere, or say what kind it is.
 _NO_VALUE = re.compile(r"(?i)[$<{%].*|\*+|x+|none|null|nil|true|false|string|str|int|required|optional|.*[(\[].*[)\]]")
+#: Passwords in addresses, and values that are called a key, which need not be secret.
+_ADDRESS, _IN_ADDRESS = re.compile(r"://[^\s/:@]*:([^\s/@]+)@"), re.compile(r"://[^\s/:@]*:$")
+_KEYED = re.compile(r"""(?i)(?<![A-Za-z0-9_\-])key["']?\s*[=:]\s*["']?([^\s"',;]+)""")
 BESIDE = 48
 
 
@@ -57,7 +61,8 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """Places that may be secrets, in order; they may overlap.
 
     Known formats by themselves, whatever they are glued to; values of any characters and length that are assigned to names of
-    secrets; runs of at least twelve key characters with a digit, or of 24 without. A run that a known format is only a part of
+    secrets; passwords in addresses; values of a bare "key"; runs of at least twelve key characters with a digit, or of 24
+    without. A run that a known format is only a part of
     is what is left of it on both sides.
     """
     formats = [m.span() for m in _FORMATS.finditer(text)]
@@ -68,6 +73,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
             b = a + len(text[a:b].rstrip("\"',;")) or b
         if b > a:
             out.add((a, b))
+    out.update(m.span(1) for pattern in (_ADDRESS, _KEYED) for m in pattern.finditer(text))
     at = 0
     for m in _RUN.finditer(text):
         a, end = m.span()
@@ -103,7 +109,9 @@ def describe(text: str, a: int, b: int, words: frozenset[str]) -> list[float]:
         k += size or 1
     near = text[max(0, a - BESIDE) : a]
     name = _ASSIGNED.search(near)
-    before, after = (near[: name.start()] if name else near)[-BESIDE // 2 :], text[b : b + 8]
+    login = _IN_ADDRESS.search(near) if text[b : b + 1] == "@" else None
+    cut = name or login  # what labels a candidate is not looked at
+    before, after = (near[: cut.start()] if cut else near)[-BESIDE // 2 :], "" if login else text[b : b + 8]
     hexes = sum(c in "0123456789abcdefABCDEF" for c in run) / n
     return [
         float(n), *counts, changes, entropy, covered / n, hexes, len(set(run)) / n, float(kinds[0]), float(kinds[-1]),
@@ -112,11 +120,13 @@ def describe(text: str, a: int, b: int, words: frozenset[str]) -> list[float]:
 
 
 def labelled(text: str, a: int, b: int) -> int:
-    """Whether known formats or an assignment mark a candidate as a secret: one with a digit, or in quotes and of one word."""
-    run = text[a:b]
+    """Whether known formats, an address or an assignment mark a candidate as a secret: one with a digit, or in quotes and of one word."""
+    run, near = text[a:b], text[max(0, a - BESIDE) : a]
     if _FORMATS.fullmatch(run):
         return 1
-    if not _ASSIGNED.search(text[max(0, a - BESIDE) : a]) or _NO_VALUE.fullmatch(run):
+    if text[b : b + 1] == "@" and _IN_ADDRESS.search(near):
+        return int(not _NO_VALUE.fullmatch(run))
+    if not _ASSIGNED.search(near) or _NO_VALUE.fullmatch(run):
         return 0
     return int(bool(_DIGIT.search(run)) or (text[a - 1] in "\"'" and text[b : b + 1] == text[a - 1] and not re.search(r"\s", run)))
 
@@ -155,14 +165,14 @@ def learn(docs: DataFrame, findings: DataFrame | None = None, most: int = MOST_O
 
     ``findings`` (doc_id, start, end, secret: code points and 0 or 1) are what people have labelled; without them known
     formats and assignments label the candidates of every row, whatever its id. With findings of one kind only there is no
-    forest, and every candidate scores that kind. The dictionary is counted over all rows.
+    forest, and every candidate scores that kind. The dictionary is counted over all rows. A quarter of the findings is held
+    out and gives the model's precision and recall; where that would leave one kind to learn from, all are learned from and
+    there are no such figures.
     """
     spark = docs.sparkSession
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}]+"))).alias("w")).where(F.length("w").between(3, 10))
     least = max(3, -(-docs.count() // RAREST))
-    words = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(DICTIONARY + 1).collect()
-    if len(words) > DICTIONARY:
-        words = [r for r in words if r["n"] > words[-1]["n"]]
+    words = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("w").collect()
     known = spark.sparkContext.broadcast(frozenset(r["w"] for r in words))
     given = docs.select(text_or_empty().alias("text"), F.lit(None).cast("array<struct<start:bigint,end:bigint,secret:int>>").alias("given"))
     if findings is not None:
@@ -191,8 +201,10 @@ def learn(docs: DataFrame, findings: DataFrame | None = None, most: int = MOST_O
     held = F.pmod(F.xxhash64("key"), F.lit(4)) == 0
     rows = rows[0].union(rows[1]).select(F.col("label").cast("double").alias("label"), features("near", "start", "end").alias("x"), held.alias("held"))
     rows = materialize(rows, "secret-training")
-    seen = rows.where("held").collect()  # bounded: a quarter of twice ``most``
-    rows = rows.where("not held") if len({r["label"] for r in rows.where("not held").select("label").distinct().collect()}) > 1 else rows
+    apart = rows.where("not held").select("label").distinct().count() > 1
+    # Bounded: a quarter of twice ``most``. Where a label is so rare that nothing can be held out, nothing is, and no figures are given.
+    seen = rows.where("held").collect() if apart else []
+    rows = rows.where("not held") if apart else rows
     kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return Model(None, max(kinds, default=0.0), known.value)

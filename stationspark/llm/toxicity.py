@@ -24,9 +24,8 @@ from .common import give_back, held_out, materialize, table, text_or_empty
 
 #: Labelled documents that are learned from at most: those with the smallest hashed ids.
 MOST_LABELLED = 20_000
-#: Tokens of the lexicon at most, by significance.
-MOST_TOKENS = 20_000
-#: Standard errors from which a token's log-odds count.
+#: Standard errors from which a token's log-odds count; all tokens that reach them are in the lexicon, which is as bounded as
+#: the labelled documents are.
 SIGNIFICANT = 3.0
 #: The prior's weight as a share of the counts of both classes together, which are its background.
 PRIOR = 0.1
@@ -164,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     odds = lambda c, n: F.log((F.col(c) + prior()) / (F.lit(n + (bad + good) * PRIOR) - F.col(c) - prior()))
     scored = counts.withColumn("odds", odds("bad", bad) - odds("good", good)).withColumn("error", F.sqrt(1 / (F.col("bad") + prior()) + 1 / (F.col("good") + prior())))
     telling = scored.where(F.abs(F.col("odds")) >= SIGNIFICANT * F.col("error"))
-    kept = telling.orderBy(F.desc(F.abs(F.col("odds") / F.col("error"))), "token").limit(MOST_TOKENS).collect()
+    kept = telling.orderBy("token").collect()
     scores = {r["token"]: r["odds"] for r in kept}
     bad_other, good_other = bad - sum(r["bad"] for r in kept), good - sum(r["good"] for r in kept)
     other = min(math.log((bad_other + 1) / (bad + 1)) - math.log((good_other + 1) / (good + 1)), -0.02)
@@ -223,7 +222,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     Null text is the empty text, which has no passage and the score of no evidence. Rows are independent: repeated rows give
     repeated results, a null id stays null. Labels, lang, source and doc_id are not looked at.
     """
-    holder = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MOST_TOKENS scores
+    holder = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the lexicon of MOST_LABELLED documents
 
     @F.pandas_udf("score double, passages array<struct<start:bigint,end:bigint,excess:double>>")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
