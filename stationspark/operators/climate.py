@@ -18,11 +18,16 @@ INDEX_THRESHOLDS = {"frost": 32.0, "ice": 32.0, "summer": 77.0, "hot": 90.0, "tr
 SPELL_THRESHOLDS = {"heat": 90.0, "cold": 32.0}
 
 
-def _threshold(value: float, default: float) -> float:
-    """0 stands for the default; what is given must be a temperature that can occur."""
+def _temperature(value: float, what: str = "threshold") -> float:
+    """What is given must be a temperature that can occur."""
     if not math.isfinite(value) or not -200 <= value <= 300:
-        raise ValueError(f"threshold {value} is not a temperature")
-    return value or default
+        raise ValueError(f"{what} {value} is not a temperature")
+    return value
+
+
+def _threshold(value: float, default: float) -> float:
+    """0 stands for the default."""
+    return _temperature(value) or default
 
 
 def _extremes(day: DataFrame) -> DataFrame:
@@ -40,6 +45,8 @@ def _total_and(rows: DataFrame, period: Column, *aggregates: Column) -> DataFram
 
 def degree_days(day: DataFrame, heating: float = 65.0, cooling: float = 65.0, growing: float = 50.0, cap: float = 86.0) -> DataFrame:
     """Heating, cooling and growing degree days of each device: in total and per month. A cap of 0 or less is none."""
+    for what, value in {"heating base": heating, "cooling base": cooling, "growing base": growing, "growing cap": cap}.items():
+        _temperature(value, what)
     if 0 < cap < growing:
         raise ValueError("the growing cap lies below the growing base")
     mean = (F.col("high") + F.col("low")) / 2

@@ -201,6 +201,9 @@ def test_degree_days_and_indices(spark):
     assert (total.hdd, total.cdd, total.gdd, total.days_used) == (pytest.approx(24 + 65 - 23), 12, pytest.approx(27), 3)
     with pytest.raises(ValueError):
         climate.degree_days(days_of(rows), growing=60, cap=50)
+    for wrong in ({"heating": math.nan}, {"cooling": math.inf}, {"growing": -201}, {"cap": 301}, {"cap": math.nan}):
+        with pytest.raises(ValueError, match="is not a temperature"):
+            climate.degree_days(days_of(rows), **wrong)
     index = climate.climate_indices(days_of(rows)).where("period = '2024'").first()
     assert (index.frost_days, index.ice_days, index.summer_days, index.hot_days, index.tropical_nights) == (1, 1, 1, 0, 1)
     with pytest.raises(ValueError):
