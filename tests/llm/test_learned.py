@@ -103,6 +103,104 @@ def test_added_spans_of_held_out_texts(spark):
     assert {s.split(":")[0] for k in rows for s in rows[k].split(",") if s} == set(pii.KINDS)
 
 
+# The looser formats, their features and the trees, one text and one match after the other.
+LOOSE = [
+    (0, r"[A-Za-z0-9._%+-]+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]+(?:(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z0-9-]+)+"),
+    (0, r"[A-Za-z0-9._%+-]+ (?:at|AT) [A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)+"),
+    (0, r"[A-Za-z0-9._%+-]+(?: @ |&#64;)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    (1, r"(?<![0-9])[0-9]{1,5}(?:[\[(]\.[\])][0-9]{1,5}){3}(?![0-9])"),
+    (1, r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    (1, r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])"),
+    (2, r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9])"),
+    (3, r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    (3, r"(?<![0-9+(])00[1-9][0-9]{0,2}(?:[ ./-]{1,2}\(?[0-9]{1,7}\)?){2,5}(?![0-9])"),
+    (3, r"(?<![0-9+(.])\(?0[1-9][0-9]{1,4}\)?(?: ?[/-] ?| )[0-9]{4,8}(?!-?[0-9])"),
+]
+FOR = ["mail contact write reach", "ip address host server addr", "card visa credit debit payment pay", "phone tel call mobile cell fax sms whatsapp"]
+AGAINST = "order ref version no isbn build date time part item meet see"
+
+
+def looks(kind, match, before, after):
+    digits = [c for c in match if c.isdigit()]
+    groups = re.split("[^0-9]+", match)
+    last = next((k for k, c in enumerate(reversed(match)) if not c.isalpha()), len(match))
+
+    def beside(names):
+        return any(re.search(rf"\b{w}\W*$", before.lower()) for w in names.split())
+
+    return [
+        kind, len(match), len(digits), len(digits) / len(match), *(match.count(c) for c in " .-"), match.count("(") + match.count(")"), match.count("[") + match.count("]"), match.count(":"),
+        match.count("/"), match.count("@"), int(digits[1]) if len(digits) > 1 else -1, sum(c.isalpha() for c in match), max(map(len, groups)), len(groups), max(1, len(set(digits))),
+        int(digits[0]) if digits else -1, last, bool(re.search(r"\w$", before)), bool(re.match(r"\w", after)), beside(FOR[kind]), beside(AGAINST),
+    ]
+
+
+def all_spans(text, trees, at):
+    """Base spans, and those of the looser formats that score enough and overlap none of them."""
+    base = [s.split(":") for s in base_spans(text).split(",") if s]
+    taken, out = [(int(a), int(b)) for _, a, b in base], [(int(a), pii.KINDS.index(k), int(b)) for k, a, b in base]
+    for kind, pattern in LOOSE:
+        found = list(re.finditer(pattern, text))
+        for k, m in enumerate(found):
+            since, until = found[k - 1].end() if k else 0, found[k + 1].start() if k + 1 < len(found) else len(text)
+            x, margin = looks(kind, m.group(), text[max(since, m.start() - pii.BESIDE) : m.start()], text[m.end() : min(until, m.end() + 8)]), 0.0
+            for node in trees:
+                while node.feature >= 0:
+                    node = node.low if x[node.feature] <= node.threshold else node.high
+                margin += node.value
+            if 1 / (1 + np.exp(-2 * margin)) >= at.get(kind, 2) and not any(a < m.end() and m.start() < b for a, b in taken):
+                out.append((m.start(), kind, m.end()))
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_added_spans_are_those_of_plain_loops(spark):
+    rng = random.Random(21)
+    texts, planted = private_texts(rng, 100)
+    trees, at = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    parts = [t for _, t in planted] + [t for _, t in hidden_elsewise(rng, 60)] + texts[:20]
+    mixed = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    mixed += ["".join(rng.choice([*"a1f.:/-( )@", "::", " at ", " dot ", "[at]", "[.]", "00", "03", "phone ", "x@y.zz", "1.2.3.4", "&#64;"]) for _ in range(rng.randint(5, 60))) for _ in range(300)]
+    mixed.append(" ".join(f"a{k}@b.cc  d{k} at e dot ff" for k in range(150)))  # many of both kinds in one text
+    docs = spark.createDataFrame(list(enumerate([*parts, *mixed])), "doc_id long, text string").repartition(4)
+    for thresholds in (at, dict.fromkeys(range(4), 0.0)):  # all candidates too
+        rows = {r.doc_id: r.spans for r in pii.find_personal_data(docs, trees, thresholds).collect()}
+        expected = [all_spans(t, trees, thresholds) for t in [*parts, *mixed]]
+        assert [rows[k] for k in range(len(expected))] == expected
+
+
+def hidden_elsewise(rng, n):
+    """Data hidden in forms and beside words that no training example has (True), and what only resembles it (False)."""
+    name = lambda: "".join(rng.choice("aeioudklmnprst") for _ in range(rng.randint(3, 8)))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    some = lambda: rng.randint(1, 254)
+
+    def number(first, n):
+        d = first + digits(n - 2)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    forms = [
+        (True, lambda: f"say hi: {name()}(at){name()}(dot){rng.choice(['de', 'fr', 'io'])}"), (True, lambda: f"{name()}_{name()} AT {name()} DOT co DOT uk"), (True, lambda: f"ask {name()} @ {name()}.edu."),
+        (False, lambda: f"lunch @ 12.{digits(2)}"), (False, lambda: f"we stood at {digits(1)} dot {digits(2)} percent"),
+        (True, lambda: f"ping {some()}(.){some()}(.){some()}(.){some()}"), (True, lambda: f"route 2a02:{digits(3)}f::{digits(2)}c{digits(1)}:{some():x}"), (False, lambda: f"fade::{rng.choice(['add', 'bad', 'dad'])}"),
+        (True, lambda: "paid by visa " + "/".join(re.findall("....", number("5", 16)))), (False, lambda: "serial " + "_".join(["1999", digits(4), digits(4), digits(3)])),
+        (True, lambda: f"mobile: 0{rng.randint(20, 99)}{digits(2)} {digits(6)}"), (True, lambda: f"ring 00{rng.randint(30, 49)} {digits(2)} {digits(7)}"), (True, lambda: f"fax (0{rng.randint(20, 99)}) {digits(7)}"),
+        (False, lambda: f"item 0{rng.randint(20, 99)}{digits(2)} {digits(6)}"), (False, lambda: f"part {digits(3)}.{digits(3)}.{digits(4)}"),
+    ]
+    return [(real, f"{words(6)} {make()} {words(6)}") for k in range(n) for real, make in [forms[k % len(forms)]]]
+
+
+def test_forms_that_training_never_saw(spark):
+    rng = random.Random(33)
+    texts, _ = private_texts(rng, 150)
+    trees, at = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))
+    planted = hidden_elsewise(rng, 15 * 30)
+    rows = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(planted)], "doc_id long, text string"), trees, at).collect()}
+    by_form = [sum(bool(rows[k]) for k in range(form, len(planted), 15)) / 30 for form in range(15)]
+    right = sum(real and bool(rows[k]) for k, (real, _) in enumerate(planted))
+    recall, precision = right / sum(real for real, _ in planted), right / max(1, sum(map(bool, rows.values())))
+    assert recall > 0.8 and precision > 0.95, (recall, precision, by_form, at)
+
+
 def test_rare_spans_are_learned_from(spark):
     """Examples come from the documents that hold spans, however rare those are."""
     texts, _ = private_texts(random.Random(5), 40)
