@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -104,3 +105,76 @@ def test_stages_on_odd_tables(spark, small):
         assert all(r[n] == r.n_lines.removesuffix("n_lines") + n for r in got for n in names)
         assert len(got) == len(marks) == {"ngram_jaccard_join": len(rows) - 1}.get(name, len(rows)), name
         assert {r.text for r in got} >= {None, "", "x", "\n\n \n"}
+
+
+def sentences(text):
+    """A text's sentences, cut a character at a time: at line ends, at white space after a stop, and after wide stops."""
+    out, own, k = [], "", 0
+    while k < len(text):
+        c, last = text[k], own[-1:]
+        if c == "\n":
+            out, own = [*out, own], ""
+        elif c.isspace() and last and last in ".!?…。！？":
+            while k + 1 < len(text) and text[k + 1].isspace() and text[k + 1] != "\n":
+                k += 1
+            out, own = [*out, own], ""
+        elif not c.isspace() and last and last in "。！？" and c not in "。！？":
+            out, own = [*out, own], c
+        else:
+            own += c
+        k += 1
+    return [x.strip() for x in [*out, own] if x.strip()]
+
+
+def test_line_stage_is_brute_force(spark, small):
+    given = {r.doc_id: r.text for r in table(spark, small, "documents").collect()}
+    long = [t for _, t in sorted(given.items()) if t and len(sentences(t)) > 8][:6]
+    passage = [" ".join(sentences(t)[:4]) for t in long]
+    for k, p in enumerate(passage):
+        given[10**6 + k] = f"Own {k} begins. {p} Own {k} ends!\n{passage[k - 1]}\nlast {k}"
+    given |= {10**6 + 20: passage[0], 10**6 + 21: "一つ目です。二つ目です。三つ目です。四つ目です。", 10**6 + 22: "別の文。一つ目です。二つ目です。三つ目です。", 10**6 + 23: None, 10**6 + 24: "A. B. C. A. B. C."}
+    docs = spark.createDataFrame([(i, t, 0) for i, t in given.items()], "doc_id long, text string, n_chars long").repartition(4)
+    seen, expected = set(), {}
+    for i, text in sorted(given.items()):
+        units, gone = sentences(text or ""), set()
+        for k in range(len(units) - 2):
+            if tuple(units[k : k + 3]) in seen:
+                gone |= {k, k + 1, k + 2}
+            seen.add(tuple(units[k : k + 3]))
+        if not gone or len(gone) < len(units):
+            expected[i] = [u for k, u in enumerate(units) if k not in gone]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, small).collect()}
+    assert {i: sentences(t or "") for i, t in got.items()} == expected
+    changed = [i for i in got if got[i] != given[i]]
+    assert 10**6 + 20 not in got and len(changed) >= 6 and all(len(expected[i]) < len(sentences(given[i])) for i in changed)
+    assert expected[10**6 + 22] == ["別の文。"] and expected[10**6 + 24] == ["A.", "B.", "C."]
+
+
+def test_secret_stage_redacts_what_the_forest_rates(spark, small):
+    """Candidates are rated one by one and cut out of the text from the back; all rows and other columns stay."""
+    from stationspark.llm import secrets
+
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    given = [tuple(r) for r in table(spark, small, "documents").select("doc_id", "text", "source").collect()]
+    for k in range(60):
+        own = [f"set AKIA{key(16)} here", f'password = "{key(9).lower()}7" and AKIA{key(16)}', f"postgres://joe:{key(10)}@host/db", f"commit {key(40)} of order {key(20)}", f"token={key(30)}\nAKIA{key(16)}ghp_{key(36)}"]
+        given.append((10**6 + k, f"Some words {k} before. {own[k % 5]} And some after é😀.", "own"))
+    given += [(10**6 + 100, None, "own"), (10**6 + 101, "", "own")]
+    docs = spark.createDataFrame([(i, t, 0, s) for i, t, s in given], "doc_id long, text string, n_chars long, source string").repartition(4)
+    model = secrets.learn(docs)
+    expected = {}
+    for i, text, source in given:
+        spans = []
+        for a, b in secrets.candidates(text or ""):
+            if model.rate([secrets.describe(text, a, b, model.words)])[0] >= secrets.THRESHOLD:
+                if spans and a < spans[-1][1]:
+                    spans[-1][1] = max(b, spans[-1][1])
+                else:
+                    spans.append([a, b])
+        for a, b in reversed(spans):
+            text = text[:a] + secrets.REDACTED + text[b:]
+        expected[i] = (text, None if text is None else len(text), source)
+    got = {r.doc_id: (r.text, r.n_chars, r.source) for r in corpus_pipeline.redact_secrets(spark, docs, small).collect()}
+    assert got == expected
+    assert sum(secrets.REDACTED in (t or "") for t, *_ in got.values()) >= 40 and all(got[i][0] == t for i, t, s in given if s != "own")
