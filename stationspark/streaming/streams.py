@@ -80,8 +80,11 @@ def stream_series(obs: DataFrame, bucket_s: int, late: str = "1 hour") -> DataFr
 
 
 def stream_sessions(obs: DataFrame, gap_s: int = GAP_S, late: str = "1 hour") -> DataFrame:
-    """Runs of observations without a gap of ``gap_s`` seconds or more."""
-    found = obs.withWatermark("ts", late).groupBy(F.session_window("ts", f"{gap_s} seconds"), "device_id")
+    """Runs of observations without a gap of ``gap_s`` seconds or more.
+
+    Spark's session window still takes in a row at its very end, so it ends a microsecond before a gap of ``gap_s``.
+    """
+    found = obs.withWatermark("ts", late).groupBy(F.session_window("ts", f"{gap_s * 1_000_000 - 1} microseconds"), "device_id")
     return found.agg(F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"), F.count("*").alias("obs")).drop("session_window")
 
 

@@ -197,6 +197,13 @@ def test_streams_equal_batch(spark, landed):
     assert len(run(streams.stream_dedupe(read()))) == len(epochs)
 
 
+def test_stream_sessions_end_at_a_gap_of_the_limit(spark, tmp_path):
+    epochs = [E, E + 3599, E + 3599 + 3600, E + 86_400 * 3]
+    land(tmp_path / "in", "f", {"device_id": 1, "type": "obs_st", "obs": [wire(e) for e in epochs]})
+    rows = run(streams.stream_sessions(streams.stream_observations(spark, str(tmp_path / "in"), 1)))
+    assert sorted((r.first_epoch, r.last_epoch, r.obs) for r in rows) == [(E, E + 3599, 2), (E + 7199, E + 7199, 1)]
+
+
 def test_late_partials_merge_into_stored_days(spark, tmp_path):
     zones = spark.createDataFrame([(1, "Asia/Kathmandu")], ZONES)
     first = [wire(E + 600 * k, temp=float(k), rain=0.5) for k in range(0, 200, 2)]
