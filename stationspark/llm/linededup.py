@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import bloom_filter, may_contain
 from .common import discard, give_back, materialize, table
 
 WINDOW = 3
@@ -112,7 +113,14 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, units: re.Pattern = LINES)
             out.append(("".join(line + end for line, end in kept), len(full), len(dropped)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
-    rows = docs.join(gone, (docs["doc_id"] == gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left").withColumn("__cut", cut(F.col("text"), F.col("__places")))
+    # Texts are large: those that surely hold nothing repeated stay where they are, and only the others meet their places.
+    row_hash = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    held = F.coalesce(may_contain(docs.sparkSession, bloom_filter(gone.select(F.xxhash64("__doc", "__hash").alias("id")), "id"), row_hash), F.lit(False))
+    marked = docs.withColumn("__held", held)
+    some = marked.where("__held").drop("__held").withColumn("__own", F.xxhash64("text"))
+    some = some.join(gone.hint("merge"), (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__hash")), "left").drop("__own", "__doc", "__hash")
+    rest = marked.where("not __held").drop("__held").withColumn("__places", F.lit(None).cast(gone.schema["__places"].dataType))
+    rows = some.unionByName(rest).withColumn("__cut", cut(F.col("text"), F.col("__places")))
     keep = [F.col("__cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return rows.select(*keep, F.col("__cut.n_lines").alias("n_lines"), F.col("__cut.n_removed").alias("n_removed"))
 

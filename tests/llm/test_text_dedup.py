@@ -3,8 +3,9 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from stationspark.llm import jaccard, linededup, shingles
+from stationspark.llm import bloom, jaccard, linededup, shingles
 
 
 def shingle_words(text):
@@ -168,6 +169,20 @@ def test_different_texts_of_one_id_are_rows_of_their_own(spark):
     assert sorted((r.doc_id, r.text, r.n_removed) for r in got if r.text is not None) == sorted([(1, rows[0][1], 0), (2, "", 3), (2, rows[2][1], 0), (2, "x", 0)])
 
 
+def test_line_dedup_leaves_texts_without_repeats_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "bloom_filter", lambda ids, column: kept.append(bloom_filter(ids, column)) or kept[-1])
+    kept = []
+    bloom_filter = bloom.bloom_filter
+    text = lambda k: "\n".join(f"line {k} {j}" for j in range(5))
+    docs = spark.createDataFrame([(k, text(k % 90)) for k in range(100)] + [(200, None), (None, text(1))], "doc_id int, text string")
+    found = linededup.dedup_lines(docs)
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in found.where("doc_id is not null").collect()) == [(k, 0, text(k)) if k < 90 else (k, 5, "") for k in range(100)] + [(200, 0, None)]
+    assert [r.text for r in found.where("doc_id is null").collect()] == [text(1)]
+    own = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("h"))
+    passing = {r.doc_id for r in own.where(bloom.may_contain(spark, kept[0], F.col("h"))).collect()}
+    assert set(range(90, 100)) <= passing and len(passing) < 20  # the only texts that are shuffled
+
+
 def test_sentences_are_found_inside_longer_lines(spark):
     shared = "The first shared sentence stands here. A second one follows it! Is the third one of any use?"
     rows = [(1, f"Own words begin. {shared} Own words end.\nNext line."), (2, f"Other words begin. {shared}\n\nOther words end."), (3, f"a\nb\nc\n{shared}")]
