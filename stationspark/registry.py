@@ -63,7 +63,7 @@ def _events(use) -> Query:
 
 def _append(s, d):
     # The first half of the orders is stored; the batch replays the later half of that and goes on from there.
-    raw, order = derived.ship_raw(s, d), ["seq_a", "seq_b"]
+    raw, order = derived.ship_raw(s, d), derived.SHIP_ORDER
     half = (raw.agg(F.max("seq_a")).first()[0] or 0) // 2
     stored = append_observations(None, raw.where(F.col("seq_a") <= half), order)
     rows = stored.unionByName(append_observations(stored, raw.where(F.col("seq_a") > half // 2), order))

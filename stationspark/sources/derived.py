@@ -55,9 +55,14 @@ def event_rows(epoch: str) -> list[str]:
     return ["user_id as device_id", f"{epoch} as epoch", *[f"{EVENTS.get(s, 'cast(null as double)')} as {s}" for s in SENSORS], "'rest' as source", "event_id as seq_a"]
 
 
+#: Order of arrival of shipments. Lines may share order and line number; then the row that stands first in the file came first.
+SHIP_ORDER = ["seq_a", "seq_b", "seq_file", "seq_row"]
+
+
 def ship_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows, with repeated keys, and their order of arrival (seq_a, seq_b)."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*ship_rows("unix_seconds(cast(l_shipdate as timestamp))"))
+    """Raw rows, with repeated keys, and their order of arrival (SHIP_ORDER)."""
+    place = ["xxhash64(_metadata.file_name) as seq_file", "_metadata.row_index as seq_row"]
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*ship_rows("unix_seconds(cast(l_shipdate as timestamp))"), *place)
     return rows.withColumns({c: F.col(c).cast("long") for c in ("device_id", "epoch")})
 
 
@@ -67,7 +72,7 @@ def event_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obs_ship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align_schema(append_observations(None, ship_raw(spark, sf_dir), ["seq_a", "seq_b"]))
+    return align_schema(append_observations(None, ship_raw(spark, sf_dir), SHIP_ORDER))
 
 
 def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,11 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from stationspark import registry_sql
+from stationspark.sources import derived, ingest
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
@@ -13,6 +16,37 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 1000
 
 
+def _tied(folder, small):
+    """Shipments of which each stands three times with its order, line number, device and time, but other readings; the SQL's
+    table has the first of the three alone, as its ORDER BY leaves open which of them it takes."""
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    copies = f"SELECT l.* REPLACE (l_partkey + 96 * k AS l_partkey, l_suppkey + 4 * k AS l_suppkey, (l_quantity + k * 7) % 50 AS l_quantity) FROM '{small}/lineitem.parquet' l, (SELECT unnest([2, 0, 1]) AS k)"
+    con.sql(f"COPY ({copies}) TO '{folder}/lineitem.parquet' (FORMAT parquet, ROW_GROUP_SIZE 2048)")
+    same = "l_suppkey % 4, l_shipdate, (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 31) % 96, l_orderkey, l_linenumber"
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{folder}/lineitem.parquet', file_row_number = true) QUALIFY row_number() OVER (PARTITION BY {same} ORDER BY file_row_number) = 1")
+    return con
+
+
+def test_of_tied_shipments_the_first_in_the_file_wins(spark, small, tmp_path):
+    con = _tied(tmp_path, small)
+    raw = derived.ship_raw(spark, str(tmp_path))
+    moved = raw.repartition(5, "wind_dir").sortWithinPartitions(F.desc("wind_dir"))
+    got = ingest.append_observations(None, moved, derived.SHIP_ORDER).select("device_id", "epoch", "wind_dir", "battery_v", "air_temp_c")
+    want = con.sql(registry_sql._SHIP + " SELECT device_id, epoch, wind_dir, battery_v, air_temp_c FROM obs").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["comfort_formulas"])
+def test_tied_shipments_as_in_the_sql(spark, small, tmp_path, name):
+    con = _tied(tmp_path, small)
+    expected = con.sql(SQL[name])
+    columns, rows = expected.columns, expected.fetchall()
+    got = QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
+    shown = lambda row: tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in row)
+    assert sorted(map(shown, got)) == sorted(map(shown, rows))
+
+
 def test_names():
     assert set(SQL) <= set(QUERIES)
     assert importlib.import_module("stationspark.registry").queries().keys() <= QUERIES.keys()
