@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,9 +20,17 @@ from stationspark.sources.ingest import append_observations, validate_observatio
 from stationspark.registry_sql import AS_OF, DATE, DAY, RANGE, WINDOW, YEAR
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+def six_places(c: Column) -> Column:
+    """A double to six places by its own value, as the SQL's engine rounds; Spark would round the shortest decimal that names it."""
+    scaled = c * 1e6
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 1e6).otherwise(c) + F.lit(0.0)
+
+
 def finish(df: DataFrame) -> DataFrame:
     """Doubles to six places (engines add in different orders), whole numbers as long."""
-    kinds = {T.DoubleType(): lambda c: F.round(c, 6) + F.lit(0.0), T.FloatType(): lambda c: F.round(c.cast("double"), 6), T.IntegerType(): lambda c: c.cast("long"), T.ShortType(): lambda c: c.cast("long")}
+    kinds = {T.DoubleType(): six_places, T.FloatType(): lambda c: six_places(c.cast("double")), T.IntegerType(): lambda c: c.cast("long"), T.ShortType(): lambda c: c.cast("long")}
     return df.select(*[kinds[f.dataType](F.col(f"`{f.name}`")).alias(f.name) if f.dataType in kinds else F.col(f"`{f.name}`") for f in df.schema])
 
 

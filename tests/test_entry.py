@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from stationspark import registry_sql
+from stationspark import registry, registry_sql
 from stationspark.sources import derived, ingest
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -16,6 +16,14 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 1000
 
 
+def test_rounds_as_the_sql_does(spark):
+    values = [v / n * 9 / 5 + 32 for n in (128, 640) for v in range(-n, n)] + [-1.0000005, 2.5e-7, 0.4999995, 1e300, float("inf")]
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::double, 6)", [v]).fetchall()[0][0] for v in values]
+    got = spark.createDataFrame(list(enumerate(values)), "k int, v double").select("k", registry.six_places(F.col("v")).alias("v")).collect()
+    assert [r.v for r in sorted(got)] == want
+
+
 def _tied(folder, small):
     """Shipments of which each stands three times with its order, line number, device and time, but other readings; the SQL's
     table has the first of the three alone, as its ORDER BY leaves open which of them it takes."""
