@@ -104,6 +104,11 @@ def arg_least(value: Column, key: Column) -> Column:
     return F.min(F.when(value.isNotNull(), F.struct(value.alias("v"), key.alias("k"))))
 
 
+def settled(total: Column) -> Column:
+    """A total of readings to nine places, to compare it with others: equal ones may differ in the last place by the order of adding."""
+    return F.round(total, 9)
+
+
 def day_number(day: str | Column = "day") -> Column:
     return F.unix_date(F.col(day) if isinstance(day, str) else day)
 
@@ -112,7 +117,7 @@ def this_day_records(years: DataFrame) -> DataFrame:
     """Per device the record high, low and wettest year of one date; the earliest year wins ties, measured zero counts."""
     year = F.col("year")
     found = years.groupBy("device_id").agg(
-        arg_most(F.col("temp_max_f"), year).alias("high"), arg_least(F.col("temp_min_f"), year).alias("low"), arg_most(F.col("rain_in"), year).alias("wet")
+        arg_most(F.col("temp_max_f"), year).alias("high"), arg_least(F.col("temp_min_f"), year).alias("low"), arg_most(settled(F.col("rain_in")), year).alias("wet")
     )
     return found.select(
         "device_id",

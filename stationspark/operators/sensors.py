@@ -21,7 +21,7 @@ from stationspark.functions.units import (
     wind_chill_f,
 )
 
-from .calendar import RAINY_MM, arg_least, arg_most, day_number
+from .calendar import RAINY_MM, arg_least, arg_most, day_number, settled
 from .rollup import CALM_MPS, QUARTER_S, quarter_rollup, with_zone
 from .spells import spells, with_spell
 
@@ -70,7 +70,7 @@ def records(obs: DataFrame, day: DataFrame, quarter: DataFrame | None = None) ->
 
 
 def _wettest() -> Column:
-    return arg_most(F.when(F.col("rain_sum") > 0, F.col("rain_sum")), day_number())
+    return arg_most(F.when(F.col("rain_sum") > 0, settled(F.col("rain_sum"))), day_number())
 
 
 def rain_stats(day: DataFrame) -> DataFrame:

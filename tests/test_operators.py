@@ -90,6 +90,13 @@ def test_this_day(spark):
     assert calendar.this_day(days_of(leap), 2, 29).count() == 1
 
 
+def test_equal_totals_tie_whatever_the_order_of_adding(spark):
+    parts = [("2022-05-15", 0, 0.3)] + [("2023-05-15", h, 0.1) for h in range(3)]  # 0.1 three times is a little more than 0.3
+    day = days_of(obs(spark, [{"epoch": day_epoch(d, h), "rain": r} for d, h, r in parts]))
+    assert one(calendar.this_day_records(calendar.this_day(day, 5, 15))).wettest_year == 2022
+    assert one(sensors.rain_stats(day)).wettest_day == D(2022, 5, 15)
+
+
 def test_zones_decide_the_day(spark):
     rows = obs(spark, [{"epoch": day_epoch("2024-07-01", 2), "rain": 1}, {"epoch": day_epoch("2024-07-01", 12), "rain": 2}])
     zones = spark.createDataFrame([(1, "America/Los_Angeles")], ZONES)
