@@ -2,7 +2,7 @@
 
 Generators of high recall propose spans that may overlap: the base formats and looser ones of the same kinds. Base spans
 always stay. Looser candidates are rated by boosted trees over format and context features, and a threshold per kind selects
-which are added. The trees learn from examples made of base spans, a bounded number of all there are: each is rewritten as people write
+which are added. The trees learn from examples made of all base spans that there are: each is rewritten as people write
 such data to hide it or in a hurry (label 1), and into look-alikes such as times, versions and order numbers (label 0). The
 checks of the base formats (digit sums, ranges of numbers, numbers of digits) are no features. Thresholds are set on documents
 that the trees have not seen, where what is selected must be right in a stated share.
@@ -10,6 +10,7 @@ that the trees have not seen, where what is selected must be right in a stated s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,9 +23,11 @@ from .common import materialize, table, text_or_empty
 from .trees import Node, as_column, parse
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that examples are made from at most: of all documents that hold a base span of a kind, an equal number for each kind,
-#: those with the smallest hashed ids. One in FOLDS is held out for thresholds.
-SAMPLE_DOCS, FOLDS = 10_000, 4
+#: One document in FOLDS is held out for thresholds.
+FOLDS = 4
+#: Up to WHOLE examples Spark ML looks at all of them for its splits, with BINS values of a feature; of more it looks at the square
+#: of the number of bins, which then grows with them so that it is all. A task learns from about TASK_ROWS.
+WHOLE, BINS, TASK_ROWS = 10_000, 32, 50_000
 TREES, DEPTH = 30, 4
 #: What share of the selected candidates must be right in the held-out documents, and what a threshold is at least.
 PRECISION, LEAST = 0.95, 0.5
@@ -225,41 +228,47 @@ def examples(text: Column, kind: str) -> Column:
 
 
 def holders(docs: DataFrame) -> DataFrame:
-    """doc_id and kinds of all documents with base spans: the numbers of the kinds that they hold."""
+    """doc_id, text and kinds of all documents with base spans: the numbers of the kinds that they hold."""
     holds = lambda kind: F.exists(F.coalesce(located(text_or_empty(), BASE[kind], _needs(kind), lambda c: valid(kind, c["match"])), F.array(F.lit(False))), lambda v: v)
     kinds = F.array_compact(F.array(*[F.when(holds(kind), k) for k, kind in enumerate(KINDS)]))
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"), kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def training(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """kind, label, x and fold: examples made of the base spans of at most ``sample`` documents, wherever those stand."""
-    held = materialize(holders(docs), "pii-holders")
-    each = -(-sample // len(KINDS))
-    chosen = [held.where(F.array_contains("kinds", k)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for k in range(len(KINDS))]
-    ids = reduce(DataFrame.union, chosen).distinct()
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")  # bounded
+def training(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """kind, label, x and fold: examples made of the base spans of all documents; where ``most`` is given, of that many at most.
+
+    Those are, of all documents that hold a base span of a kind, an equal number for each kind with the smallest hashed ids.
+    """
+    texts = materialize(holders(docs), "pii-holders")  # few of all; what examples are made of is looked for in no other text
+    if most is not None:
+        each = -(-most // len(KINDS))
+        chosen = [texts.where(F.array_contains("kinds", k)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for k in range(len(KINDS))]
+        texts = texts.join(F.broadcast(reduce(DataFrame.union, chosen).distinct()), "doc_id")  # bounded
     made = [F.coalesce(examples(F.col("text"), kind), F.array()).cast("array<struct<kind:int,label:double,x:array<double>>>") for kind in KINDS]
     fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).alias("fold")
     return texts.select(fold, F.explode(F.flatten(F.array(*made))).alias("e")).select("fold", "e.*")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[Node], dict[int, float]]:
+def train(docs: DataFrame, most: int | None = None) -> tuple[list[Node], dict[int, float]]:
     """(trees, threshold per kind) from ``training`` examples of all folds but the last, which sets the thresholds.
 
     A kind's threshold is the lowest from which PRECISION of the held-out examples above it are right; a kind that has none
-    gets no threshold. Without examples of both labels there are no trees, and nothing is added to the base spans.
+    gets no threshold. Without examples of both labels there are no trees, and nothing is added to the base spans. Examples
+    that are alike are one row with their number as weight.
     """
-    rows = materialize(training(docs, sample), "pii-training")
+    rows = materialize(training(docs, most).groupBy("fold", "kind", "label", "x").agg(F.count("*").alias("n")), "pii-training")
     seen, held = rows.where(F.col("fold") < FOLDS - 1), rows.where(F.col("fold") == FOLDS - 1)
-    sizes = {r["label"]: r["n"] for r in seen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    found = seen.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    sizes, distinct = {r["label"]: r["n"] for r in found}, sum(r["rows"] for r in found)
     if len(sizes) < 2:
         return [], {}
     weight = F.when(F.col("label") > 0, 0.5 / sizes[1.0]).otherwise(0.5 / sizes[0.0]) * sum(sizes.values())
-    ready = seen.coalesce(2).select("label", weight.alias("w"), array_to_vector("x").alias("features"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="w", seed=7, stepSize=0.3).fit(ready)
+    ready = seen.coalesce(max(2, distinct // TASK_ROWS)).select("label", (weight * F.col("n")).alias("w"), array_to_vector("x").alias("features"))
+    bins = BINS if distinct <= WHOLE else math.ceil(math.sqrt(distinct))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, weightCol="w", seed=7, stepSize=0.3).fit(ready)
     trees = [_scaled(t, w) for t, w in zip(parse(model.toDebugString), model.treeWeights, strict=True)]
     level = F.floor(score(trees, F.col("x")) * 100).cast("int")
-    levels = held.groupBy("kind", level.alias("level")).agg(F.sum("label").alias("right"), F.count("*").alias("n"))
+    levels = held.groupBy("kind", level.alias("level")).agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n"))
     found = {(r["kind"], r["level"]): (r["right"], r["n"]) for r in levels.collect()}  # a hundred rows a kind at most
     thresholds: dict[int, float] = {}
     for kind in range(len(KINDS)):

@@ -209,6 +209,14 @@ def test_rare_spans_are_learned_from(spark):
     assert {(r.kind, r.label) for r in rows.select("kind", "label").distinct().collect()} == {(k, float(v)) for k in range(4) for v in (0, 1)}
 
 
+def test_examples_come_from_all_spans(spark):
+    """However many documents hold a kind of span; examples that are alike count as often as they are there."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(2700).selectExpr("id as doc_id", "concat('write to user', id, '@mail.example.org today') as text")
+    assert pii.training(docs).count() == 2700 * len(pii.rewritten("email", F.col("text")))
+
+
 def test_scores_are_the_librarys(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
