@@ -45,7 +45,7 @@ def test_of_tied_shipments_the_first_in_the_file_wins(spark, small, tmp_path):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["comfort_formulas", "compass", "export_us", "sensor_health", "wind_rose"])
+@pytest.mark.parametrize("name", ["comfort_formulas", "compass", "export_us", "sensor_health", "wind_rose", "wind_stats"])
 def test_tied_shipments_as_in_the_sql(spark, small, tmp_path, name):
     con = _tied(tmp_path, small)
     expected = con.sql(SQL[name])
