@@ -51,7 +51,8 @@ def _bucketed(s, d):
     path, name, raw = shared_path(s, "bucketed"), "bucketed_" + shared_path(s, "t").rsplit("-", 1)[1], derived.ship_raw(s, d)
     half = (raw.agg(F.max("seq_a")).first()[0] or 0) // 2
     archive.write_bucketed(ingest.append_observations(None, raw.where(F.col("seq_a") <= half), derived.SHIP_ORDER), name, path)
-    archive.append_bucketed(s, name, path, raw.where(F.col("seq_a") > half // 2), derived.SHIP_ORDER)
+    later = F.coalesce(F.col("seq_a") > half // 2, F.lit(True))  # rows without an order's number come last
+    archive.append_bucketed(s, name, path, raw.where(later), derived.SHIP_ORDER)
     days = days_of(archive.open_bucketed(s, name, path))
     return calendar.daily_summary(days)
 

@@ -147,8 +147,9 @@ def append_bucketed(spark: SparkSession, name: str, path: str, batch: DataFrame,
     The batch is dealt by device to meet the stored rows where they lie; of those only the batch's months are read.
     """
     rows = batch.withColumn("obs_month", month_of(F.col("epoch")))
-    months = [r[0] for r in rows.select("obs_month").distinct().collect()]  # a few numbers
-    stored = open_bucketed(spark, name, path, buckets).where(F.col("obs_month").isin(months))
+    months = [r[0] for r in rows.select("obs_month").distinct().collect()]  # a few numbers, and null for rows without a time
+    there = F.col("obs_month").isin([m for m in months if m is not None])
+    stored = open_bucketed(spark, name, path, buckets).where(there | F.col("obs_month").isNull() if None in months else there)
     seen = Observation()
     with joins_by_bucket(spark):
         new = written(align_schema(append_observations(stored, batch, order)).observe(seen, F.count("*").alias("rows")), "new-rows")

@@ -105,9 +105,20 @@ def first_rows(batch: DataFrame, order: list[str]) -> DataFrame:
 
 
 def append_observations(stored: DataFrame | None, batch: DataFrame, order: list[str]) -> DataFrame:
-    """The rows of ``batch`` that are new: the first per key, and none whose key is stored. Writing them again adds nothing."""
+    """The rows of ``batch`` that are new: the first per key, and none whose key is stored. Writing them again adds nothing.
+
+    A key that lacks its device or time is a key as well. Such rows, which only data that was not validated holds, meet the
+    stored ones of their kind by themselves, so that the others' join keeps to plain equality and to stored buckets.
+    """
     new = first_rows(batch, order)
-    return new if stored is None else new.join(stored.select("device_id", "epoch"), ["device_id", "epoch"], "left_anti")
+    if stored is None:
+        return new
+    keys = stored.select("device_id", "epoch")
+    lacking = F.col("device_id").isNull() | F.col("epoch").isNull()
+    known = keys.where(lacking).toDF("__device", "__epoch")
+    same = F.col("device_id").eqNullSafe(F.col("__device")) & F.col("epoch").eqNullSafe(F.col("__epoch"))
+    whole = new.where(~lacking).join(keys, ["device_id", "epoch"], "left_anti")
+    return whole.unionByName(new.where(lacking).join(known, same, "left_anti"))
 
 
 STATIONS = (
