@@ -99,8 +99,8 @@ def clip_to_window(raw: DataFrame, start_epoch: int, end_epoch: int) -> DataFram
 
 
 def first_rows(batch: DataFrame, order: list[str]) -> DataFrame:
-    """One row per (device_id, epoch): the first by arrival."""
-    w = Window.partitionBy("device_id", "epoch").orderBy(*order)
+    """One row per (device_id, epoch): the first by arrival; a row of which a part of that is not known comes last there."""
+    w = Window.partitionBy("device_id", "epoch").orderBy(*[F.col(c).asc_nulls_last() for c in order])
     return batch.withColumn("__first", F.row_number().over(w)).where("__first = 1").drop("__first")
 
 
