@@ -81,7 +81,7 @@ def test_bucketed_days_keeps_rows_that_lack_a_part_of_their_key(spark, small, tm
     assert _equals(spark, con, tmp_path, "bucketed_days")
 
 
-@pytest.mark.parametrize("name", ["compass", "export_us", "sensor_health"])
+@pytest.mark.parametrize("name", ["compass", "export_us", "sensor_health", "wind_rose"])
 def test_rows_without_an_order_come_last(spark, small, tmp_path, name):
     # All rows of a device without a time meet in one key, and some of them lack their order too.
     con = _lacking(tmp_path, small, {"l_orderkey": "true", "l_linenumber": "true", "l_shipdate": "true", "l_partkey": "true"})
